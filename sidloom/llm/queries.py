@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..util import table
 from .cooccur import cooccurrence
+from .neighbors import similar_items
+from .vectors import latest_vectors
 
 
 def _acted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,9 +24,24 @@ def p2_pair_significance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("iid_a", "iid_b", "n_ab", "n_a", "n_b", F.round("lift", 6).alias("lift"), F.round("llr", 4).alias("llr")).where("llr >= 10.83")
 
 
+def _vectors(spark: SparkSession, sf_dir: str, extra: str | None = None) -> DataFrame:
+    return latest_vectors(table(spark, sf_dir, "results"), "content_id", "embedding", "encoded_at", 128, extra)
+
+
+def p3_similar_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_items(_vectors(spark, sf_dir), 5).withColumn("cosine", F.round("cosine", 5))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = similar_items(_vectors(spark, sf_dir), 5).where("cosine >= 0.95")
+    return near.select(F.least("content_id", "neighbor_id").alias("content_a"), F.greatest("content_id", "neighbor_id").alias("content_b")).distinct()
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_pair_significance": p2_pair_significance,
+    "p3_found": p3_found,
+    "p3_similar_items": p3_similar_items,
 }
 
 _PAIRS = r"""
