@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..util import table
 from .cooccur import cooccurrence
+from .density import density_clusters, describe_clusters
 from .neighbors import similar_items
 from .vectors import latest_vectors
 
@@ -37,11 +38,24 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select(F.least("content_id", "neighbor_id").alias("content_a"), F.greatest("content_id", "neighbor_id").alias("content_b")).distinct()
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members = density_clusters(_vectors(spark, sf_dir, "semantic_id"), 0.7)
+    large = members.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n")).where("n >= 3")
+    return members.join(large, "cluster_id", "left_semi").select("cluster_id", "content_id")
+
+
+def p5_cluster_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members = density_clusters(_vectors(spark, sf_dir, "semantic_id"), 0.7)
+    return describe_clusters(members).withColumn("agreement", F.round("agreement", 6))
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_pair_significance": p2_pair_significance,
     "p3_found": p3_found,
     "p3_similar_items": p3_similar_items,
+    "p5_found": p5_found,
+    "p5_cluster_profiles": p5_cluster_profiles,
 }
 
 _PAIRS = r"""
