@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import scratch
 from ..util import table
 from .cooccur import cooccurrence
 from .density import density_clusters, describe_clusters
+from .frequent import frequent_items, latest_targets
 from .neighbors import similar_items
 from .vectors import latest_vectors
 
@@ -38,6 +40,19 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select(F.least("content_id", "neighbor_id").alias("content_a"), F.greatest("content_id", "neighbor_id").alias("content_b")).distinct()
 
 
+def _frequent(spark: SparkSession, sf_dir: str, share: float) -> DataFrame:
+    targets = scratch.keep(latest_targets(table(spark, sf_dir, "sequences")), "targets")
+    return frequent_items(targets, "item", share)
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _frequent(spark, sf_dir, 1 / 200).select(F.col("item").alias("target_cid"))
+
+
+def p4_item_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _frequent(spark, sf_dir, 1 / 500).select(F.col("item").alias("target_cid"), "n", F.round(F.col("n") / F.col("n_total"), 9).alias("share"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     members = density_clusters(_vectors(spark, sf_dir, "semantic_id"), 0.7)
     large = members.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n")).where("n >= 3")
@@ -54,6 +69,8 @@ QUERIES = {
     "p2_pair_significance": p2_pair_significance,
     "p3_found": p3_found,
     "p3_similar_items": p3_similar_items,
+    "p4_found": p4_found,
+    "p4_item_freq": p4_item_freq,
     "p5_found": p5_found,
     "p5_cluster_profiles": p5_cluster_profiles,
 }
@@ -70,7 +87,17 @@ q AS (SELECT p.*, ca.n_x AS n_a, cb.n_x AS n_b, n.n AS n, n_ab::DOUBLE * n.n / (
       FROM p JOIN c ca ON ca.iid = iid_a JOIN c cb ON cb.iid = iid_b CROSS JOIN n)
 """
 
+_TARGETS = r"""
+WITH l AS (SELECT uid, eval_cids FROM sequences WHERE uid IS NOT NULL
+           QUALIFY row_number() OVER (PARTITION BY uid ORDER BY built_at DESC NULLS LAST, eval_cids DESC NULLS LAST) = 1),
+t AS (SELECT lower(trim(e, E' \t\r\n')) AS item FROM (SELECT unnest(eval_cids) AS e FROM l) WHERE e IS NOT NULL),
+f AS (SELECT item, count(*) AS n FROM t WHERE item <> '' GROUP BY item),
+s AS (SELECT sum(n)::BIGINT AS total FROM f)
+"""
+
 SQL = {
+    "p4_found": _TARGETS + "SELECT item AS target_cid FROM f, s WHERE n * 200 >= total",
+    "p4_item_freq": _TARGETS + "SELECT item AS target_cid, n, round(n / total::DOUBLE, 9) AS share FROM f, s WHERE n * 500 >= total",
     "p2_found": _PAIRS.replace("{least}", "8") + "SELECT iid_a, iid_b FROM q WHERE lift >= 10",
     "p2_pair_significance": _PAIRS.replace("{least}", "5")
     + """, l AS (SELECT iid_a, iid_b, n_ab, n_a, n_b, round(lift, 6) AS lift, round(greatest(0, 2 * (
