@@ -10,7 +10,9 @@ from ..util import table
 from .cooccur import cooccurrence
 from .density import density_clusters, describe_clusters
 from .frequent import frequent_items, latest_targets
+from .leakage import leaked_passages
 from .neighbors import similar_items
+from .packing import WINDOW, pack_documents
 from .vectors import latest_vectors
 
 
@@ -64,6 +66,29 @@ def p5_cluster_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return describe_clusters(members).withColumn("agreement", F.round("agreement", 6))
 
 
+def p6_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = pack_documents(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return packed.select(F.col("key").alias("doc_id"), "piece", "start", "n_tokens", "window_id", "place")
+
+
+def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well the windows are filled."""
+    windows = p6_windows(spark, sf_dir).where("window_id IS NOT NULL")
+    found = windows.agg(F.count_distinct("window_id").alias("windows"), F.sum("n_tokens").alias("tokens"), F.count_distinct("doc_id").alias("texts"))
+    return found.withColumn("fill", F.round(F.col("tokens") / (F.col("windows") * WINDOW), 6))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaked_passages(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_passages"), "item_id", "passage")
+
+
+def p7_leaks_per_item(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every evaluation item with the number of documents that hold it."""
+    items = table(spark, sf_dir, "eval_passages").select("item_id", "suite").distinct()
+    hits = p7_found(spark, sf_dir).groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
+    return items.join(hits, "item_id", "left").select("item_id", "suite", F.coalesce("n", F.lit(0)).alias("n_docs"))
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_pair_significance": p2_pair_significance,
@@ -73,6 +98,10 @@ QUERIES = {
     "p4_item_freq": p4_item_freq,
     "p5_found": p5_found,
     "p5_cluster_profiles": p5_cluster_profiles,
+    "p6_windows": p6_windows,
+    "p6_fill": p6_fill,
+    "p7_found": p7_found,
+    "p7_leaks_per_item": p7_leaks_per_item,
 }
 
 _PAIRS = r"""
