@@ -13,6 +13,7 @@ from .frequent import frequent_items, latest_targets
 from .leakage import leaked_passages
 from .neighbors import similar_items
 from .packing import WINDOW, pack_documents
+from .residue import mine_templates, read_messages, residue_records
 from .vectors import latest_vectors
 
 
@@ -89,6 +90,18 @@ def p7_leaks_per_item(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.join(hits, "item_id", "left").select("item_id", "suite", F.coalesce("n", F.lit(0)).alias("n_docs"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue_records(table(spark, sf_dir, "documents"), "doc_id", "text").where("residue").select("doc_id")
+
+
+def p8_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every template with a verdict: how many different messages and how many occurrences it has."""
+    read = read_messages(table(spark, sf_dir, "documents"), "doc_id", "text")
+    uses = read.select(F.explode("parts.m").alias("m")).groupBy("m").agg(F.count(F.lit(1)).alias("n"))
+    found = mine_templates(read).join(uses, "m").groupBy("template", "verdict")
+    return found.agg(F.count(F.lit(1)).alias("messages"), F.sum("n").alias("occurrences"))
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_pair_significance": p2_pair_significance,
@@ -102,6 +115,8 @@ QUERIES = {
     "p6_fill": p6_fill,
     "p7_found": p7_found,
     "p7_leaks_per_item": p7_leaks_per_item,
+    "p8_found": p8_found,
+    "p8_templates": p8_templates,
 }
 
 _PAIRS = r"""
