@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import general
+from . import general, relations, scans
 
-_MODULES = [general]
+_MODULES = [general, scans, relations]
 
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in _MODULES for k, s in m.SQL.items()}
