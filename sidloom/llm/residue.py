@@ -176,21 +176,21 @@ def leaf(message: str) -> str:
 def mine_leaf(found: list[str]) -> list[str]:
     """The template of each message of one leaf; all have the same number of tokens."""
     templates: list[list[str]] = []
+    mine: list[list[str]] = []
     for m in found:
         tokens = m.split(" ")
+        least = AGREE * len(tokens)
         for t in templates:
-            if sum(a == b for a, b in zip(t, tokens)) >= AGREE * len(tokens):
+            if sum(map(str.__eq__, t, tokens)) >= least:
                 for i, b in enumerate(tokens):
                     if t[i] != b:
                         t[i] = SLOT
                 break
         else:
-            templates.append(tokens)
-    out = []
-    for m in found:
-        tokens = m.split(" ")
-        out.append(" ".join(max(templates, key=lambda t: (sum(a == b for a, b in zip(t, tokens)), -t.count(SLOT)))))
-    return out
+            t = tokens
+            templates.append(t)
+        mine.append(t)
+    return [" ".join(t) for t in mine]  # as they are after the last merge
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
