@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import functions, general, measures, relations, scans
+from . import functions, general, measures, pipelines, relations, scans
 
-_MODULES = [general, scans, relations, functions, measures]
+_MODULES = [general, scans, relations, functions, measures, pipelines]
 
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in _MODULES for k, s in m.SQL.items()}
