@@ -247,4 +247,17 @@ def fn_contains_subsequence(spark, d):
     return seqs(spark, d).select("uid", "built_at", scalars.contains_run(F.slice(t, F.lit(4), F.size(t)), F.slice(t, 1, 3)).alias("seen"))
 
 
+
+@query("SELECT vec_id, round(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]), 5) AS dot FROM embeddings")
+def fn_dot(spark, d):
+    return table(spark, d, "embeddings").select("vec_id", F.round(scalars.dot(F.col("embedding"), F.col("embedding")), 5).alias("dot"))
+
+
+@query(f"SELECT vec_id, round(list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - y[i]) * (x[i] - y[i]))), 4) AS sqdist FROM ({_V2})")
+def fn_sqdist(spark, d):
+    e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("x"))
+    two = e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("x").alias("y")), "vec_id")
+    return two.select("vec_id", F.round(scalars.squared_distance(F.col("x"), F.col("y")), 4).alias("sqdist"))
+
+
 QUERIES, SQL = Q, S

@@ -272,4 +272,28 @@ def m_eval_fallbacks(spark, d):
     return t.select("run", F.coalesce("r500", "found").alias("r500"), F.coalesce("r10", F.element_at("depth_hit", -1)).alias("r10"))
 
 
+
+@query(sql("SELECT model, score, rank() OVER (ORDER BY score DESC)::INT AS place FROM (SELECT model, sum(CASE status WHEN 'excellent' THEN 3 WHEN 'good' THEN 2 WHEN 'acceptable' THEN 1 ELSE 0 END)::BIGINT AS score FROM e GROUP BY model)", e=_EVAL_SQL))
+def m_compare_ranking(spark, d):
+    points = F.when(F.col("status") == "excellent", 3).when(F.col("status") == "good", 2).when(F.col("status") == "acceptable", 1).otherwise(0)
+    s = evals(spark).groupBy("model").agg(F.sum(points).alias("score"))  # a row per model
+    return s.withColumn("place", F.rank().over(Window.orderBy(F.desc("score"))))
+
+
+@query(sql("SELECT metric, count(*) AS n, string_agg(model, ',' ORDER BY model) AS models FROM e GROUP BY metric", e=_EVAL_SQL))
+def sink_reports(spark, d):
+    """A report written as JSON and CSV and read again."""
+    import uuid
+
+    from .. import scratch
+
+    at = f"{scratch.folder(spark)}/report-{uuid.uuid4().hex}"
+    evals(spark).write.json(f"{at}/json")
+    evals(spark).write.option("header", True).csv(f"{at}/csv")
+    j = spark.read.schema("model string, metric string, value double, status string").json(f"{at}/json")
+    c = spark.read.schema("model string, metric string, value double, status string").option("header", True).csv(f"{at}/csv")
+    both = j.intersect(c)
+    return both.groupBy("metric").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_list("model")), ",").alias("models"))
+
+
 QUERIES, SQL = Q, S

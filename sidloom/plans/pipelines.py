@@ -372,6 +372,25 @@ def feat_collab(spark, d):
     return p.groupBy(F.col("a").alias("mid"), F.col("f.index").alias("index")).agg(F.round(F.sum("weight"), 5).alias("value"))
 
 
+@query(sql("SELECT a, sid, rank FROM (SELECT a, sid, row_number() OVER (PARTITION BY a ORDER BY count(*) DESC, sid)::INT AS rank FROM sid GROUP BY a, sid) WHERE rank <= 3", "sid"))
+def topk_beam(spark, d):
+    """The top-k of one beam step: best continuations of each first code by their number of items."""
+    g = sids(spark, d).groupBy("a", "sid").agg(F.count(F.lit(1)).alias("n"))
+    return g.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("n"), "sid"))).where("rank <= 3").select("a", "sid", "rank")
+
+
+@query(sql("SELECT mid, (h % 32)::INT AS index, count(*) AS n FROM (SELECT mid, concat('0x', substr(sha256(unnest(list_filter(string_split_regex(lower(title), '[^a-z0-9]+'), lambda x: x <> ''))), 1, 16))::UBIGINT AS h FROM movies) GROUP BY ALL UNION ALL SELECT a, 32 + (h % 16)::INT, count(*) FROM (SELECT a.mid AS a, concat('0x', substr(sha256(b.mid::VARCHAR), 1, 16))::UBIGINT AS h FROM o a JOIN o b ON a.uid = b.uid AND b.rn > a.rn AND b.rn - a.rn <= 2) GROUP BY ALL", "movies", "ratings", o=ORDERED))
+def feat_hybrid(spark, d):
+    """Text features and, behind them, co-occurrence features in one sparse table."""
+    from .base import movies
+
+    w = movies(spark, d).select("mid", F.explode(scalars.tokenize(F.col("title"))).alias("w")).select("mid", scalars.hash_feature(F.col("w"), 32)["index"].alias("index"))
+    p = relate.band_pairs(seq.ordered(liked(spark, d), "uid", ORD), "uid", "mid", "rn", 2)
+    c = p.select(F.col("a").alias("mid"), (32 + scalars.hash_feature(F.col("b").cast("string"), 16)["index"]).alias("index"))
+    count = lambda x: x.groupBy("mid", "index").agg(F.count(F.lit(1)).alias("n"))
+    return count(w).unionByName(count(c))
+
+
 @query()
 def align_batch(spark, d):
     """A target and four hash-picked other SIDs per query: reward 1 and 0."""
