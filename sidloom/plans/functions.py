@@ -170,9 +170,9 @@ def fn_hash_feature(spark, d):
     return table(spark, d, "part").select("p_partkey", scalars.hash_feature(F.col("p_name"), 64).alias("f")).select("p_partkey", "f.index", "f.sign")
 
 
-@query("SELECT doc_id, len(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> ''))::INT AS n FROM documents WHERE text IS NOT NULL AND lang = 'en'")
+@query("SELECT doc_id, len(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> ''))::INT AS n FROM documents WHERE text IS NOT NULL")
 def fn_tokenize(spark, d):
-    return table(spark, d, "documents").where("text IS NOT NULL AND lang = 'en'").select("doc_id", F.size(scalars.tokenize(F.col("text"))).alias("n"))
+    return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.size(scalars.tokenize(F.col("text"))).alias("n"))
 
 
 @query(sql("SELECT mid, 'genre:' || lower(string_split(genres, '|')[1]) || ',genre:' || lower(string_split(genres, '|')[2]) AS tokens FROM movies", "movies"))

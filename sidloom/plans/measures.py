@@ -94,14 +94,14 @@ def m_reconstruction(spark, d):
 
 
 @query(
-    f"""WITH u AS ({_UNIT}), p AS (SELECT a.label, list_dot_product(a.v, b.v) AS s FROM u a JOIN u b ON a.label = b.label AND a.vec_id < b.vec_id WHERE a.vec_id % 4 = 0)
+    f"""WITH u AS ({_UNIT}), p AS (SELECT a.label, list_dot_product(a.v, b.v) AS s FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)
 SELECT label, count(*) AS pairs, round(avg(s), 5) AS mean, round(stddev_samp(s), 5) AS std, round(min(s), 5) AS least, round(max(s), 5) AS most FROM p GROUP BY label"""
 )
 def m_cosine_dist(spark, d):
-    """Distribution of similarities of a stated quarter of the vectors with the later ones of their class."""
+    """Distribution of similarities of the query vectors (ids divisible by 50) with all others of their class."""
     u = unit(spark, d)
-    q = u.where("vec_id % 4 = 0").select("label", F.col("vec_id").alias("ia"), F.col("v").alias("va"))
-    p = q.join(u, "label").where("ia < vec_id").select("label", scalars.dot(F.col("va"), F.col("v")).alias("s"))
+    q = u.where("vec_id % 50 = 0").select("label", F.col("vec_id").alias("ia"), F.col("v").alias("va"))
+    p = q.join(u, "label").where("ia <> vec_id").select("label", scalars.dot(F.col("va"), F.col("v")).alias("s"))
     g = p.groupBy("label").agg(F.count(F.lit(1)).alias("pairs"), F.avg("s").alias("mean"), F.stddev_samp("s").alias("std"), F.min("s").alias("least"), F.max("s").alias("most"))
     return rounded(g, "mean", "std", "least", "most", to=5)
 
@@ -157,15 +157,15 @@ def m_neighbor_coverage(spark, d):
     sql(
         "SELECT label, count(*) AS pairs, round(corr(ra, rb), 5) AS spearman FROM r GROUP BY label",
         u=_UNIT,
-        p="SELECT a.label, a.vec_id AS i, b.vec_id AS j, round(list_dot_product(a.v, b.v), 6) AS s, (abs(a.vec_id - b.vec_id) % 17)::DOUBLE AS t FROM u a JOIN u b ON a.label = b.label AND a.vec_id < b.vec_id WHERE a.vec_id % 10 = 0",
+        p="SELECT a.label, a.vec_id AS i, b.vec_id AS j, round(list_dot_product(a.v, b.v), 6) AS s, (abs(a.vec_id - b.vec_id) % 17)::DOUBLE AS t FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0",
         r="SELECT label, rank() OVER (PARTITION BY label ORDER BY s) + (count(*) OVER (PARTITION BY label, s) - 1) / 2.0 AS ra, rank() OVER (PARTITION BY label ORDER BY t) + (count(*) OVER (PARTITION BY label, t) - 1) / 2.0 AS rb FROM p",
     )
 )
 def m_emb_behavior_corr(spark, d):
     """Spearman correlation per class of vector similarity and another score of a pair."""
     u = unit(spark, d)
-    q = u.where("vec_id % 10 = 0").select("label", F.col("vec_id").alias("i"), F.col("v").alias("va"))
-    p = q.join(u, "label").where("i < vec_id").select("label", F.round(scalars.dot(F.col("va"), F.col("v")), 6).alias("s"), (F.abs(F.col("i") - F.col("vec_id")) % 17).cast("double").alias("t"))
+    q = u.where("vec_id % 50 = 0").select("label", F.col("vec_id").alias("i"), F.col("v").alias("va"))
+    p = q.join(u, "label").where("i <> vec_id").select("label", F.round(scalars.dot(F.col("va"), F.col("v")), 6).alias("s"), (F.abs(F.col("i") - F.col("vec_id")) % 17).cast("double").alias("t"))
     r = p.select("label", m.average_rank("s", "label").alias("ra"), m.average_rank("t", "label").alias("rb"))
     return r.groupBy("label").agg(F.count(F.lit(1)).alias("pairs"), F.round(F.corr("ra", "rb"), 5).alias("spearman"))
 

@@ -147,14 +147,14 @@ def pref_rf_pairs(spark, d):
 
 
 # candidates: the SIDs of an item's first code in order, as a stand-in for a beam
-_CAND = "SELECT q.content_id AS q, s.sid, s.rank, CASE WHEN q.a <> s.a THEN 0 WHEN q.b <> s.b THEN 1 WHEN q.c <> s.c THEN 2 ELSE 3 END AS depth FROM (SELECT * FROM sid WHERE (a * 65536 + b * 256 + c) % 20 = 0) q JOIN s ON s.a = q.a OR s.a = (q.a + 1) % 256"
+_CAND = "SELECT q.content_id AS q, s.sid, s.rank, CASE WHEN q.a <> s.a THEN 0 WHEN q.b <> s.b THEN 1 WHEN q.c <> s.c THEN 2 ELSE 3 END AS depth FROM (SELECT * FROM sid WHERE (a * 65536 + b * 256 + c) % 50 = 0) q JOIN s ON s.a = q.a OR s.a = (q.a + 1) % 256"
 _CAND_S = "SELECT *, row_number() OVER (PARTITION BY a ORDER BY b, c) AS rank FROM (SELECT DISTINCT sid, a, b, c FROM sid) QUALIFY rank <= 30"
 
 
 def candidates(spark, d):
     s = sids(spark, d)
     ranked = s.select("sid", "a", "b", "c").distinct().withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy("b", "c"))).where("rank <= 30")
-    q = s.where("(a * 65536 + b * 256 + c) % 20 = 0").select(F.col("content_id").alias("q"), F.col("a").alias("qa"), F.col("b").alias("qb"), F.col("c").alias("qc"))
+    q = s.where("(a * 65536 + b * 256 + c) % 50 = 0").select(F.col("content_id").alias("q"), F.col("a").alias("qa"), F.col("b").alias("qb"), F.col("c").alias("qc"))
     q = q.withColumn("a", F.explode(F.array("qa", (F.col("qa") + 1) % 256)))
     depth = F.when(F.col("qa") != F.col("a"), 0).when(F.col("qb") != F.col("b"), 1).when(F.col("qc") != F.col("c"), 2).otherwise(3)
     return q.join(ranked, "a").select("q", "sid", "rank", depth.alias("depth"))
@@ -460,12 +460,12 @@ def vq_pq_decode(spark, d):
     return table(spark, d, "part").select("p_partkey", F.round(F.get(book, (F.col("p_partkey") % 16).cast("int")), 5).alias("first"))
 
 
-@query(sql("SELECT q.vec_id AS src, v.vec_id AS dst, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(q.v, v.v), 9) DESC, v.vec_id)::INT AS rank FROM u q JOIN u v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 1 QUALIFY rank <= 5", u=_CENT))
+@query(sql("SELECT q.vec_id AS src, v.vec_id AS dst, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(q.v, v.v), 9) DESC, v.vec_id)::INT AS rank FROM u q JOIN u v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0 QUALIFY rank <= 5", u=_CENT))
 def vq_graph(spark, d):
     from ..operators.vectors import topk_cosine
 
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    t = topk_cosine(e.where("id % 50 = 1"), e, 5)
+    t = topk_cosine(e.where("id % 50 = 0"), e, 5)
     return t.select(F.col("q").alias("src"), F.col("c").alias("dst"), F.row_number().over(Window.partitionBy("q").orderBy(F.desc("cosine"), "c")).alias("rank"))
 
 
@@ -547,18 +547,18 @@ def loss_a2po_gate(spark, d):
 
 @query(
     sql(
-        "SELECT label, round(avg(lse - s), 5) AS loss, count(*) AS n FROM (SELECT label, i, max(s) FILTER (i = j) AS s, ln(sum(exp(s))) AS lse FROM p GROUP BY label, i) GROUP BY label",
+        "SELECT label AS batch, round(avg(lse - s), 5) AS loss, count(*) AS n FROM (SELECT label, i, max(s) FILTER (i = j) AS s, ln(sum(exp(s))) AS lse FROM p GROUP BY label, i) GROUP BY label",
         u=_CENT,
-        b="SELECT u.vec_id, label, v FROM u JOIN embeddings USING (vec_id) WHERE vec_id < 200",
+        b="SELECT vec_id, vec_id // 32 AS label, v FROM u",
         p="SELECT x.label, x.vec_id AS i, y.vec_id AS j, list_dot_product(x.v, y.v) / 0.1 AS s FROM b x JOIN b y USING (label)",
     )
 )
 def loss_infonce(spark, d):
-    """Cross-entropy of each vector against the others of its batch; a batch is a class of the first 200 vectors."""
-    u = table(spark, d, "embeddings").where("vec_id < 200").select("vec_id", "label", scalars.l2_normalize(F.col("embedding")).alias("v"))
+    """Cross-entropy of each vector against the others of its batch of 32."""
+    u = table(spark, d, "embeddings").select("vec_id", F.floor(F.col("vec_id") / 32).alias("label"), scalars.l2_normalize(F.col("embedding")).alias("v"))
     p = u.join(u.select(F.col("vec_id").alias("j"), "label", F.col("v").alias("w")), "label").select("label", "vec_id", "j", (scalars.dot(F.col("v"), F.col("w")) / 0.1).alias("s"))
     g = p.groupBy("label", "vec_id").agg(F.max(F.when(F.col("vec_id") == F.col("j"), F.col("s"))).alias("s"), F.log(F.sum(F.exp("s"))).alias("lse"))
-    return g.groupBy("label").agg(F.round(F.avg(F.col("lse") - F.col("s")), 5).alias("loss"), F.count(F.lit(1)).alias("n"))
+    return g.groupBy(F.col("label").alias("batch")).agg(F.round(F.avg(F.col("lse") - F.col("s")), 5).alias("loss"), F.count(F.lit(1)).alias("n"))
 
 
 @query(sql("SELECT g, round(sum(policy_lp), 5) AS lp FROM r WHERE pos <= 3 GROUP BY g", r=_GR))

@@ -538,11 +538,11 @@ def win_leave_last_out(spark, d):
     return g.select("uid", "target", F.array_join(F.transform("c", lambda x: x["mid"].cast("string")), ",").alias("context"))
 
 
-@query(sql("SELECT uid, rn, array_to_string(list(mid) OVER (PARTITION BY uid ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), ',') AS context, mid AS target FROM o WHERE n <= 30 QUALIFY rn >= 3", "ratings", o=ORDERED))
+@query(sql("SELECT uid, rn, array_to_string(list(mid) OVER (PARTITION BY uid ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), ',') AS context, mid AS target FROM o QUALIFY rn >= 3", "ratings", o=ORDERED))
 def win_sliding_prefixes(spark, d):
-    """Every prefix of the histories of up to 30 items as a context, the next item as target."""
+    """Every prefix of a history as a context, the next item as target."""
     w = Window.partitionBy("uid").orderBy("rn").rowsBetween(Window.unboundedPreceding, -1)
-    o = seq.ordered(liked(spark, d), "uid", ORD).where("n <= 30")
+    o = seq.ordered(liked(spark, d), "uid", ORD)
     return o.withColumn("c", F.collect_list("mid").over(w)).where("rn >= 3").select("uid", F.col("rn").cast("bigint").alias("rn"), F.array_join(F.col("c").cast("array<string>"), ",").alias("context"), F.col("mid").alias("target"))
 
 

@@ -101,12 +101,12 @@ def scan_results_sampled(spark, d):
     return kept.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("semantic_id").alias("n_sids"))
 
 
-@query(sql("SELECT r.uid, r.mid, r.rating::DOUBLE AS rating, r.ts, m.title FROM ratings r JOIN movies m USING (mid) WHERE rating >= 5", "ratings", "movies"))
+@query(sql("SELECT r.uid, r.mid, r.rating::DOUBLE AS rating, r.ts, m.title FROM ratings r JOIN movies m USING (mid)", "ratings", "movies"))
 def scan_csv_dat(spark, d):
     """Ratings and movies written as ``::``-separated and as headed text, and read again."""
     at = f"{scratch.folder(spark)}/text-{spark.sparkContext.applicationId}-{abs(hash(d))}"
     movies(spark, d).write.mode("overwrite").option("header", True).csv(f"{at}/movies.csv")
-    readers.write_dat(ratings(spark, d).where("rating >= 5").select("uid", "mid", "rating", "ts"), f"{at}/ratings.dat")
+    readers.write_dat(ratings(spark, d).select("uid", "mid", "rating", "ts"), f"{at}/ratings.dat")
     m, r = readers.read_movies_csv(spark, f"{at}/movies.csv"), readers.read_ratings_dat(spark, f"{at}/ratings.dat")
     return r.join(m.select("mid", "title"), "mid").select("uid", "mid", "rating", "ts", "title")
 
