@@ -25,11 +25,21 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cooccurrence(_acted(spark, sf_dir), ["uid", "session_id"], "iid", min_count=8, min_lift=10).select("iid_a", "iid_b")
 
 
-def p2_pair_significance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = cooccurrence(_acted(spark, sf_dir), ["uid", "session_id"], "iid", min_count=5)
+def _significant(spark: SparkSession, sf_dir: str, min_count: int) -> DataFrame:
+    pairs = cooccurrence(_acted(spark, sf_dir), ["uid", "session_id"], "iid", min_count=min_count)
     return pairs.select("iid_a", "iid_b", "n_ab", "n_a", "n_b", F.round("lift", 6).alias("lift"), F.round("llr", 4).alias("llr")).where("llr >= 10.83")
 
 
+def p2_pair_significance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Significant pairs that at least 5 baskets have, as its SQL defines."""
+    return _significant(spark, sf_dir, 5)
+
+
+def p2_pair_significance_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every significant pair, however few baskets have it."""
+    return _significant(spark, sf_dir, 1)
+
+
 def _vectors(spark: SparkSession, sf_dir: str, extra: str | None = None) -> DataFrame:
     return latest_vectors(table(spark, sf_dir, "results"), "content_id", "embedding", "encoded_at", 128, extra)
 
@@ -105,6 +115,7 @@ def p8_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p2_found": p2_found,
     "p2_pair_significance": p2_pair_significance,
+    "p2_pair_significance_all": p2_pair_significance_all,
     "p3_found": p3_found,
     "p3_similar_items": p3_similar_items,
     "p4_found": p4_found,
@@ -151,3 +162,6 @@ SQL = {
   + CASE WHEN n - n_a - n_b + n_ab > 0 THEN (n - n_a - n_b + n_ab) * ln((n - n_a - n_b + n_ab)::DOUBLE * n / ((n - n_a)::DOUBLE * (n - n_b))) ELSE 0 END)), 4) AS llr FROM q)
 SELECT * FROM l WHERE llr >= 10.83""",
 }
+
+# the same without a least number of baskets
+SQL["p2_pair_significance_all"] = SQL["p2_pair_significance"].replace(_PAIRS.replace("{least}", "5"), _PAIRS.replace("{least}", "1"))

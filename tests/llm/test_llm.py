@@ -49,6 +49,14 @@ def test_pairs_equal_brute_force(spark, monkeypatch, chunk):
     assert cooccur.cooccurrence(df.limit(0), ["uid", "session_id"], "iid").count() == 0
 
 
+def test_rare_significant_pairs_are_found(spark, tmp_path):
+    """One common basket of 100 is significant for two items seen nowhere else."""
+    rows = [("u", f"s{i}", "often", 1) for i in range(99)] + [("u", "s99", "rare1", 1), ("u", "s99", "rare2", 1)]
+    spark.createDataFrame(rows, "uid string, session_id string, iid string, action_bitmap int").write.parquet(f"{tmp_path}/behavior_v2.parquet")
+    got = queries.QUERIES["p2_pair_significance_all"](spark, str(tmp_path)).collect()
+    assert [(r.iid_a, r.iid_b, r.n_ab, r.n_a, r.n_b) for r in got] == [("rare1", "rare2", 1, 1, 1)]
+
+
 # --- vectors -----------------------------------------------------------------
 
 
