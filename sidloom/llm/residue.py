@@ -1,12 +1,13 @@
 """Records that hold template residue, error pages or filler in place of content.
 
-Messages (sentences) of all records are reduced to templates with a prefix tree
-of fixed depth: the number of tokens, the first tokens, and the trigger words
-that it has name a leaf; inside a leaf, messages that agree in most positions
-share a template whose other positions are slots. Equal messages are merged
-before that, so the tree sees each only once. Each template is classified once,
-by rules over its fixed words, and the verdict is propagated to its messages
-and from there to the records. Unresolved slots inside ordinary records are
+Messages (sentences) of all records, with their numbers masked, are classified
+once each, by rules over their own words: a slot of a template may stand where
+a deciding word was, so a template can't decide for its messages. The verdict
+is propagated to the records. Messages with a verdict are reduced to templates
+with a prefix tree of fixed depth: the verdict, the number of tokens, the first
+tokens, and the trigger words that it has name a leaf; inside a leaf, messages
+that agree in most positions share a template whose other positions are slots.
+Equal messages are merged before all that. Unresolved slots inside ordinary records are
 detected separately, in the text without code and quotations.
 """
 
@@ -113,7 +114,7 @@ _FILLER = [
     r"^(?:hier steht|dies ist ein) (?:ihr |ein )?(?:blindtext|platzhalter|beispieltext)|^blindtext|^texte? (?:d'exemple|de remplissage)|^texto de (?:ejemplo|relleno)|^(?:此处|这里)(?:填写|输入|是示例)|^示例文本|^占位",
 ]
 _RULES = [("notice", re.compile("|".join(f"(?:{r})" for r in _NOTICE))), ("error", re.compile("|".join(f"(?:{r})" for r in _ERROR))), ("filler", re.compile("|".join(f"(?:{r})" for r in _FILLER))), ("margin", re.compile("|".join(f"(?:{r})" for r in _MARGIN)))]
-#: Words that decide a verdict; messages that differ in them never share a template.
+#: Words that set templates apart; messages that differ in them never share one.
 _TRIGGER = re.compile(
     r"script|skript|cookie|脚本|browser|navig|error|erreur|fehler|错误|denied|verweigert|refus|denegad|blocked|bloqu|gesperrt|gelöscht|found|introuvable|existe|unavailable|expired|lorem|ipsum|dummy|sample|"
     r"placeholder|goes|here|human|again|later|retry|不存在|无法|稍后|todo|tbd|undefined|null|nan|none|wrong|sorry|oops|permission|page|página|seite|页面|available|attempts|copy|text"
@@ -148,9 +149,9 @@ def messages(text: str) -> tuple[bool, int, list[tuple[str, int]]]:
     return slot, total, out
 
 
-def classify(template: str) -> str | None:
+def classify(message: str) -> str | None:
     """notice, error, filler or margin (what surrounds such a message), or null for anything else."""
-    words = template.split(" ")
+    words = message.split(" ")
     plain = [w.strip(".,;:!?") for w in words]
     letters = [w for w in plain if w]
     if all(_MARK.fullmatch(w) for w in words) and any(w != SLOT for w in words):
@@ -162,7 +163,7 @@ def classify(template: str) -> str | None:
     if len(letters) >= 3 and len(set(letters)) == 1:
         return "filler"
     for verdict, rule in _RULES:
-        if rule.search(template):
+        if rule.search(message):
             return verdict
     return None
 
@@ -205,20 +206,21 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column("m"), pa.array([classify(m) for m in b.column("m").to_pylist()], pa.string())], names=["m", "verdict"])
+
+
 def _leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         m = b.column("m").to_pylist()
-        yield pa.RecordBatch.from_arrays([b.column("m"), pa.array([leaf(x) for x in m], pa.string())], names=["m", "leaf"])
+        yield pa.RecordBatch.from_arrays([b.column("m"), b.column("verdict"), pa.array([leaf(x) for x in m], pa.string())], names=["m", "verdict", "leaf"])
 
 
 def _mine(key, part):
-    found = sorted(part.column("m").to_pylist())
-    return pa.table({"m": pa.array(found, pa.string()), "template": pa.array(mine_leaf(found), pa.string())})
-
-
-def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column("template"), pa.array([classify(t) for t in b.column("template").to_pylist()], pa.string())], names=["template", "verdict"])
+    part = part.sort_by("m")
+    found = part.column("m")
+    return pa.table({"m": found, "template": pa.array(mine_leaf(found.to_pylist()), pa.string()), "verdict": part.column("verdict")})
 
 
 def read_messages(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -229,19 +231,24 @@ def read_messages(docs: DataFrame, key: str, text: str) -> DataFrame:
     return scratch.keep(read.withColumn("row_no", F.monotonically_increasing_id()), "messages")
 
 
+def judge_messages(read: DataFrame) -> DataFrame:
+    """(m, verdict) of every distinct message that has a verdict; no other message matters to it."""
+    distinct = read.select(F.explode("parts.m").alias("m")).distinct()
+    return scratch.keep(distinct.mapInArrow(_judge, "m string, verdict string").where("verdict IS NOT NULL"), "verdicts")
+
+
 def mine_templates(read: DataFrame) -> DataFrame:
     """(m, template, verdict) of every message that has a verdict.
 
     A leaf with more than LEAF messages is cut by a hash of the message; that
-    may give the same kind of message a template in each part, and each is
-    classified.
+    may give the same kind of message a template in each part. Verdicts don't
+    depend on that.
     """
-    all_messages = scratch.keep(read.select(F.explode("parts.m").alias("m")).distinct().mapInArrow(_leaves, "m string, leaf string"), "leaves")
-    large = all_messages.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LEAF)
-    cut = all_messages.join(large, "leaf", "left").withColumn("part", F.pmod(F.xxhash64("m"), F.coalesce(F.ceil(F.col("n") / LEAF), F.lit(1))))
-    mined = scratch.keep(cut.select("leaf", "part", "m").groupBy("leaf", "part").applyInArrow(_mine, "m string, template string"), "templates")
-    judged = mined.select("template").distinct().mapInArrow(_judge, "template string, verdict string").where("verdict IS NOT NULL")
-    return mined.join(judged, "template").select("m", "template", "verdict")
+    judged = scratch.keep(judge_messages(read).mapInArrow(_leaves, "m string, verdict string, leaf string"), "leaves")
+    large = judged.groupBy("verdict", "leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LEAF)
+    cut = judged.join(large, ["verdict", "leaf"], "left").withColumn("part", F.pmod(F.xxhash64("m"), F.coalesce(F.ceil(F.col("n") / LEAF), F.lit(1))))
+    mined = cut.select("verdict", "leaf", "part", "m").groupBy("verdict", "leaf", "part").applyInArrow(_mine, "m string, template string, verdict string")
+    return scratch.keep(mined, "templates")
 
 
 def residue_records(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -254,7 +261,7 @@ def residue_records(docs: DataFrame, key: str, text: str) -> DataFrame:
     and blank texts have neither. Repeated records are judged each.
     """
     read = read_messages(docs, key, text)
-    verdicts = mine_templates(read).select("m", "verdict")
+    verdicts = judge_messages(read)
     parts = read.select("row_no", F.explode("parts").alias("p")).select("row_no", "p.m", "p.n")
     hit = parts.join(verdicts, "m").groupBy("row_no").agg(F.sum("n").alias("bad"), F.max(F.col("verdict") != "margin").alias("real"))
     joined = read.select("row_no", "k", "slot", "total").join(hit, "row_no", "left").where("slot OR real")

@@ -278,6 +278,17 @@ def test_large_leaves_are_cut(spark, monkeypatch):
     assert residue.residue_records(df, "doc_id", "text").where("residue").count() == 10
 
 
+def test_other_messages_do_not_change_a_verdict(spark, monkeypatch):
+    rows = [(1, "The page was removed."), (2, "The page was renamed."), (3, "The page was deleted."), (4, "The page was printed.")]
+    rows += [(10 + i, f"The page was {w}.") for i, w in enumerate("abcdefgh")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for most in (3, 2000):
+        monkeypatch.setattr(residue, "LEAF", most)
+        for ids in ([1], [1, 2], [1, 2, 3, 4], [r[0] for r in rows]):
+            got = residue.residue_records(df.where(F.col("doc_id").isin(ids)), "doc_id", "text").where("residue").collect()
+            assert {r.doc_id for r in got} == {1, 3} & set(ids)
+
+
 def test_templates_have_slots():
     found = ["access denied for alpha on shelf", "access denied for beta on shelf", "access granted to all on request"]
     assert residue.mine_leaf(found) == ["access denied for <*> on shelf"] * 2 + ["access granted to all on request"]
