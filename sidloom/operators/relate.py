@@ -35,11 +35,36 @@ def user_pairs(df: DataFrame, user: str, item: str, cap: int) -> DataFrame:
     return u.select(user, F.col(item).alias("item_a"), "_n").join(other, user).where("item_a < item_b")
 
 
+def all_user_pairs(df: DataFrame, user: str, item: str, chunk: int = 512) -> DataFrame:
+    """(item_a, item_b) for each user who has both, item_a the smaller, whatever number of items a user has.
+
+    The items of a user of more than ``chunk`` are cut by a hash into chunks
+    and each pair of chunks is a join key of its own, so no task pairs all
+    items of a large user.
+    """
+    u = df.select(F.col(user).alias("_u"), F.col(item).alias("_i")).dropna().distinct()
+    large = u.groupBy("_u").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("_k")).where("_k > 1")
+    cut = u.join(large, "_u", "left").withColumn("_k", F.coalesce("_k", F.lit(1))).withColumn("_c", F.pmod(F.xxhash64("_i"), F.col("_k")).cast("int"))
+    one = cut.select("_u", F.col("_i").alias("_x"), F.col("_c").alias("_lo"), F.explode(F.sequence(F.col("_c"), F.col("_k") - 1)).alias("_hi"))
+    two = cut.select("_u", F.col("_i").alias("_y"), F.explode(F.sequence(F.lit(0), F.col("_c"))).alias("_lo"), F.col("_c").alias("_hi"))
+    pairs = one.join(two, ["_u", "_lo", "_hi"]).where("_lo < _hi OR _x < _y")
+    return pairs.select(F.least("_x", "_y").alias("item_a"), F.greatest("_x", "_y").alias("item_b"))
+
+
 def swing(df: DataFrame, user: str, item: str, alpha: float = 1.0, cap: int = 200) -> DataFrame:
     """(item_a, item_b, score): every user who has both adds 1 / (alpha + its items)."""
     return user_pairs(df, user, item, cap).groupBy("item_a", "item_b").agg(F.sum(1.0 / (F.lit(alpha) + F.col("_n"))).alias("score"))
 
 
+def jaccard(df: DataFrame, user: str, item: str, least: int = 1) -> DataFrame:
+    """(item_a, item_b, jaccard): common users of two items over all their users, for pairs with at least ``least`` common users."""
+    u = df.select(user, item).dropna().distinct()
+    n = u.groupBy(item).agg(F.count(F.lit(1)).alias("n"))
+    k = all_user_pairs(u, user, item).groupBy("item_a", "item_b").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= least)
+    j = k.join(n.select(F.col(item).alias("item_a"), F.col("n").alias("na")), "item_a").join(n.select(F.col(item).alias("item_b"), F.col("n").alias("nb")), "item_b")
+    return j.select("item_a", "item_b", (F.col("k") / (F.col("na") + F.col("nb") - F.col("k"))).alias("jaccard"))
+
+
 def prefix_lookup(keys: DataFrame, scores: DataFrame, codes: list[str], scale: float = 0.5, default: float = 0.0) -> DataFrame:
     """The score of the longest prefix of ``codes`` that is in ``scores``, times scale per code missing.
 

@@ -691,11 +691,22 @@ def upsert_sid(spark, d):
     )
 )
 def jaccard_users(spark, d):
-    five = ratings(spark, d).where("rating >= 5").select("uid", "mid").distinct()
-    n = five.groupBy("mid").agg(F.count(F.lit(1)).alias("n"))
-    k = relate.user_pairs(five, "uid", "mid", 10_000).groupBy("item_a", "item_b").agg(F.count(F.lit(1)).alias("k")).where("k >= 2")
-    j = k.join(n.select(F.col("mid").alias("item_a"), F.col("n").alias("na")), "item_a").join(n.select(F.col("mid").alias("item_b"), F.col("n").alias("nb")), "item_b")
-    return j.select("item_a", "item_b", F.round(F.col("k") / (F.col("na") + F.col("nb") - F.col("k")), 6).alias("jaccard"))
+    """The pairs with at least two common users, as its SQL defines."""
+    return relate.jaccard(ratings(spark, d).where("rating >= 5"), "uid", "mid", 2).withColumn("jaccard", F.round("jaccard", 6))
+
+
+@query(
+    sql(
+        """SELECT p.item_a, p.item_b, round(p.k::DOUBLE / (a.n + b.n - p.k), 6) AS jaccard FROM p JOIN n a ON a.mid = p.item_a JOIN n b ON b.mid = p.item_b""",
+        "ratings",
+        l="SELECT DISTINCT uid, mid FROM ratings WHERE rating >= 4",
+        n="SELECT mid, count(*) AS n FROM l GROUP BY mid",
+        p="SELECT a.mid AS item_a, b.mid AS item_b, count(*) AS k FROM l a JOIN l b ON a.uid = b.uid AND a.mid < b.mid GROUP BY ALL",
+    )
+)
+def jaccard_users_all(spark, d):
+    """Every pair with a common user, of liked items."""
+    return relate.jaccard(liked(spark, d), "uid", "mid").withColumn("jaccard", F.round("jaccard", 6))
 
 
 @query("SELECT uid, built_at, array_to_string(list_slice(list_concat(list_concat(list_slice(tokens, 1, 2), list_slice(tokens, 4, 5)), list_slice(tokens, 7, 8)), 1, 5), ',') AS rejected FROM sequences WHERE len(tokens) > 0")

@@ -107,3 +107,35 @@ def test_trie_and_beam_are_legal(spark):
     assert t.count() == 2 + 2 + 3
     got = prefs.beam_search(spark.range(1).withColumnRenamed("id", "q"), t, -F.col("next").cast("double"), 2).collect()
     assert [(r["path"], r["lp"]) for r in sorted(got, key=lambda r: -r["lp"])] == [("2_0_0", -2.0), ("1_2_3", -6.0)]
+
+
+def test_jaccard_keeps_users_of_any_size(spark):
+    """A user with more items than any cap adds their pairs; small chunks give what large ones give."""
+    from itertools import combinations
+
+    from sidloom.operators import relate
+
+    rows = [("hot", i) for i in range(60)] + [("u", i) for i in range(5)] + [("v", 3), ("v", 70), (None, 1), ("w", None)]
+    df = spark.createDataFrame(rows, "uid string, mid bigint")
+    users = {}
+    for u, i in rows:
+        if u and i is not None:
+            users.setdefault(i, set()).add(u)
+    want = {(a, b): round(len(users[a] & users[b]) / len(users[a] | users[b]), 9) for a, b in combinations(sorted(users), 2) if users[a] & users[b]}
+    assert {(r.item_a, r.item_b): round(r.jaccard, 9) for r in relate.jaccard(df, "uid", "mid").collect()} == want
+    for chunk in (7, 512):
+        got = relate.all_user_pairs(df, "uid", "mid", chunk).collect()
+        assert len(got) == 60 * 59 // 2 + 10 + 1 and {(r.item_a, r.item_b) for r in got} == set(want)
+
+
+def test_jaccard_users_has_no_user_cap(spark, monkeypatch):
+    """The hot users of a table are paired whatever limit the capped operator would be given."""
+    from sidloom.operators import relate
+    from sidloom.plans import registry, relations
+
+    rows = spark.createDataFrame([(u, i, 5) for u in (1, 2) for i in range(50)], "uid bigint, mid bigint, rating int")
+    monkeypatch.setattr(relations, "ratings", lambda *_: rows)
+    pairs = relate.user_pairs
+    monkeypatch.setattr(relate, "user_pairs", lambda df, user, item, cap: pairs(df, user, item, cap // 1000))
+    assert {r.jaccard for r in registry.QUERIES["jaccard_users"](spark, "").collect()} == {1.0}
+    assert registry.QUERIES["jaccard_users"](spark, "").count() == 50 * 49 // 2
