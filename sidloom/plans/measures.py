@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..operators import metrics as m
+from ..operators import pairdist
 from ..operators.registry import degradation
-from ..util import table
-from .base import behavior, ratings, sids, sql
+from ..util import item_key, table
+from .base import behavior, behavior_v2, ratings, sids, sql
 
 Q: dict = {}
 S: dict = {}
@@ -106,6 +107,18 @@ def m_cosine_dist(spark, d):
     return rounded(g, "mean", "std", "least", "most", to=5)
 
 
+@query(
+    f"""WITH u AS ({_UNIT}), p AS (SELECT a.label, list_dot_product(a.v, b.v) AS s FROM u a JOIN u b ON a.label = b.label AND a.vec_id < b.vec_id),
+g AS (SELECT label, count(*) AS pairs, round(avg(s), 5) AS mean, round(stddev_samp(s), 5) AS std, round(min(s), 5) AS least, round(max(s), 5) AS most, list_sort(list(round(s, 5))) AS x FROM p GROUP BY label)
+SELECT label, pairs, mean, std, least, most, x[floor(pairs * 0.05)::BIGINT + 1] AS p5, x[floor(pairs * 0.25)::BIGINT + 1] AS p25, x[(pairs - 1) // 2 + 1] AS median, x[floor(pairs * 0.75)::BIGINT + 1] AS p75, x[floor(pairs * 0.95)::BIGINT + 1] AS p95 FROM g"""
+)
+def m_cosine_dist_all(spark, d):
+    """The distribution over all pairs of a class, each pair once, with median and percentiles."""
+    e = table(spark, d, "embeddings").where("exists(embedding, x -> x <> 0)")
+    g = pairdist.cosine_distribution(e.select(F.col("label").cast("bigint").alias("g"), F.col("vec_id").cast("bigint").alias("id"), F.col("embedding").alias("v")))
+    return rounded(g.withColumnRenamed("g", "label"), "mean", "std", "least", "most", to=5)
+
+
 @query()
 def m_effective_dim(spark, d):
     from ..operators.spectrum import effective_dim
@@ -170,6 +183,16 @@ def m_emb_behavior_corr(spark, d):
     return r.groupBy("label").agg(F.count(F.lit(1)).alias("pairs"), F.round(F.corr("ra", "rb"), 5).alias("spearman"))
 
 
+@query()
+def m_emb_behavior_corr_all(spark, d):
+    """Spearman correlation of cosine and user-Jaccard over all pairs of items with at least 5 users."""
+    v = F.col("v")
+    rows = table(spark, d, "results").select(item_key("content_id").alias("iid"), F.col("embedding").cast("array<double>").alias("v"), "encoded_at")
+    usable = rows.where("iid <> ''").where((F.size(v) == 128) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0))
+    latest = usable.groupBy("iid").agg(F.max_by("v", F.struct("encoded_at", F.xxhash64("v"))).alias("v"))
+    return rounded(pairdist.embedding_behavior_corr(latest, behavior_v2(spark, d).where("action_bitmap > 0")), "spearman")
+
+
 _PN = "SELECT o_custkey AS uid, l_quantity > 25 AS pos, v FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN u ON vec_id = l_partkey"
 
 

@@ -2,6 +2,7 @@
 
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
 from sidloom.functions import bits, scalars
@@ -139,3 +140,39 @@ def test_jaccard_users_has_no_user_cap(spark, monkeypatch):
     monkeypatch.setattr(relate, "user_pairs", lambda df, user, item, cap: pairs(df, user, item, cap // 1000))
     assert {r.jaccard for r in registry.QUERIES["jaccard_users"](spark, "").collect()} == {1.0}
     assert registry.QUERIES["jaccard_users"](spark, "").count() == 50 * 49 // 2
+
+
+@pytest.mark.parametrize("block", [2048, 7])
+def test_embedding_behavior_corr_equals_brute_force(spark, monkeypatch, block):
+    """Real user sets, at least 5 users, every pair; small blocks give what one block gives."""
+    import random
+    from itertools import combinations
+
+    import numpy as np
+
+    from sidloom.operators import pairdist
+
+    monkeypatch.setattr(pairdist, "BLOCK", block)
+    r, rng = random.Random(4), np.random.default_rng(4)
+    x = {f"c{i}": rng.standard_normal(8).tolist() for i in range(30)}
+    acts = [(f"u{r.randrange(40)}", f"c{min(r.randrange(34), r.randrange(34))}") for _ in range(420)] + [(None, "c1")]
+    users = {}
+    for u, i in acts:
+        if u:
+            users.setdefault(i, set()).add(u)
+    ids = sorted(i for i, us in users.items() if len(us) >= 5 and i in x)
+    assert 5 < len(ids) < 30
+    cos, jac = [], []
+    for a, b in combinations(ids, 2):
+        cos.append(round(float(np.dot(x[a], x[b]) / np.linalg.norm(x[a]) / np.linalg.norm(x[b])), 5))
+        jac.append(len(users[a] & users[b]) / len(users[a] | users[b]))
+
+    def ranks(v):
+        v = np.array(v)
+        return np.array([(v < y).sum() + ((v == y).sum() + 1) / 2 for y in v])
+
+    vectors, actions = spark.createDataFrame(list(x.items()), "iid string, v array<double>"), spark.createDataFrame(acts, "uid string, iid string")
+    got = pairdist.embedding_behavior_corr(vectors, actions, least_items=5).first()
+    assert (got.items, got.pairs, got.co_pairs) == (len(ids), len(cos), sum(j > 0 for j in jac))
+    assert abs(got.spearman - np.corrcoef(ranks(cos), ranks(jac))[0, 1]) < 1e-6
+    assert pairdist.embedding_behavior_corr(vectors, actions).first().spearman is None
