@@ -58,12 +58,18 @@ def seq_build(spark, d):
     return _seq_with_span(spark, d)
 
 
-def _seq_with_span(spark, d):
+@query(S["seq_build"].replace("<= 50", f"<= {seq.MAX_ITEMS}"))
+def seq_build_all(spark, d):
+    """With the whole window of the inventory."""
+    return _seq_with_span(spark, d, seq.MAX_ITEMS)
+
+
+def _seq_with_span(spark, d, most=50):
     pos = behavior(spark, d).where(bits.masked(F.col("action_bitmap")) > 0).select("uid", "iid", "first_ts", bits.level(F.col("action_bitmap")).alias("level"))
-    built = seq.build_sequences(pos, sids(spark, d), seq.split_time(pos, "first_ts", 3000), 50)
+    built = seq.build_sequences(pos, sids(spark, d), seq.split_time(pos, "first_ts", 3000), most)
     w = Window.partitionBy("uid")
     known = pos.join(sids(spark, d).select(F.col("content_id").alias("iid")), "iid", "left_semi")
-    kept = known.withColumn("k", F.row_number().over(w.orderBy(F.desc("first_ts"), F.desc("iid")))).where("k <= 50")
+    kept = known.withColumn("k", F.row_number().over(w.orderBy(F.desc("first_ts"), F.desc("iid")))).where(F.col("k") <= most)
     span = kept.groupBy("uid").agg((F.max("first_ts") - F.min("first_ts")).alias("span"))
     return _flat(built).drop("hours").join(span, "uid")
 
@@ -123,8 +129,18 @@ def eval_items(spark, d):
 
 @query("SELECT uid, built_at, array_to_string(list_slice(list_slice(tokens, 1, split_pos), -60, -1), ',') AS context FROM sequences WHERE split_pos > 0 AND len(tokens) > 0")
 def eval_context_pool(spark, d):
+    return _context_pool(spark, d, 60)
+
+
+@query(S["eval_context_pool"].replace("-60", f"-{seq.LAYERS * seq.MAX_ITEMS}"))
+def eval_context_pool_all(spark, d):
+    """With the whole window of the inventory."""
+    return _context_pool(spark, d, seq.LAYERS * seq.MAX_ITEMS)
+
+
+def _context_pool(spark, d, most):
     t = F.slice("tokens", F.lit(1), F.col("split_pos"))
-    last = F.when(F.size(t) > 60, F.slice(t, -60, 60)).otherwise(t)
+    last = F.when(F.size(t) > most, F.slice(t, -most, most)).otherwise(t)
     return table(spark, d, "sequences").where("split_pos > 0 AND size(tokens) > 0").select("uid", "built_at", F.array_join(last.cast("array<string>"), ",").alias("context"))
 
 
@@ -139,9 +155,19 @@ _HISTORY = dict(
 
 @query(sql("SELECT c.uid, c.iid, n_context::INT AS n_context, coalesce(array_to_string(list_slice(list_filter(neg, lambda x: x <> c.iid), 1, 5), ','), '') AS easy, coalesce(array_to_string(list_slice(list_filter(weak, lambda x: x <> c.iid), 1, 5), ','), '') AS hard FROM c JOIN g USING (uid)", "beh", "sid", **_HISTORY))
 def pref_rf_pairs(spark, d):
+    return _rf_pairs(spark, d, 40)
+
+
+@query(S["pref_rf_pairs"].replace("<= 40", f"<= {seq.MAX_ITEMS}"))
+def pref_rf_pairs_all(spark, d):
+    """With the whole window of the inventory."""
+    return _rf_pairs(spark, d, seq.MAX_ITEMS)
+
+
+def _rf_pairs(spark, d, most):
     b = behavior(spark, d).where("action_bitmap <> 0").join(sids(spark, d).select(F.col("content_id").alias("iid")), "iid", "left_semi")
     w = Window.partitionBy("uid")
-    h = b.select("uid", "iid", "first_ts", bits.tier(F.col("action_bitmap")).alias("tier")).withColumn("back", F.row_number().over(w.orderBy(F.desc("first_ts"), F.desc("iid")))).where("back <= 40").withColumn("rn", -F.col("back"))
+    h = b.select("uid", "iid", "first_ts", bits.tier(F.col("action_bitmap")).alias("tier")).withColumn("back", F.row_number().over(w.orderBy(F.desc("first_ts"), F.desc("iid")))).where(F.col("back") <= most).withColumn("rn", -F.col("back"))
     p = prefs.feedback_pairs(h)
     return p.select("uid", "iid", F.size("context").alias("n_context"), F.array_join("easy", ",").alias("easy"), F.array_join("hard", ",").alias("hard"))
 

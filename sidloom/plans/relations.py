@@ -533,7 +533,16 @@ def win_dedup_consecutive(spark, d):
 
 @query(sql("SELECT uid, max(mid) FILTER (rn = n) AS target, array_to_string(list(mid ORDER BY rn) FILTER (rn < n AND n - rn <= 20), ',') AS context FROM o GROUP BY uid HAVING max(n) >= 2", "ratings", o=ORDERED))
 def win_leave_last_out(spark, d):
-    o = seq.ordered(liked(spark, d), "uid", ORD).where("n >= 2 AND n - rn <= 20")
+    return _leave_last_out(seq.ordered(liked(spark, d), "uid", ORD).where("n >= 2 AND n - rn <= 20"))
+
+
+@query(S["win_leave_last_out"].replace(" AND n - rn <= 20", ""))
+def win_leave_last_out_all(spark, d):
+    """The context is all but the last."""
+    return _leave_last_out(seq.ordered(liked(spark, d), "uid", ORD).where("n >= 2"))
+
+
+def _leave_last_out(o):
     g = o.groupBy("uid").agg(F.max(F.when(F.col("rn") == F.col("n"), F.col("mid"))).alias("target"), F.array_sort(F.collect_list(F.when(F.col("rn") < F.col("n"), F.struct("rn", "mid")))).alias("c"))
     return g.select("uid", "target", F.array_join(F.transform("c", lambda x: x["mid"].cast("string")), ",").alias("context"))
 

@@ -176,3 +176,21 @@ def test_embedding_behavior_corr_equals_brute_force(spark, monkeypatch, block):
     assert (got.items, got.pairs, got.co_pairs) == (len(ids), len(cos), sum(j > 0 for j in jac))
     assert abs(got.spearman - np.corrcoef(ranks(cos), ranks(jac))[0, 1]) < 1e-6
     assert pairdist.embedding_behavior_corr(vectors, actions).first().spearman is None
+
+
+def test_long_histories_keep_the_whole_window(spark, tmp_path, monkeypatch):
+    from sidloom.plans import pipelines, registry, relations
+
+    strong = bits.STRONG[0]
+    acts = spark.createDataFrame([("u", f"c{i:03}", strong, i, i, 1) for i in range(180)], "uid string, iid string, action_bitmap int, first_ts bigint, last_ts bigint, event_cnt bigint")
+    codes = spark.createDataFrame([(f"c{i:03}", i, 1, 2, f"{i}_1_2") for i in range(180)], "content_id string, a int, b int, c int, sid string")
+    monkeypatch.setattr(pipelines, "behavior", lambda *_: acts)
+    monkeypatch.setattr(pipelines, "sids", lambda *_: codes)
+    assert len(registry.QUERIES["seq_build_all"](spark, "").first().tokens.split(",")) == 510
+    assert max(r.n_context for r in registry.QUERIES["pref_rf_pairs_all"](spark, "").collect()) == 169
+    spark.createDataFrame([("u", 1, list(range(600)), 600)], "uid string, built_at bigint, tokens array<int>, split_pos int").write.parquet(f"{tmp_path}/sequences.parquet")
+    assert registry.QUERIES["eval_context_pool_all"](spark, str(tmp_path)).first().context.split(",") == [str(i) for i in range(90, 600)]
+    rated = spark.createDataFrame([(1, i, i, 5, i, 1) for i in range(300)], "uid bigint, mid bigint, ts bigint, rating int, okey bigint, lno int")
+    monkeypatch.setattr(relations, "ratings", lambda *_: rated)
+    row = registry.QUERIES["win_leave_last_out_all"](spark, "").first()
+    assert row.target == 299 and row.context.split(",") == [str(i) for i in range(299)]
