@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from .. import scratch
 from ..functions import bits, scalars
 from ..operators import relate
 from ..operators import sequences as seq
@@ -126,6 +127,11 @@ def self_swing(spark, d):
     return relate.swing(ratings(spark, d).where("rating >= 5"), "uid", "mid").withColumn("score", F.round("score", 6)).where("score >= 0.2")
 
 
+@query(S["self_swing"].replace(" WHERE score >= 0.2", ""))
+def self_swing_all(spark, d):
+    return relate.swing(ratings(spark, d).where("rating >= 5"), "uid", "mid").withColumn("score", F.round("score", 6))
+
+
 @query(
     sql(
         "SELECT a.mid AS a, b.mid AS b, round(sum(1.0::DOUBLE / (b.rn - a.rn)), 6) AS weight FROM o a JOIN o b ON a.uid = b.uid AND b.rn > a.rn AND b.rn - a.rn <= 5 GROUP BY ALL HAVING sum(1.0::DOUBLE / (b.rn - a.rn)) >= 1.5",
@@ -138,6 +144,27 @@ def self_window_cooccur(spark, d):
     return relate.band_pairs(o, "uid", "mid", "rn", 5).groupBy("a", "b").agg(F.sum("weight").alias("w")).where("w >= 1.5").select("a", "b", F.round("w", 6).alias("weight"))
 
 
+_BOTH = ("1.0::DOUBLE / (b.rn - a.rn)", "1.0::DOUBLE / abs(b.rn - a.rn)"), ("b.rn > a.rn AND b.rn - a.rn <= 5", "b.rn <> a.rn AND abs(b.rn - a.rn) <= 5"), (" HAVING sum(1.0::DOUBLE / abs(b.rn - a.rn)) >= 1.5", "")
+
+
+def _both_ways(oracle):
+    for old, new in _BOTH:
+        oracle = oracle.replace(old, new)
+    return oracle
+
+
+def _window_weights(spark, d):
+    """Weights of items within 5 places before or after, whatever they sum to."""
+    w = relate.band_pairs(seq.ordered(liked(spark, d), "uid", ORD), "uid", "mid", "rn", 5)
+    both = w.unionByName(w.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
+    return both.groupBy("a", "b").agg(F.round(F.sum("weight"), 6).alias("weight"))
+
+
+@query(_both_ways(S["self_window_cooccur"]))
+def self_window_cooccur_all(spark, d):
+    return _window_weights(spark, d)
+
+
 @query(sql("SELECT content_id, count(*) OVER (PARTITION BY a, b) - 1 AS neighbors FROM sid", "sid"))
 def join_prefix_neighbors(spark, d):
     """How many other items share the first two codes, without forming the pairs."""
@@ -340,6 +367,17 @@ def agg_popularity(spark, d):
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "iid")).cast("bigint"))
 
 
+@query(S["agg_popularity"].replace(" QUALIFY rank <= 1000", ""))
+def agg_popularity_all(spark, d):
+    """Frequency and rank of every item: places inside range partitions, plus the sizes of those before."""
+    n = behavior_v2(spark, d).where("action_bitmap > 0").groupBy("iid").agg(F.count(F.lit(1)).alias("n"))
+    cut = scratch.keep(n.repartitionByRange(F.desc("n"), "iid").withColumn("p", F.spark_partition_id()), "popularity")
+    sizes = cut.groupBy("p").agg(F.count(F.lit(1)).alias("c"))
+    first = sizes.select("p", (F.sum("c").over(Window.orderBy("p")) - F.col("c")).alias("skip"))
+    place = F.row_number().over(Window.partitionBy("p").orderBy(F.desc("n"), "iid"))
+    return cut.join(F.broadcast(first), "p").select("iid", "n", (place + F.col("skip")).cast("bigint").alias("rank"))
+
+
 @query(r"SELECT iid, n, CASE WHEN n < 3 THEN 'cold' WHEN n < 10 THEN 'warm' ELSE 'hot' END AS bucket FROM (SELECT lower(trim(e, E' \t\r\n')) AS iid, count(*) AS n FROM (SELECT unnest(eval_cids) AS e FROM sequences) WHERE e IS NOT NULL GROUP BY 1) WHERE iid <> ''")
 def agg_item_freq_bucket(spark, d):
     e = table(spark, d, "sequences").select(F.explode("eval_cids").alias("e")).select(item_key("e").alias("iid")).where("iid <> ''").groupBy("iid").agg(F.count(F.lit(1)).alias("n"))
@@ -631,6 +669,12 @@ def topk_seed_candidates(spark, d):
     return g.withColumn("r", F.row_number().over(Window.partitionBy("seed").orderBy(F.desc("w"), "cand"))).where("r <= 3").drop("r")
 
 
+@query(_both_ways(S["topk_seed_candidates"]).replace("<= 3", "<= 2000"))
+def topk_seed_candidates_all(spark, d):
+    g = _window_weights(spark, d).select(F.col("a").alias("seed"), F.col("b").alias("cand"), F.col("weight").alias("w"))
+    return g.withColumn("r", F.row_number().over(Window.partitionBy("seed").orderBy(F.desc("w"), "cand"))).where("r <= 2000").drop("r")
+
+
 @query("SELECT p_brand, p_size, round(avg(p_retailprice), 4) AS recall FROM part GROUP BY 1, 2 ORDER BY coalesce(recall, 0) DESC, p_brand, p_size LIMIT 5")
 def sort_grid(spark, d):
     g = table(spark, d, "part").groupBy("p_brand", "p_size").agg(F.round(F.avg("p_retailprice"), 4).alias("recall"))
@@ -670,6 +714,13 @@ def union_pairs(spark, d):
     return relate.adjacent_pairs(five, "uid", "mid", ORD).unionByName(sw).distinct()
 
 
+@query(S["union_pairs"].replace(" WHERE score >= 0.2", ""))
+def union_pairs_all(spark, d):
+    five = ratings(spark, d).where("rating >= 5")
+    sw = relate.swing(five, "uid", "mid").select("item_a", "item_b")
+    return relate.adjacent_pairs(five, "uid", "mid", ORD).unionByName(sw).distinct()
+
+
 @query(sql("SELECT content_id FROM ri INTERSECT SELECT iid FROM b2", "b2", ri=RI))
 def intersect_exposed(spark, d):
     r = table(spark, d, "results").select(item_key("content_id").alias("content_id")).where("content_id IS NOT NULL")
