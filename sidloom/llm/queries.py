@@ -13,7 +13,7 @@ from .frequent import frequent_items, latest_targets
 from .leakage import leaked_passages
 from .neighbors import similar_items
 from .packing import WINDOW, pack_documents
-from .residue import mine_templates, read_messages, residue_records
+from .residue import read_messages, residue_records, template_verdicts
 from .vectors import latest_vectors
 
 
@@ -105,11 +105,9 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every template with a verdict: how many different messages and how many occurrences it has."""
+    """Every template with a verdict: what decided it, and in how many records it is."""
     read = read_messages(table(spark, sf_dir, "documents"), "doc_id", "text")
-    uses = read.select(F.explode("parts.m").alias("m")).groupBy("m").agg(F.count(F.lit(1)).alias("n"))
-    found = mine_templates(read).join(uses, "m").groupBy("template", "verdict")
-    return found.agg(F.count(F.lit(1)).alias("messages"), F.sum("n").alias("occurrences"))
+    return template_verdicts(read).groupBy("template", "verdict").agg(F.sum("records").alias("records"))
 
 
 QUERIES = {

@@ -1,254 +1,341 @@
 """Records that hold template residue, error pages or filler in place of content.
 
-Messages (sentences) of all records, with their numbers masked, are classified
-once each, by rules over their own words: a slot of a template may stand where
-a deciding word was, so a template can't decide for its messages. The verdict
-is propagated to the records. Messages with a verdict are reduced to templates
-with a prefix tree of fixed depth: the verdict, the number of tokens, the first
-tokens, and the trigger words that it has name a leaf; inside a leaf, messages
-that agree in most positions share a template whose other positions are slots.
-Equal messages are merged before all that. Unresolved slots inside ordinary records are
-detected separately, in the text without code and quotations.
+1. Records are cut into messages (sentences, lines) whose numbers are masked.
+2. Templates are mined with a prefix tree of fixed depth. A message's path is
+   its number of tokens, its first and its last token; a leaf's template keeps
+   the tokens that all its messages have at a position and has a slot elsewhere.
+   A path is a function of the message alone and templates come from least and
+   largest tokens, so mining is one aggregation whose result doesn't depend on
+   order, partitions or any bound, and no task compares messages.
+3. Every template is classified once. Seeds (a short public vocabulary of error
+   pages, script notices and filler) label the templates that hold them; a
+   text model fitted on a bounded sample of labelled templates judges the other
+   templates, each by the model that has not seen it; templates that stand
+   mostly among such messages (links back, references) are margin.
+4. Verdicts go back to the messages of a template, and so to the records. A
+   message with a seed of its own keeps its verdict whatever its template says.
+
+Unresolved slots inside ordinary records are detected separately, in the text
+without code and quotations. Everything but the model runs as built-in
+expressions over the texts.
 """
 
 from __future__ import annotations
 
-import re
+import math
+import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import scratch
 
-#: Tokens that name a leaf, agreement needed to share a template, messages of a leaf that one task compares.
-PREFIX, AGREE, LEAF = 3, 0.7, 2000
+#: Positions of a template that are told apart; what follows the last is one slot.
+DEPTH = 12
+#: Most labelled templates (of either label) that the model is fitted on, taken by hash; fewest of either that it needs.
+SAMPLE, ENOUGH = 20_000, 30
+#: Hashed features, passes and strength of regularisation of the model; chance from which a template is residue.
+WIDTH, PASSES, RIDGE, SURE = 1 << 18, 80, 1e-4, 0.5
+#: A template is margin if it is in so many records, whose other text is such messages to this part on average.
+RECORDS, AMONG = 3, 0.5
 SLOT = "<*>"
 
-# --- placeholders -----------------------------------------------------------
-
-_NAME = r"[A-Za-z][A-Za-z_. ]*"
-PLACEHOLDER = re.compile(
-    "|".join(
-        [
-            r"\{\{\{?\s*[\w.|]+(?: [\w.|]+)*\s*\}?\}\}",
-            r"\$\{\s*[A-Za-z][\w. ]*\}",
-            r"#\{\s*[A-Za-z][\w. ]*\}",
-            r"<%=?\s*[A-Za-z][\w. ]*\s*%>",
-            r"\{%\s*[A-Za-z][\w. ]*\s*%\}",
-            r"%%[A-Z][A-Z_]+%%|%[A-Z][A-Z_]{2,}%",
-            r"(?<![A-Za-z0-9_])__[A-Z][A-Z_]*[A-Z]__(?![A-Za-z0-9_])",
-            r"@@[A-Za-z][\w.]*@@",
-            r"~~[A-Z][A-Z_]+~~",
-            r"\(\([A-Za-z][\w. ]*\)\)",
-            r"\[\[[A-Za-z][\w. ]*\]\]",
-            r"\*\|[A-Za-z]\w*\|\*",
-            r"\$[A-Z][A-Z_]{2,}\$",
-            rf"\[(?:INSERT|ENTER|ADD) {_NAME}\]",
-            rf"\[{_NAME} HERE\]",
-            r"\[(?:Your|Enter|Insert) [a-z][a-z_. ]*\]",
-            r"<[A-Z][A-Z_]*_HERE>|<(?:INSERT|YOUR)_[A-Z_]+>",
-            r"«[A-Z][a-z]+(?: [A-Z][a-z]+){0,2}»",
-            r"(?<![\w$#%{])\{[a-z][a-z_]*(?:\.[a-z_]+)*\}(?!\})",
-        ]
-    )
-)
-_FENCE = re.compile(r"^[ \t]*(```|~~~).*?^[ \t]*\1[ \t]*$", re.S | re.M)
-_CODE = re.compile(r"``[^\n]*?``|`[^`\n]*`|<code\b.*?</code>|<pre\b.*?</pre>", re.S | re.I)
-_QUOTE = re.compile(r"\"[^\"\n]{1,200}\"|“[^”\n]{1,200}”|„[^“”\n]{1,200}[“”]|「[^」\n]{1,200}」")
-_TAGS = re.compile(r"<(?:script|style)\b.*?</(?:script|style)\s*>|<!--.*?-->|</?[a-z!][^<>\n]*>", re.S | re.I)
-_ENDS = re.compile(r"(?<=[.!?…])[\"'”)]?\s+(?=\S)|(?<=[。！？])")
-_NUMBER = re.compile(r"\b(?=[0-9a-fA-F]*\d)[0-9a-fA-F]{5,}\b|\d+(?:[.,]\d+)*")
-_SPACE = re.compile(r"\s+")
-
-# --- words of error pages, notices and filler, by language -------------------
-# Rules over whole messages in lower case with numbers masked as <*>.
-
-_SCRIPT_WORD = r"(?:java\s?script|scripts?|scripting|skripte?|cookies?|脚本)"
-_SCRIPT_VERB = (
-    r"(?:enabl|activ|allow|turn(?:ed)? (?:it |them )?o[nf]|switch(?:ed)? (?:it |them )?o[nf]|requir|needs?\b|must|off\b|blocked|disabled|missing|not (?:supported|available|allowed|running)|unavailable|"
-    r"aktivier|benötig|erforder|erlaub|einschalt|deaktiviert|exige|nécess|requier|autoris|désactivé|bloqu|necesit|habilit|requiere|permit|"
-    r"打开|开启|启用|允许|需要|禁用|关闭)"
-)
-_NOTICE = [
-    rf"^(?!.*\b(?:without|ohne|sans|sin)\b)(?=.*{_SCRIPT_WORD})(?=.*{_SCRIPT_VERB})",
-    r"^your browser .*(?:run|too old|not supported|refuses)|^(?:ihr|dein) browser|^votre navigateur|^su navegador|您的浏览器|浏览器.*(?:不支持|版本)",
-    r"^nothing can be shown without|^the \w+ needs it\.?$|^it is required to continue|^loading(?:\.\.\.|…)|^wird geladen|^chargement|^cargando|加载中",
-]
-_ERROR = [
-    r"^http/<\*>|^(?:server|content-length|content-type|connection|date|retry-after|via|location|upstream|x-[\w-]+): ?\S",
-    rf"^(?:#+ )?(?:error|erreur|fehler|错误)(?: code)? ?{re.escape(SLOT)}",
-    rf"^(?:#+ )?{re.escape(SLOT)}[ :-]*(?:not found|forbidden|bad gateway|bad request|internal server error|service (?:temporarily )?unavailable|gateway time-?out|too many requests|unauthori[sz]ed|gone|moved permanently|request timeout)",
-    r"^(?:not found|forbidden|bad gateway|internal server error|service unavailable|gateway time-?out)\.?$",
-    r"^access denied|^permission denied|permission to (?:view|open|access)|^zugriff verweigert|^accès (?:refusé|interdit)|^acceso denegado|拒绝访问|(?:没有|无).{0,4}权限|无权",
-    r"^(?:oops|whoops|hoppla|ups)\b|^sorry, (?:something|we|this|the|an)|something went wrong|^leider ist ein fehler|^une erreur (?:est|s'est)|^se ha producido un error|出错了|发生错误|出现错误|出了点问题",
-    r"^(?:please )?try (?:again|later)|^(?:bitte )?versuchen sie|^bitte (?:später|noch einmal|erneut)|^(?:veuillez |merci de )?(?:réessay|essayer)|^(?:por favor,? )?(?:vuelva a intentar|inténtel|intente|pruebe)|请?稍后(?:再试|重试)",
-    r"^too many (?:attempts|requests)|^zu viele (?:anfragen|versuche)|^trop de (?:requêtes|tentatives)|^demasiad[ao]s (?:intentos|solicitudes)|请求过于频繁|尝试次数过多",
-    r"prove that you are (?:a )?human|are you (?:a )?(?:human|robot)|verify (?:that )?you are|bestätigen sie, dass sie|prouvez que vous|demuestre que|验证您?是",
-    r"session has expired|^sign in (?:again )?to continue|^(?:please )?(?:log|sign) in to|sitzung ist abgelaufen|^(?:bitte )?melden sie sich|session a expiré|^(?:re)?connectez-vous|^veuillez vous (?:re)?connecter|sesión ha (?:caducado|expirado)|^inicie sesión|会话已过期|请(?:重新)?登录",
-    r"^(?:the|this|that|your|our|one) (?:page|post|item|request|list|feed|shelf|content|app|link|address|session|comment|article|file|record|entry)s?(?: (?:you|that) \w+(?: \w+)?(?: for)?)? (?:timed out|failed to|does not exist|no longer exists?|could not be|cannot be|can't be|(?:was|were|is|has been) (?:taken down|not (?:found|loaded|shown|available|reachable)|removed|deleted|blocked|moved|withdrawn|gone|closed|empty|unavailable|offline|down\b)|is not\b|has (?:been (?:removed|deleted|moved|blocked)|expired)|expired)",
-    r"no longer available|can't find (?:that|the|this) page|^it may have been (?:moved|removed)|could not be (?:shown|loaded|found|displayed)|^check the address|^tell us if this goes on",
-    r"(?:page|item|content|list|feed|shelf|javascript|app|request)(?: you \w+)? (?:was|is|has been) (?:blocked|removed|deleted|gone)",
-    r"(?:is|are) unavailable right now|temporarily unavailable|服务暂时不可用|暂时无法",
-    r"(?:seite|liste|inhalt|eintrag|artikel|beitrag|anwendung|laden|app)\b.*(?:nicht gefunden|gelöscht|gesperrt|entfernt|konnte nicht|kann nicht|antwortet nicht|nicht (?:mehr )?verfügbar|blockiert|existiert nicht)",
-    r"(?:page|liste|contenu|article|appli\w*|élément)\b.*(?:introuvable|supprimée?|bloquée?|retirée?|a expiré|n'a pas répondu|n'existe (?:plus|pas)|indisponible|n'a pas pu)",
-    r"(?:página|lista|contenido|artículo|tienda|aplicación|elemento)\b.*(?:no se encuentra|no existe|ya no|bloquead[ao]|eliminad[ao]|retirad[ao]|no (?:está )?disponible|tardó demasiado|ha caducado|no se (?:ha podido|pudo))",
-    r"(?:页面|内容|列表|条目|网页|该?项目?).*(?:不存在|无法访问|已(?:被)?(?:删除|移除|下架)|(?:被)(?:拦截|屏蔽|阻止)|不可用|无法(?:加载|显示))",
-    r"^(?:warning|fatal|critical|panic|err|uncaught [\w ]+)\b:? .*(?:no such|time-?out|timed out|exceeded|refused|reset|failed|undefined|unexpected|not found|ref )|\(ref <\*>\)\.?$",
-    r"\bwurde (?:gelöscht|entfernt|gesperrt|blockiert|verschoben)|\bist (?:nicht (?:mehr )?(?:erreichbar|verfügbar)|gesperrt|blockiert)\b|existiert nicht mehr|ladefehler",
-    r"\b(?:a été|est) (?:supprimée?|bloquée?|retirée?|déplacée?|introuvable|indisponible|inaccessible)|n'existe plus|échec du chargement",
-    r"\b(?:ha sido|fue|está) (?:eliminad|retirad|bloquead|borrad|movid)[ao]|ya no existe|no está disponible|no se pudo cargar|error al cargar",
-    r"加载失败|无法加载|无法打开|已失效|超时",
-    r"^traceback \(most recent|^file [\"⟨].* line <\*>|^\w*(?:error|exception): ?|^at [\w.$]+\([\w.]+:<\*>\)|^body = item\[",
-    r"^\{.*(?:status|code).*(?:error|forbidden|denied|not found|message).*\}$",
-]
-_MARGIN = [
-    r"^<< ?\w+ ?>>$|^(?:back|retry|home|reload|menu)$|^home( \| \w+)+$|^© ?\w+$|^ref <?\*?>?[0-9a-f<*>]*\.?$",
-    r"^(?:allow scripts|go back to|reload after|zurück zu[mr]?|retour (?:à|au)|volver al?)\b|^返回",
-]
-_FILLER = [
-    r"^lorem\b|\blorem ipsum\b|\bdolor sit amet\b",
-    r"^(?:this is )?(?:dummy|placeholder|sample|filler|example) (?:text|copy|content)\b.*(?:here|\.|$)|^(?:your|the) (?:\w+ )?(?:description|text|title|content|copy) goes here|^add (?:your )?(?:body |more )?(?:copy|text|content)(?: here)?\.?$",
-    r"^heading (?:one|two|three|<\*>)$|^(?:untitled|no title|no content|text here|type here)\b",
-    r"^(?:hier steht|dies ist ein) (?:ihr |ein )?(?:blindtext|platzhalter|beispieltext)|^blindtext|^texte? (?:d'exemple|de remplissage)|^texto de (?:ejemplo|relleno)|^(?:此处|这里)(?:填写|输入|是示例)|^示例文本|^占位",
-]
-_RULES = [("notice", re.compile("|".join(f"(?:{r})" for r in _NOTICE))), ("error", re.compile("|".join(f"(?:{r})" for r in _ERROR))), ("filler", re.compile("|".join(f"(?:{r})" for r in _FILLER))), ("margin", re.compile("|".join(f"(?:{r})" for r in _MARGIN)))]
-#: Words that set templates apart; messages that differ in them never share one.
-_TRIGGER = re.compile(
-    r"script|skript|cookie|脚本|browser|navig|error|erreur|fehler|错误|denied|verweigert|refus|denegad|blocked|bloqu|gesperrt|gelöscht|found|introuvable|existe|unavailable|expired|lorem|ipsum|dummy|sample|"
-    r"placeholder|goes|here|human|again|later|retry|不存在|无法|稍后|todo|tbd|undefined|null|nan|none|wrong|sorry|oops|permission|page|página|seite|页面|available|attempts|copy|text"
-)
-_KEYS = ("qwertyuiop", "asdfghjkl", "zxcvbnm", "1234567890")
-_MARK = re.compile(r"(?:todo|tbd|tba|n/?a|fixme|x{2,}|-{2,}|\.{3}|…|_{2,}|\?{2,}|\*{3,}|<\*>)[.:,;]?")
-_EMPTY = {"undefined", "null", "nan", "none", "nil", "[object", "object]", "[object object]"}
-
-
-def messages(text: str) -> tuple[bool, int, list[tuple[str, int]]]:
-    """(has an unresolved slot, characters without blanks, [(masked message, its characters)])."""
-    bare = _FENCE.sub("\n", text) if "```" in text or "~~~" in text else text
-    code = len(_SPACE.sub("", text)) - len(_SPACE.sub("", bare))
-    if "`" in bare or "<code" in bare or "<pre" in bare:
-        bare = _CODE.sub(" ⟨code⟩ ", bare)
-    slot = bool(PLACEHOLDER.search(_QUOTE.sub(" ", bare)))
-    visible = _TAGS.sub("\n", bare) if "<" in bare else bare
-    total, out = code, []
-    for line in visible.split("\n"):
-        line = line.strip().removeprefix("> ").strip("*_ \t")
-        if not line:
-            continue
-        whole = line[:5].lower() == "lorem" or line[0] in "{[|"
-        for part in [line] if whole else _ENDS.split(line):
-            part = part.strip() if part else ""
-            if not part:
-                continue
-            n = len(_SPACE.sub("", part))
-            total += n
-            said = _QUOTE.sub(" ⟨quote⟩ ", part) if not whole and not part.lower().startswith("file ") else part
-            out.append((_SPACE.sub(" ", _NUMBER.sub(SLOT, said)).strip().lower(), n))
-    return slot, total, out
-
-
-def classify(message: str) -> str | None:
-    """notice, error, filler or margin (what surrounds such a message), or null for anything else."""
-    words = message.split(" ")
-    plain = [w.strip(".,;:!?") for w in words]
-    letters = [w for w in plain if w]
-    if all(_MARK.fullmatch(w) for w in words) and any(w != SLOT for w in words):
-        return "filler"
-    if letters and all(w in _EMPTY for w in letters):
-        return "filler"
-    if len(letters) >= 2 and all(len(w) >= 3 and any(w in k or all(w[i : i + 3] in k for i in range(len(w) - 2)) for k in _KEYS) for w in letters):
-        return "filler"
-    if len(letters) >= 3 and len(set(letters)) == 1:
-        return "filler"
-    for verdict, rule in _RULES:
-        if rule.search(message):
-            return verdict
-    return None
-
-
-def leaf(message: str) -> str:
-    """Where a message goes in the tree of fixed depth."""
-    tokens = message.split(" ")
-    return " ".join([str(len(tokens)), *(SLOT if SLOT in t else t for t in tokens[:PREFIX])]) + "\x1f" + " ".join(t for t in tokens if _TRIGGER.search(t))
-
-
-def mine_leaf(found: list[str]) -> list[str]:
-    """The template of each message of one leaf; all have the same number of tokens."""
-    templates: list[list[str]] = []
-    mine: list[list[str]] = []
-    for m in found:
-        tokens = m.split(" ")
-        least = AGREE * len(tokens)
-        for t in templates:
-            if sum(map(str.__eq__, t, tokens)) >= least:
-                for i, b in enumerate(tokens):
-                    if t[i] != b:
-                        t[i] = SLOT
-                break
-        else:
-            t = tokens
-            templates.append(t)
-        mine.append(t)
-    return [" ".join(t) for t in mine]  # as they are after the last merge
-
-
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(pa.struct([("m", pa.string()), ("n", pa.int64())]))
-    for b in batches:
-        texts = b.column("t").to_pylist()
-        for s in range(0, len(texts), 1000):
-            got = [messages(t) if t and not t.isspace() else (False, 0, []) for t in texts[s : s + 1000]]
-            yield pa.RecordBatch.from_arrays(
-                [b.column("k").slice(s, 1000), pa.array([g[0] for g in got]), pa.array([g[1] for g in got], pa.int64()), pa.array([[{"m": m, "n": n} for m, n in g[2]] for g in got], kind)],
-                names=["k", "slot", "total", "parts"],
-            )
-
-
-def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column("m"), pa.array([classify(m) for m in b.column("m").to_pylist()], pa.string())], names=["m", "verdict"])
-
-
-def _leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+# --- placeholders (expressions of Java's dialect) ------------------------------
+
+_ID = r"[A-Za-z][\w.]*(?: [\w.]+){0,3}"
+_CAPS = r"[A-Z][A-Z_.]*[A-Z]"
+PLACEHOLDER = r"(?=[{\[(<%$#@!&~^|*=+:«_])(?:" + "|".join(
+    [
+        # brackets in pairs around a name: {{x}}, {{{x}}}, [[x]], ((x)), <<x>>, {%x%}, <%x%>, {#x#}, <?x?>, [%x%], ${{x}}
+        rf"\{{\{{\{{?[-#/!&^>@$]?\s*{_ID}(?:\s*[|:]\s*[\w. '()]+)*\s*\}}?\}}\}}",
+        rf"\[\[\s*{_ID}\s*\]\]|\(\(\s*{_ID}\s*\)\)|<<\s*[A-Za-z][\w.]*\s*>>(?!\s*$)|\[%\s*{_ID}\s*%\]|\[#\s*{_ID}\s*#\]",
+        rf"\{{[%#$@!:=]\s*{_ID}\s*[%#$@!:=]?\}}|<[%?#$]=?-?\s*{_ID}\s*[%?#$]>|<[#$@][A-Za-z][\w.]*>|\[[$@=:][A-Za-z][\w.]*\]",
+        # a sigil before brackets: ${x}, #{x}, %{x}, @{x}, $(x), %(x)s, ${{x}}
+        rf"[$#%@!&~]\{{\s*[A-Za-z][\w. ]*\s*\}}|[$#@]\(\s*[A-Za-z][\w.]*\s*\)|%\([A-Za-z]\w*\)[sdfr]",
+        # the same sign on both sides of a name in capitals: %%X%%, @@x@@, ##X##, __X__, ~~X~~, $X$, %X%, |*X*|, *|X|*
+        rf"%%[A-Za-z][\w.]*%%|@@[A-Za-z][\w.]*@@|##{_CAPS}##|\$\$[A-Za-z]\w*\$\$|~~{_CAPS}~~|\^\^[A-Za-z]\w*\^\^|!!{_CAPS}!!|\|\|{_CAPS}\|\||=={_CAPS}==|\+\+{_CAPS}\+\+|::{_CAPS}::",
+        rf"(?<![A-Za-z0-9_])__{_CAPS}__(?![A-Za-z0-9_])|%{_CAPS}%|\${_CAPS}\$|(?<![\w#])#{_CAPS}#(?!\w)|(?<![\w@])@{_CAPS}@(?!\w)|\^{_CAPS}\^",
+        r"\*\|[A-Za-z][\w:.]*\|\*|\|\*[A-Za-z][\w:.]*\*\|",
+        # words of a form: [INSERT NAME], [NAME HERE], [Your name], <YOUR_NAME>, <insert name>, «Name», YOUR_NAME_HERE
+        r"\[(?:INSERT|ENTER|ADD|YOUR|PUT|FILL IN|TYPE|SELECT|CHOOSE) [A-Za-z][A-Za-z_. ]*\]|\[[A-Za-z][A-Za-z_. ]* (?:HERE|GOES HERE|here|goes here)\]|\[(?:Your|Enter|Insert|Add|your|enter|insert) [a-z][a-z_. ]*\]",
+        r"<[A-Za-z][A-Za-z_]*_HERE>|<(?:INSERT|YOUR|ENTER|ADD)[_ ][A-Z_ ]+>|<(?:insert|your|enter|add)[_ -][a-z_ -]+>|\((?:INSERT|YOUR|ENTER|ADD) [A-Z_ ]+\)",
+        r"«[A-Z][a-z_]+(?: [A-Z][a-z_]+){0,2}»",
+        # format strings: {name}, {0}, %s
+        r"(?<![\w$#%{])\{[a-z][a-z_]*(?:\.[a-z_]+)*\}(?!\})|(?<![\w$#%{])\{\d\}(?!\})|(?<=\s)%[sd](?=[\s.,;:!?]|$)",
+    ]
+) + r")|\b(?:INSERT|YOUR|ENTER)(?:_[A-Z]+)+_HERE\b|\b[A-Z]+_PLACEHOLDER\b|\bPLACEHOLDER_[A-Z]+\b|\b(?:REPLACE|CHANGE)_ME\b"
+_FENCE = r"(?sm)^[ \t]*(```|~~~).*?^[ \t]*\1[ \t]*$"
+_CODE = r"(?si)``[^\n]*?``|`[^`\n]*`|<code\b.*?</code>|<pre\b.*?</pre>"
+_QUOTE = r"\"[^\"\n]+\"|“[^”\n]+”|„[^“”\n]+[“”]|「[^」\n]+」"
+_TAGS = r"(?si)<(?:script|style)\b.*?</(?:script|style)\s*>|<!--.*?-->|</?[a-z!][^<>\n]*>"
+_ENDS = r"(?<=[.!?…])[\"'”)]?\s+(?=\S)|(?<=[。！？])(?!$)"
+_NUMBER = r"\b(?=[0-9a-fA-F])(?=[a-fA-F]*\d)[0-9a-fA-F]{5,}\b|\d+(?:[.,]\d+)*"
+_BLANKS = " \t\r\n\x0b\x0c 　"
+
+# --- seeds: common wordings of error pages, notices and filler, over messages in lower case ----------
+# A rule is tried only where one of its words stands in the message (one Aho-Corasick scan finds all words).
+
+_S = r"<\*>"
+SEEDS: list[tuple[str, str]] = [
+    # scripts
+    ("script cookie", r"\b(?:enable|enabling|activate|allow|permit|turn on|switch on|requires?|needs?|must have) (?:java ?scripts?|scripts?|cookies)\b|\b(?:java ?script|scripts?|scripting|cookies) (?:is|are|must be|needs? to be|ha(?:s|ve) to be|seems? to be) (?:\w+ )?(?:disabled|off|enabled|required|blocked|allowed|turned off|switched off|missing|not (?:available|supported|allowed))\b|\bwith (?:java ?)?scripts? enabled\b"),
+    ("browser", r"\b(?:your|this|the) browser (?:does not|doesn't|cannot|can't|is too old|is not supported|refuses)\b"),
+    ("script cookie", r"\b(?:aktivieren|erlauben) sie (?:bitte )?(?:java ?script|cookies)\b|\bwird java ?script benötigt\b|\bjava ?script (?:ist deaktiviert|muss aktiviert)|\b(?:activer|autoriser|activez|autorisez) java ?script\b|\b(?:exige|nécessite|requiert) java ?script\b|\bjava ?script est désactivé"),
+    ("script cookie", r"\b(?:active|activar|habilite|habilitar|permita|permitir) java ?script\b|\b(?:necesita|requiere|exige) java ?script\b|\bjava ?script está (?:desactivado|bloqueado)"),
+    # errors
+    ("http/", rf"^http/{_S} {_S}"),
+    ("server: content- retry-after: connection: x- via:", r"^(?:server|content-length|content-type|retry-after|connection|via|x-[a-z-]+): ?\S+(?: \S+)?$"),
+    ("error erreur fehler", rf"^(?:#+ )?(?:error|erreur|fehler) ?(?:code )?{_S}|^\w*error: |\ban error (?:has )?occurred\b|\binternal server error\b|\bune erreur (?:est survenue|s'est produite)\b|\b(?:ein fehler aufgetreten|ist ein fehler)\b|\bse ha producido un error\b"),
+    ("exception", r"^\w*exception: "),
+    ("not found", r"^[^\w]*(?:#+ )?(?:<\*>[ :-]+)?(?:page |file )?not found\W*$"),
+    ("forbidden gateway unavailable unauthori request gone", rf"^(?:#+ )?(?:{_S}[ :-]+)?(?:forbidden|bad gateway|bad request|service (?:temporarily )?unavailable|gateway time-?out|too many requests|unauthori[sz]ed|{_S} gone)\W*$|\bunavailable right now\b|\btemporarily unavailable\b"),
+    ("denied permission", r"\b(?:access|permission) denied\b|\b(?:do|does) not have permission\b"),
+    ("oops wrong try again", r"^oops\b|\bsomething went wrong\b|^(?:please )?try again\b"),
+    ("too many", r"\btoo many (?:attempts|requests)\b"),
+    ("human robot", r"\b(?:you are|you're|are you) (?:a )?(?:human|not a robot)\b"),
+    ("session sign log", r"\bsession has expired\b|^(?:please )?sign in (?:again )?to\b|^(?:please )?log in\b"),
+    ("available", r"\bno longer available\b"),
+    ("find", r"\b(?:can't|cannot|could not|couldn't) find (?:that|the|this) page\b"),
+    ("be found be loaded be shown be displayed be reached be opened", r"\b(?:could not|couldn't|cannot|can't) be (?:found|loaded|shown|displayed|reached|opened)\b"),
+    ("exist", r"\b(?:does not|doesn't|no longer) exists?\b"),
+    ("failed to", r"\bfailed to load\b"),
+    ("timed out expired taken down blocked removed deleted moved", r"^(?:the|this|that|your) [\w ]{0,30}\b(?:timed out|expired|taken down)\b|^(?:the|this|that|your) (?:page|item|list|post|content|request|link)\b[\w ]{0,20} (?:was|were|has been|have been|is) (?:blocked|removed|deleted|moved)\b|\bmay have been (?:moved|removed|deleted)\b"),
+    ("traceback", r"^traceback \(most recent"),
+    ("warning fatal critical panic uncaught", r"^(?:warning|fatal|critical|panic|uncaught \w+)\b:? .*(?:refused|reset|exceeded|time-?out|timed out|used up|failed|could not|undefined|not found)"),
+    ("status code", r"^\{.*\"(?:status|code)\".*\"(?:error|message)\".*\}$"),
+    ("introuvable refusé interdit réessay connecter existe expiré pas pu être", r"\bpage introuvable\b|\baccès (?:refusé|interdit)\b|\bréessay(?:er|ez)\b|\bveuillez vous (?:re)?connecter\b|\bn'existe plus\b|\bn'a pas pu être (?:chargée?|affichée?|trouvée?)\b|\bsession a expiré\b"),
+    ("gefunden verweigert versuchen melden existiert konnte wurde abgelaufen verfügbar", r"\bnicht gefunden\b|\bzugriff verweigert\b|\bversuchen sie es\b|\bnoch einmal versuchen\b|\bmelden sie sich (?:bitte )?an\b|\bexistiert nicht mehr\b|\bkonnte nicht (?:geladen|gefunden|angezeigt)\b|\bwurde (?:gelöscht|entfernt|gesperrt)\b|\bsitzung ist abgelaufen\b|\bnicht (?:mehr )?verfügbar\b"),
+    ("página denegado intent pruebe sesión existe cargar mostrar eliminad bloquead borrad disponible", r"\bno se (?:encuentra|encontró) la página\b|\bacceso denegado\b|\b(?:vuelva a intentar|inténtelo|pruebe más tarde)|\binicie sesión\b|\bya no existe\b|\bno se (?:pudo|ha podido) (?:cargar|mostrar|encontrar)\b|\bsesión ha (?:caducado|expirado)\b|\bha sido (?:eliminad|bloquead|borrad)[ao]\b|\bno está disponible\b"),
+    # filler
+    ("lorem dolor", r"^lorem\b|\blorem ipsum\b|\bdolor sit amet\b"),
+    ("dummy placeholder sample filler goes here", r"\b(?:dummy|placeholder|sample|filler) (?:text|copy|content)\b|\b(?:text|description|title|content|copy) goes here\b"),
+    ("add heading title content", r"^add (?:your )?(?:body |more )?(?:copy|text|content)\b|^heading (?:one|two|three)$|^(?:no title|untitled|no content)$"),
+    ("blindtext remplissage relleno ejemplo", r"\bblindtext\b|\btexte de remplissage\b|\btexto de (?:relleno|ejemplo)\b"),
+    ("todo tbd tba n/a na fixme xx -- ... … __ ?? *** undefined null nan none nil [object", r"^(?:(?:todo|tbd|tba|n/?a|fixme|x{2,}|-{2,}|\.{3}|…|_{2,}|\?{2,}|\*{3,}|undefined|null|nan|none|nil|\[object object\])[.:,;]?(?: |$))+$"),
+]
+#: The same for Chinese, where messages have no blanks between signs.
+SEEDS_ZH: list[tuple[str, str]] = [
+    ("script 脚本", r"(?:打开|开启|启用|允许)[^。]{0,6}(?:javascript|脚本)|(?:javascript|脚本)[^。]{0,8}(?:禁用|关闭|不可用)"),
+    ("错误 出错 不存在 删除 下架 无法 权限 拒绝 稍后 不可用 登录 失败 过期", r"^错误<\*>|发生错误|出现错误|出错了|(?:页面|内容|列表|条目)[^。]{0,6}(?:不存在|删除|下架|无法访问)|没有(?:访问)?权限|访问被拒绝|稍后(?:再试|重试)|暂时不可用|请(?:先|重新)?登录|(?:加载|打开)失败|会话已过期"),
+    ("示例 占位", r"示例(?:文本|文字)|占位"),
+]
+_KEYS = ("qwertyuiop", "asdfghjkl", "zxcvbnm")
+_PHRASES = ("be ", "too many", "not found", "goes here", "failed to", "taken down", "timed out", "pas pu")
+
+
+class Seeds:
+    """Whether a message has a seed: a word of a rule, then the rule itself, or repeated or typed-along words."""
+
+    def __init__(self):
+        import re
+
+        import ahocorasick
+
+        words: dict[str, list[tuple[bool, re.Pattern]]] = {}
+        for rules, zh in ((SEEDS, False), (SEEDS_ZH, True)):
+            for names, rule in rules:
+                pattern = re.compile(rule)
+                parts, rest = [p for p in (" " + names).split(" ") if p], []
+                while parts:  # phrases of two words stay together
+                    two = " ".join(parts[:2])
+                    take = 2 if len(parts) > 1 and two.startswith(_PHRASES) else 1
+                    rest.append(" ".join(parts[:take]))
+                    parts = parts[take:]
+                for w in rest:
+                    words.setdefault(" ".join(w) if zh and not w.isascii() else w, []).append((zh, pattern))
+        self.scan = ahocorasick.Automaton()
+        for w, rules in words.items():
+            self.scan.add_word(w, rules)
+        self.scan.make_automaton()
+
+    def __call__(self, m: str) -> bool:
+        tried = set()
+        for _, rules in self.scan.iter(m):
+            for zh, rule in rules:
+                if rule not in tried:
+                    tried.add(rule)
+                    if rule.search(m.replace(" ", "") if zh else m):
+                        return True
+        w = m.split(" ", 3)
+        if len(w) > 1 and len(w[0]) > 2:
+            bare = [x.strip(".,;:!?") for x in w[:3]]
+            if (len(w) > 2 and bare[0] == bare[1] == bare[2]) or (any(bare[0] in k for k in _KEYS) and any(bare[1] in k for k in _KEYS) and len(bare[1]) > 2):
+                every = {x.strip(".,;:!?") for x in m.split(" ")}
+                return len(every) == 1 or all(len(x) > 2 and any(all(x[i : i + 3] in k for i in range(len(x) - 2)) for k in _KEYS) for x in every)
+        return False
+
+
+def _seeded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """parts (m, n) to parts (m, n, seed)."""
+    seeds = Seeds()
     for b in batches:
-        m = b.column("m").to_pylist()
-        yield pa.RecordBatch.from_arrays([b.column("m"), b.column("verdict"), pa.array([leaf(x) for x in m], pa.string())], names=["m", "verdict", "leaf"])
+        p = b.column("p")
+        at, end = p.offsets[0].as_py(), p.offsets[len(p)].as_py()
+        inner = p.values.slice(at, end - at)
+        m = inner.field("m")
+        flags = pa.array([seeds(x) for x in m.to_pylist()], pa.bool_())
+        parts = pa.ListArray.from_arrays(pa.array(p.offsets.to_numpy() - at), pa.StructArray.from_arrays([m, inner.field("n"), flags], ["m", "n", "seed"]))
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("row_no", "k", "code", "slot")), parts], names=["row_no", "k", "code", "slot", "parts"])
 
 
-def _mine(key, part):
-    part = part.sort_by("m")
-    found = part.column("m")
-    return pa.table({"m": found, "template": pa.array(mine_leaf(found.to_pylist()), pa.string()), "verdict": part.column("verdict")})
+def _at(tokens: Column, i: int) -> Column:
+    return F.get(tokens, F.lit(i))
 
 
 def read_messages(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(row_no, k, slot, total, parts): the messages of every record, kept."""
+    """(row_no, k, slot, total, parts): the messages of every record, kept.
+
+    slot: a placeholder stands outside code and quotations. total: characters
+    without blanks. parts: each message m (masked, lower case), its characters
+    n, and whether it has a seed of its own.
+    """
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
+    t = F.col("t")
+    size = lambda c: F.length(F.translate(c, _BLANKS, ""))
+    bare = F.when(t.contains("```") | t.contains("~~~"), F.regexp_replace(t, _FENCE, "\n")).otherwise(t)
+    rows = rows.select("k", "t", F.coalesce(bare, F.lit("")).alias("b"))
+    b = F.col("b")
+    rows = rows.select("k", (size(F.coalesce(t, F.lit(""))) - size(b)).alias("code"), F.when(b.rlike("`|<(?i:code|pre)"), F.regexp_replace(b, _CODE, " ⟨code⟩ ")).otherwise(b).alias("b"))
+    rows = rows.select("k", "code", F.regexp_replace("b", _QUOTE, " ").rlike(PLACEHOLDER).alias("slot"), F.when(b.contains("<"), F.regexp_replace(b, _TAGS, "\n")).otherwise(b).alias("b"))
+    strip = lambda x: F.btrim(x, F.lit("*_ \t\r　 "))
+    lines = F.filter(F.transform(F.split("b", "\n"), lambda x: F.when(x.startswith("> "), strip(F.substring(x, 3, 2**31 - 1))).otherwise(strip(x))), lambda x: x != "")
+    whole = lambda x: F.lower(F.substring(x, 1, 5)).isin("lorem") | F.substring(x, 1, 1).isin("{", "[", "|")
+    parts = F.flatten(F.transform(lines, lambda x: F.when(whole(x), F.array(x)).otherwise(F.filter(F.split(x, _ENDS), lambda y: y != ""))))
+
+    # one step at a time: a lambda evaluates an expression as often as it names it
+    rows = rows.select(F.monotonically_increasing_id().alias("row_no"), "k", "code", "slot", parts.alias("p"))
+    rows = rows.select("row_no", "k", "code", "slot", "p", F.transform("p", lambda x: size(x).cast("bigint")).alias("n"))
+    unsaid = lambda x: F.when(x.rlike('["“„「]') & ~whole(x) & ~x.startswith("File "), F.regexp_replace(x, _QUOTE, " ⟨quote⟩ ")).otherwise(x)
+    m = F.transform(F.transform("p", unsaid), lambda x: F.lower(F.regexp_replace(x, _NUMBER, SLOT)))
+    m = F.transform(m, lambda x: F.when(F.octet_length(x) > F.length(x), F.regexp_replace(x, r"(\p{IsHan})", " $1 ")).otherwise(x))
+    m = F.transform(m, lambda x: F.trim(F.when(x.contains("  ") | x.contains("\t"), F.regexp_replace(x, r"\s+", " ")).otherwise(x)))
+    rows = rows.select("row_no", "k", "code", "slot", F.arrays_zip(m.alias("m"), F.col("n")).alias("p"))
     kind = docs.schema[key].dataType.simpleString()
-    read = rows.mapInArrow(_read, f"k {kind}, slot boolean, total bigint, parts array<struct<m: string, n: bigint>>")
-    return scratch.keep(read.withColumn("row_no", F.monotonically_increasing_id()), "messages")
+    rows = rows.mapInArrow(_seeded, f"row_no bigint, k {kind}, code int, slot boolean, parts array<struct<m: string, n: bigint, seed: boolean>>")
+    total = F.col("code") + F.aggregate("parts", F.lit(0).cast("bigint"), lambda a, p: a + p["n"])
+    return scratch.keep(rows.select("row_no", "k", "slot", total.alias("total"), "parts"), "messages")
 
 
-def judge_messages(read: DataFrame) -> DataFrame:
-    """(m, verdict) of every distinct message that has a verdict; no other message matters to it."""
-    distinct = read.select(F.explode("parts.m").alias("m")).distinct()
-    return scratch.keep(distinct.mapInArrow(_judge, "m string, verdict string").where("verdict IS NOT NULL"), "verdicts")
+def path(m: Column) -> Column:
+    """Where a message goes in the tree: number of tokens, first and last token."""
+    tokens = F.split(m, " ")
+    return F.xxhash64(F.size(tokens), _at(tokens, 0), F.element_at(tokens, -1))
 
 
 def mine_templates(read: DataFrame) -> DataFrame:
-    """(m, template, verdict) of every message that has a verdict.
+    """(leaf, template, messages, seeded, among): each template with its occurrences, kept.
+
+    messages: occurrences; seeded: the part of them with a seed of their own;
+    records: in how many records (copies of a message in one record count
+    once); among: the mean part of the other text of those records that has
+    seeds.
+    """
+    bad = F.aggregate("parts", F.lit(0).cast("bigint"), lambda a, p: a + F.when(p["seed"], p["n"]).otherwise(0))
+    distinct = F.array_distinct(F.transform("parts", lambda p: F.struct(p["m"].alias("m"), p["seed"].alias("seed"))))
+    own = lambda m: F.aggregate("parts", F.lit(0).cast("bigint"), lambda a, p: a + F.when(p["m"] == m, p["n"]).otherwise(0))
+    few = F.col("bad") > 0
+    rows = read.select("parts", "total", bad.alias("bad"), F.explode(distinct).alias("d")).select("d.m", "d.seed", "total", "bad", F.when(few, own(F.col("d.m"))).otherwise(0).alias("own"))
+    rest = F.col("total") - F.col("own")
+    among = F.when(few & (rest > 0), (F.col("bad") - F.when(F.col("seed"), F.col("own")).otherwise(0)) / rest).otherwise(0.0)
+    rows = rows.select(path(F.col("m")).alias("leaf"), F.split("m", " ").alias("w"), F.col("seed").cast("int").alias("seed"), among.alias("among"))
+    ends = [f(_at(F.col("w"), i)).alias(f"{n}{i}") for i in range(DEPTH) for n, f in (("a", F.min), ("z", F.max))]
+    found = rows.groupBy("leaf").agg(
+        F.count(F.lit(1)).alias("records"), F.avg("seed").alias("seeded"), F.avg("among").alias("among"), F.min(F.size("w")).alias("size"), F.min(F.element_at("w", -1)).alias("last"), *ends
+    )
+    kept = [F.when(F.col("size") > i, F.when(F.col(f"a{i}") == F.col(f"z{i}"), F.col(f"a{i}")).otherwise(SLOT)) for i in range(DEPTH)]
+    tail = F.when(F.col("size") > DEPTH, F.concat(F.lit("… "), F.col("last")))
+    return scratch.keep(found.select("leaf", F.concat_ws(" ", *kept, tail).alias("template"), "records", "seeded", "among"), "templates")
+
+
+# --- the model -------------------------------------------------------------------
+
+
+def features(template: str) -> list[int]:
+    """Hashed words, pairs and triples of words, and stems of a template; slots are words."""
+    words = ["^", *(w.strip(".,;:!?()'\"") or w for w in template.split(" ")), "$"]
+    names = {*words[1:-1], *(" ".join(p) for p in zip(words, words[1:])), *(" ".join(p) for p in zip(words, words[1:], words[2:])), *("~" + w[:5] for w in words if len(w) > 5)}
+    return [zlib.crc32(n.encode()) % WIDTH for n in sorted(names) if n != SLOT]
+
+
+def _flat(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(row, feature) of all texts."""
+    got = [features(t) for t in texts]
+    return np.repeat(np.arange(len(got)), [len(g) for g in got]), np.fromiter((f for g in got for f in g), np.int64, sum(map(len, got)))
+
+
+def fit(texts: list[str], labels: np.ndarray) -> np.ndarray:
+    """Weights of a logistic model (the last is the bias); both labels weigh the same."""
+    row, col = _flat(texts)
+    size = np.maximum(np.bincount(row, minlength=len(texts)), 1)
+    val = 1 / np.sqrt(size)[row]
+    w, seen, bias = np.zeros(WIDTH), np.full(WIDTH, 1e-8), 0.0
+    share = np.where(labels, 0.5 / max(labels.sum(), 1), 0.5 / max((~labels).sum(), 1))
+    for _ in range(PASSES):
+        p = 1 / (1 + np.exp(-np.clip(np.bincount(row, weights=w[col] * val, minlength=len(texts)) + bias, -30, 30)))
+        err = (p - labels) * share
+        g = np.bincount(col, weights=err[row] * val, minlength=WIDTH) + RIDGE * w
+        seen += g * g
+        w -= 0.5 * g / np.sqrt(seen)
+        bias -= 0.5 * err.sum()
+    return np.r_[w, bias]
+
+
+def chances(texts: list[str], w: np.ndarray) -> np.ndarray:
+    """Chance that each template is residue; 0 for one with fewer than two words of its own."""
+    row, col = _flat(texts)
+    size = np.maximum(np.bincount(row, minlength=len(texts)), 1)
+    s = np.bincount(row, weights=w[col], minlength=len(texts)) / np.sqrt(size) + w[-1] if len(texts) else np.zeros(0)
+    told = np.array([sum(any(c.isalpha() for c in w) for w in t.split(" ") if w != SLOT) > 1 for t in texts], bool)
+    return np.where(told, 1 / (1 + np.exp(-np.clip(s, -30, 30))), 0.0)
+
+
+def classify_templates(mined: DataFrame) -> DataFrame:
+    """(leaf, template, records, verdict): seed, model, margin or null, for every template.
 
-    A leaf with more than LEAF messages is cut by a hash of the message; that
-    may give the same kind of message a template in each part. Verdicts don't
-    depend on that.
+    seed: half of the occurrences or more have a seed of their own. model: the
+    text model says so; two models are fitted, each on one half of the labelled
+    sample (by hash of the leaf), and a template is judged by the half it is
+    not in. margin: see RECORDS and AMONG. Unlabelled for the fit are templates
+    that stand among seeds.
     """
-    judged = scratch.keep(judge_messages(read).mapInArrow(_leaves, "m string, verdict string, leaf string"), "leaves")
-    large = judged.groupBy("verdict", "leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LEAF)
-    cut = judged.join(large, ["verdict", "leaf"], "left").withColumn("part", F.pmod(F.xxhash64("m"), F.coalesce(F.ceil(F.col("n") / LEAF), F.lit(1))))
-    mined = cut.select("verdict", "leaf", "part", "m").groupBy("verdict", "leaf", "part").applyInArrow(_mine, "m string, template string, verdict string")
-    return scratch.keep(mined, "templates")
+    half = F.pmod("leaf", F.lit(2)).cast("int")
+    label = F.when(F.col("seeded") >= 0.5, 1).when((F.col("seeded") == 0) & (F.col("among") < 0.25), 0)
+    pool = mined.select("template", half.alias("half"), label.alias("label"), F.xxhash64("leaf").alias("h")).where("label IS NOT NULL")
+    got = pool.where("label = 1").orderBy("h").limit(SAMPLE).unionByName(pool.where("label = 0").orderBy("h").limit(SAMPLE)).toArrow()
+    texts, halves, labels = got.column("template").to_pylist(), got.column("half").to_numpy(), got.column("label").to_numpy() == 1
+    models: list[np.ndarray] | None = []
+    for h in (0, 1):
+        mine = np.flatnonzero(halves != h)
+        if min(labels[mine].sum(), (~labels[mine]).sum()) < ENOUGH:
+            models = None
+            break
+        order = mine[np.argsort(np.array(texts, dtype=object)[mine], kind="stable")]
+        models.append(fit([texts[i] for i in order], labels[order]).astype(np.float32))
+    if models is None:
+        judged = mined.withColumn("p", F.lit(0.0))
+    else:
+        shared = mined.sparkSession.sparkContext.broadcast(models)  # two vectors of WIDTH numbers
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                texts, half = b.column("template").to_pylist(), b.column("leaf").to_numpy() % 2
+                p = np.zeros(len(texts))
+                for h in (0, 1):
+                    at = np.flatnonzero(half == h)
+                    p[at] = chances([texts[i] for i in at], shared.value[h])
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("leaf", "template", "records", "seeded", "among")), pa.array(p)], names=["leaf", "template", "records", "seeded", "among", "p"])
+
+        judged = mined.mapInArrow(run, "leaf bigint, template string, records bigint, seeded double, among double, p double")
+    verdict = F.when(F.col("seeded") >= 0.5, "seed").when(F.col("p") >= SURE, "model").when((F.col("records") >= RECORDS) & (F.col("among") >= AMONG), "margin")
+    return judged.select("leaf", "template", "records", verdict.alias("verdict"))
+
+
+def template_verdicts(read: DataFrame) -> DataFrame:
+    """The templates with a verdict, kept."""
+    return scratch.keep(classify_templates(mine_templates(read)).where("verdict IS NOT NULL"), "verdicts")
 
 
 def residue_records(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -261,9 +348,10 @@ def residue_records(docs: DataFrame, key: str, text: str) -> DataFrame:
     and blank texts have neither. Repeated records are judged each.
     """
     read = read_messages(docs, key, text)
-    verdicts = judge_messages(read)
-    parts = read.select("row_no", F.explode("parts").alias("p")).select("row_no", "p.m", "p.n")
-    hit = parts.join(verdicts, "m").groupBy("row_no").agg(F.sum("n").alias("bad"), F.max(F.col("verdict") != "margin").alias("real"))
+    verdicts = template_verdicts(read).select("leaf", "verdict")
+    parts = read.select("row_no", F.explode("parts").alias("p")).select("row_no", path(F.col("p.m")).alias("leaf"), "p.n", "p.seed")
+    judged = parts.join(verdicts, "leaf", "left").where("seed OR verdict IS NOT NULL")
+    hit = judged.groupBy("row_no").agg(F.sum("n").alias("bad"), F.max(F.col("seed") | (F.col("verdict") != "margin")).alias("real"))
     joined = read.select("row_no", "k", "slot", "total").join(hit, "row_no", "left").where("slot OR real")
     bad = F.when(F.col("real"), F.col("bad")).otherwise(0)
     return joined.select(F.col("k").alias(key), "slot", (bad / F.col("total")).alias("share"), (F.col("slot") | F.coalesce(bad * 2 > F.col("total"), F.lit(False))).alias("residue"))

@@ -272,23 +272,38 @@ def test_residue_verdicts(spark):
     assert residue.residue_records(df.limit(0), "doc_id", "text").count() == 0
 
 
-def test_large_leaves_are_cut(spark, monkeypatch):
-    monkeypatch.setattr(residue, "LEAF", 3)
-    df = spark.createDataFrame([(i, f"Error {i}: the page {w} was lost.") for i, w in enumerate("abcdefghij")], "doc_id bigint, text string")
-    assert residue.residue_records(df, "doc_id", "text").where("residue").count() == 10
-
-
-def test_other_messages_do_not_change_a_verdict(spark, monkeypatch):
+def test_other_messages_do_not_take_a_verdict_away(spark):
     rows = [(1, "The page was removed."), (2, "The page was renamed."), (3, "The page was deleted."), (4, "The page was printed.")]
     rows += [(10 + i, f"The page was {w}.") for i, w in enumerate("abcdefgh")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    for most in (3, 2000):
-        monkeypatch.setattr(residue, "LEAF", most)
-        for ids in ([1], [1, 2], [1, 2, 3, 4], [r[0] for r in rows]):
-            got = residue.residue_records(df.where(F.col("doc_id").isin(ids)), "doc_id", "text").where("residue").collect()
-            assert {r.doc_id for r in got} == {1, 3} & set(ids)
-
-
-def test_templates_have_slots():
-    found = ["access denied for alpha on shelf", "access denied for beta on shelf", "access granted to all on request"]
-    assert residue.mine_leaf(found) == ["access denied for <*> on shelf"] * 2 + ["access granted to all on request"]
+    for ids in ([1], [1, 2], [1, 2, 3, 4], [r[0] for r in rows]):
+        got = residue.residue_records(df.where(F.col("doc_id").isin(ids)), "doc_id", "text").where("residue").collect()
+        assert {r.doc_id for r in got} == {1, 3} & set(ids)
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_templates_decide(spark, parts):
+    """A wording without a seed is found by the template it shares with others; without templates it is lost."""
+    rows = [(i, f"The {a} {b} was {v}.") for i, (a, b, v) in enumerate((a, b, v) for a in ("old", "new", "long") for b in ("page", "list", "post") for v in ("removed", "blocked"))]
+    rows = [(i, t.replace(f"{w} ", "", 1) if k else t) for k in (1,) for i, t in rows for w in ("old", "new", "long") if w in t]
+    rows += [(100 + i, f"The {w} was blocked.") for i, w in enumerate(("shelf", "basket"))]
+    rows += [(200 + i, f"Rated {i} of 100: {w} and a bit too warm.") for i, w in enumerate(("odd", "blue", "tidy", "calm"))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(parts)
+    got = {r.doc_id for r in residue.residue_records(df, "doc_id", "text").where("residue").collect()}
+    assert got == {i for i, _ in rows if i < 200}
+    alone = df.where("doc_id >= 100")
+    assert residue.residue_records(alone, "doc_id", "text").where("residue").count() == 0
+
+
+def test_templates_have_slots(spark):
+    texts = ["access denied for alpha on shelf", "access denied for beta on shelf", "access granted to all", " ".join("abcdefghijklmnop")]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").withColumn("leaf", F.lit(1)).withColumn("m", F.lit("x"))
+    mined = {r.template: (r.records, r.seeded) for r in residue.mine_templates(residue.read_messages(df, "doc_id", "text")).collect()}
+    assert mined == {"access denied for <*> on shelf": (2, 1.0), "access granted to all": (1, 0.0), "a b c d e f g h i j k l … p": (1, 0.0)}
+
+
+def test_the_model_needs_two_words_and_learns_from_its_labels():
+    texts = [f"the {w} could not be opened" for w in "abcdefgh"] + [f"the {w} looks warm" for w in "abcdefgh"]
+    w = residue.fit(texts, np.arange(16) < 8)
+    got = residue.chances(["that crate could not be opened", "that crate looks warm", "could <*>"], w)
+    assert got[0] > 0.5 > got[1] and got[2] == 0
