@@ -105,9 +105,9 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every template with a verdict: what decided it, and in how many records it is."""
+    """Every template with a verdict: what decided it, and how often it stands in the texts."""
     read = read_messages(table(spark, sf_dir, "documents"), "doc_id", "text")
-    return template_verdicts(read).groupBy("template", "verdict").agg(F.sum("records").alias("records"))
+    return template_verdicts(read).groupBy("template", "verdict").agg(F.sum("messages").alias("messages"))
 
 
 QUERIES = {

@@ -25,6 +25,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,12 +36,14 @@ from .. import scratch
 
 #: Positions of a template that are told apart; what follows the last is one slot.
 DEPTH = 12
+#: Leaves that a task gathers before it hands them on.
+HELD = 200_000
 #: Most labelled templates (of either label) that the model is fitted on, taken by hash; fewest of either that it needs.
 SAMPLE, ENOUGH = 20_000, 30
 #: Hashed features, passes and strength of regularisation of the model; chance from which a template is residue.
 WIDTH, PASSES, RIDGE, SURE = 1 << 18, 80, 1e-4, 0.5
-#: A template is margin if it is in so many records, whose other text is such messages to this part on average.
-RECORDS, AMONG = 3, 0.5
+#: A template is margin if it stands so often, in more than one record, among text that is such messages to this part on average.
+TIMES, AMONG = 3, 0.5
 SLOT = "<*>"
 
 # --- placeholders (expressions of Java's dialect) ------------------------------
@@ -194,21 +197,22 @@ def read_messages(docs: DataFrame, key: str, text: str) -> DataFrame:
     """
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
     t = F.col("t")
-    size = lambda c: F.length(F.translate(c, _BLANKS, ""))
-    bare = F.when(t.contains("```") | t.contains("~~~"), F.regexp_replace(t, _FENCE, "\n")).otherwise(t)
-    rows = rows.select("k", "t", F.coalesce(bare, F.lit("")).alias("b"))
+    size = lambda c: F.length(reduce(lambda x, blank: F.replace(x, F.lit(blank), F.lit("")), _BLANKS, c))
+    rows = rows.select("k", F.coalesce(t, F.lit("")).alias("t"))
+    fenced = t.contains("```") | t.contains("~~~")
+    rows = rows.select("k", "t", F.when(fenced, F.regexp_replace(t, _FENCE, "\n")).otherwise(t).alias("b"))
     b = F.col("b")
-    rows = rows.select("k", (size(F.coalesce(t, F.lit(""))) - size(b)).alias("code"), F.when(b.rlike("`|<(?i:code|pre)"), F.regexp_replace(b, _CODE, " ⟨code⟩ ")).otherwise(b).alias("b"))
+    rows = rows.select("k", F.when(fenced, size(t) - size(b)).otherwise(0).alias("code"), F.when(b.rlike("`|<(?i:code|pre)"), F.regexp_replace(b, _CODE, " ⟨code⟩ ")).otherwise(b).alias("b"))
     rows = rows.select("k", "code", F.regexp_replace("b", _QUOTE, " ").rlike(PLACEHOLDER).alias("slot"), F.when(b.contains("<"), F.regexp_replace(b, _TAGS, "\n")).otherwise(b).alias("b"))
     strip = lambda x: F.btrim(x, F.lit("*_ \t\r　 "))
     lines = F.filter(F.transform(F.split("b", "\n"), lambda x: F.when(x.startswith("> "), strip(F.substring(x, 3, 2**31 - 1))).otherwise(strip(x))), lambda x: x != "")
-    whole = lambda x: F.lower(F.substring(x, 1, 5)).isin("lorem") | F.substring(x, 1, 1).isin("{", "[", "|")
+    whole = lambda x: x.startswith("{") | x.startswith("[") | x.startswith("|") | x.startswith("Lorem") | x.startswith("lorem") | x.startswith("LOREM")
     parts = F.flatten(F.transform(lines, lambda x: F.when(whole(x), F.array(x)).otherwise(F.filter(F.split(x, _ENDS), lambda y: y != ""))))
 
     # one step at a time: a lambda evaluates an expression as often as it names it
     rows = rows.select(F.monotonically_increasing_id().alias("row_no"), "k", "code", "slot", parts.alias("p"))
     rows = rows.select("row_no", "k", "code", "slot", "p", F.transform("p", lambda x: size(x).cast("bigint")).alias("n"))
-    unsaid = lambda x: F.when(x.rlike('["“„「]') & ~whole(x) & ~x.startswith("File "), F.regexp_replace(x, _QUOTE, " ⟨quote⟩ ")).otherwise(x)
+    unsaid = lambda x: F.when((x.contains('"') | x.contains("“") | x.contains("„") | x.contains("「")) & ~whole(x) & ~x.startswith("File "), F.regexp_replace(x, _QUOTE, " ⟨quote⟩ ")).otherwise(x)
     m = F.transform(F.transform("p", unsaid), lambda x: F.lower(F.regexp_replace(x, _NUMBER, SLOT)))
     m = F.transform(m, lambda x: F.when(F.octet_length(x) > F.length(x), F.regexp_replace(x, r"(\p{IsHan})", " $1 ")).otherwise(x))
     m = F.transform(m, lambda x: F.trim(F.when(x.contains("  ") | x.contains("\t"), F.regexp_replace(x, r"\s+", " ")).otherwise(x)))
@@ -219,35 +223,64 @@ def read_messages(docs: DataFrame, key: str, text: str) -> DataFrame:
     return scratch.keep(rows.select("row_no", "k", "slot", total.alias("total"), "parts"), "messages")
 
 
-def path(m: Column) -> Column:
+def path(tokens: Column) -> Column:
     """Where a message goes in the tree: number of tokens, first and last token."""
-    tokens = F.split(m, " ")
     return F.xxhash64(F.size(tokens), _at(tokens, 0), F.element_at(tokens, -1))
 
 
+def _mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Messages of records to the leaves of this task, with a slot wherever their tokens differ."""
+    leaves: dict[tuple, list] = {}
+
+    def out():
+        v = list(leaves.values())
+        columns = [[k[1] for k in leaves], [k[2] for k in leaves], pa.array([k[0] for k in leaves], pa.int32()), *([x[i] for x in v] for i in range(6))]
+        leaves.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["first", "last", "size", "w", "messages", "lo", "hi", "seeded", "among"])
+
+    for b in batches:
+        for no, total, ms, ns, seeds in zip(*(b.column(c).to_pylist() for c in ("row_no", "total", "m", "n", "seed"))):
+            bad = sum(n for n, s in zip(ns, seeds) if s)
+            for m, n, seed in zip(ms, ns, seeds):
+                w = m.split(" ")
+                size = len(w)
+                among = (bad - n if seed else bad) / max(total - n, 1) if bad else 0.0
+                got = leaves.get(key := (size, w[0], w[-1]))
+                if got is None:
+                    leaves[key] = [w[:DEPTH], 1, no, no, int(seed), among]
+                    continue
+                t = got[0]
+                if size > 2 and t != w:
+                    for i in range(1, min(size, DEPTH)):
+                        if t[i] != w[i]:
+                            t[i] = SLOT
+                got[1] += 1
+                got[3] = no
+                got[4] += seed
+                got[5] += among
+        if len(leaves) > HELD:
+            yield out()
+    if leaves:
+        yield out()
+
+
 def mine_templates(read: DataFrame) -> DataFrame:
-    """(leaf, template, messages, seeded, among): each template with its occurrences, kept.
+    """(leaf, template, messages, several, seeded, among): each template with its occurrences, kept.
 
-    messages: occurrences; seeded: the part of them with a seed of their own;
-    records: in how many records (copies of a message in one record count
-    once); among: the mean part of the other text of those records that has
-    seeds.
+    messages: occurrences; several: they are in more than one record; seeded:
+    the part of them with a seed of their own; among: the mean part of the
+    other text of their records that has seeds.
     """
-    bad = F.aggregate("parts", F.lit(0).cast("bigint"), lambda a, p: a + F.when(p["seed"], p["n"]).otherwise(0))
-    distinct = F.array_distinct(F.transform("parts", lambda p: F.struct(p["m"].alias("m"), p["seed"].alias("seed"))))
-    own = lambda m: F.aggregate("parts", F.lit(0).cast("bigint"), lambda a, p: a + F.when(p["m"] == m, p["n"]).otherwise(0))
-    few = F.col("bad") > 0
-    rows = read.select("parts", "total", bad.alias("bad"), F.explode(distinct).alias("d")).select("d.m", "d.seed", "total", "bad", F.when(few, own(F.col("d.m"))).otherwise(0).alias("own"))
-    rest = F.col("total") - F.col("own")
-    among = F.when(few & (rest > 0), (F.col("bad") - F.when(F.col("seed"), F.col("own")).otherwise(0)) / rest).otherwise(0.0)
-    rows = rows.select(path(F.col("m")).alias("leaf"), F.split("m", " ").alias("w"), F.col("seed").cast("int").alias("seed"), among.alias("among"))
-    ends = [f(_at(F.col("w"), i)).alias(f"{n}{i}") for i in range(DEPTH) for n, f in (("a", F.min), ("z", F.max))]
-    found = rows.groupBy("leaf").agg(
-        F.count(F.lit(1)).alias("records"), F.avg("seed").alias("seeded"), F.avg("among").alias("among"), F.min(F.size("w")).alias("size"), F.min(F.element_at("w", -1)).alias("last"), *ends
-    )
-    kept = [F.when(F.col("size") > i, F.when(F.col(f"a{i}") == F.col(f"z{i}"), F.col(f"a{i}")).otherwise(SLOT)) for i in range(DEPTH)]
+    rows = read.select("row_no", "total", F.col("parts.m").alias("m"), F.col("parts.n").alias("n"), F.col("parts.seed").alias("seed"))
+    part = rows.mapInArrow(_mine, "first string, last string, size int, w array<string>, messages bigint, lo bigint, hi bigint, seeded bigint, among double")
+    ends = [f(_at(F.col("w"), i)).alias(f"{n}{i}") for i in range(1, DEPTH) for n, f in (("a", F.min), ("z", F.max))]
+    found = part.groupBy(F.xxhash64("size", "first", "last").alias("leaf")).agg(
+        F.sum("messages").alias("messages"), (F.min("lo") != F.max("hi")).alias("several"), (F.sum("seeded") / F.sum("messages")).alias("seeded"), (F.sum("among") / F.sum("messages")).alias("among"),
+        F.min("size").alias("size"), F.min("first").alias("first"), F.min("last").alias("last"), *ends,
+    )
+    kept = [F.when(F.col("size") > i, F.when(F.col(f"a{i}") == F.col(f"z{i}"), F.col(f"a{i}")).otherwise(SLOT)) for i in range(1, DEPTH)]
     tail = F.when(F.col("size") > DEPTH, F.concat(F.lit("… "), F.col("last")))
-    return scratch.keep(found.select("leaf", F.concat_ws(" ", *kept, tail).alias("template"), "records", "seeded", "among"), "templates")
+    return scratch.keep(found.select("leaf", F.concat_ws(" ", "first", *kept, tail).alias("template"), "messages", "several", "seeded", "among"), "templates")
 
 
 # --- the model -------------------------------------------------------------------
@@ -293,12 +326,12 @@ def chances(texts: list[str], w: np.ndarray) -> np.ndarray:
 
 
 def classify_templates(mined: DataFrame) -> DataFrame:
-    """(leaf, template, records, verdict): seed, model, margin or null, for every template.
+    """(leaf, template, messages, verdict): seed, model, margin or null, for every template.
 
     seed: half of the occurrences or more have a seed of their own. model: the
     text model says so; two models are fitted, each on one half of the labelled
     sample (by hash of the leaf), and a template is judged by the half it is
-    not in. margin: see RECORDS and AMONG. Unlabelled for the fit are templates
+    not in. margin: see TIMES and AMONG. Unlabelled for the fit are templates
     that stand among seeds.
     """
     half = F.pmod("leaf", F.lit(2)).cast("int")
@@ -326,11 +359,11 @@ def classify_templates(mined: DataFrame) -> DataFrame:
                 for h in (0, 1):
                     at = np.flatnonzero(half == h)
                     p[at] = chances([texts[i] for i in at], shared.value[h])
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("leaf", "template", "records", "seeded", "among")), pa.array(p)], names=["leaf", "template", "records", "seeded", "among", "p"])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p)], names=[*b.schema.names, "p"])
 
-        judged = mined.mapInArrow(run, "leaf bigint, template string, records bigint, seeded double, among double, p double")
-    verdict = F.when(F.col("seeded") >= 0.5, "seed").when(F.col("p") >= SURE, "model").when((F.col("records") >= RECORDS) & (F.col("among") >= AMONG), "margin")
-    return judged.select("leaf", "template", "records", verdict.alias("verdict"))
+        judged = mined.mapInArrow(run, "leaf bigint, template string, messages bigint, several boolean, seeded double, among double, p double")
+    verdict = F.when(F.col("seeded") >= 0.5, "seed").when(F.col("p") >= SURE, "model").when(F.col("several") & (F.col("messages") >= TIMES) & (F.col("among") >= AMONG), "margin")
+    return judged.select("leaf", "template", "messages", verdict.alias("verdict"))
 
 
 def template_verdicts(read: DataFrame) -> DataFrame:
@@ -349,7 +382,7 @@ def residue_records(docs: DataFrame, key: str, text: str) -> DataFrame:
     """
     read = read_messages(docs, key, text)
     verdicts = template_verdicts(read).select("leaf", "verdict")
-    parts = read.select("row_no", F.explode("parts").alias("p")).select("row_no", path(F.col("p.m")).alias("leaf"), "p.n", "p.seed")
+    parts = read.select("row_no", F.explode("parts").alias("p")).select("row_no", path(F.split("p.m", " ")).alias("leaf"), "p.n", "p.seed")
     judged = parts.join(verdicts, "leaf", "left").where("seed OR verdict IS NOT NULL")
     hit = judged.groupBy("row_no").agg(F.sum("n").alias("bad"), F.max(F.col("seed") | (F.col("verdict") != "margin")).alias("real"))
     joined = read.select("row_no", "k", "slot", "total").join(hit, "row_no", "left").where("slot OR real")

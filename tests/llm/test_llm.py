@@ -298,7 +298,7 @@ def test_templates_decide(spark, parts):
 def test_templates_have_slots(spark):
     texts = ["access denied for alpha on shelf", "access denied for beta on shelf", "access granted to all", " ".join("abcdefghijklmnop")]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").withColumn("leaf", F.lit(1)).withColumn("m", F.lit("x"))
-    mined = {r.template: (r.records, r.seeded) for r in residue.mine_templates(residue.read_messages(df, "doc_id", "text")).collect()}
+    mined = {r.template: (r.messages, r.seeded) for r in residue.mine_templates(residue.read_messages(df, "doc_id", "text")).collect()}
     assert mined == {"access denied for <*> on shelf": (2, 1.0), "access granted to all": (1, 0.0), "a b c d e f g h i j k l … p": (1, 0.0)}
 
 
