@@ -2,8 +2,13 @@
 
 Every item of a basket carries a stripe: the array of its neighbours in the
 basket. Stripes are added up inside each task before anything is shuffled
-(in-mapper combining), then merged by item. Counts of pairs are set against
-chance (lift) and tested with Dunning's log-likelihood ratio.
+(in-mapper combining), then the arrays are merged by item. Counts of pairs are
+set against chance (lift) and tested with Dunning's log-likelihood ratio.
+
+Of the two items of a pair, the one in fewer baskets (by powers of two) is the
+key, so the stripe of a frequent item only holds items as frequent and the
+most frequent item is the key of next to nothing. The stripe of an item in many
+baskets is cut into parts by a hash of the neighbour.
 """
 
 from __future__ import annotations
@@ -23,8 +28,36 @@ from ..util import item_key
 CHUNK = 512
 #: Pairs that a task gathers before it adds them up.
 BUFFER = 2_000_000
+#: Share of the baskets from which an item is joined by broadcast; the list has at most (items of a mean basket) / HOT rows.
+HOT = 0.01
+#: An item in 2**b baskets has 2**(b - WHOLE) parts of its stripe, one at least.
+WHOLE = 16
+#: Bits of an item's number below the power of two of its baskets.
+_LOW = 57
+
+_STRIPE = pa.schema([("item_a", pa.int64()), ("part", pa.int32()), ("nbrs", pa.list_(pa.int64())), ("cnts", pa.list_(pa.int64()))])
+
+
+def _rows(a: np.ndarray, part: np.ndarray, b: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """Stripes of triples in the order of (a, part)."""
+    first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (part[1:] != part[:-1])])
+    offsets = pa.array(np.r_[first, len(a)].astype(np.int32))
+    return pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(part[first]), pa.ListArray.from_arrays(offsets, pa.array(b)), pa.ListArray.from_arrays(offsets, pa.array(n))], schema=_STRIPE)
+
+
+def _parts(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The part of a's stripe that b is in."""
+    bits = np.clip((a >> _LOW) - WHOLE, 0, 30).astype(np.uint64)
+    mixed = (b.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+    return (mixed & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int32)
 
-_STRIPE = pa.schema([("item_a", pa.int64()), ("nbrs", pa.list_(pa.int64())), ("cnts", pa.list_(pa.int64()))])
+
+def _sum(a: np.ndarray, part: np.ndarray, b: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Equal (a, part, b) added up, in that order."""
+    order = np.lexsort((b, part, a))
+    a, part, b, n = a[order], part[order], b[order], n[order]
+    new = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, np.int64)
+    return a[new], part[new], b[new], np.add.reduceat(n, new) if len(new) else n
 
 
 def _pairs(left: np.ndarray, right: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
@@ -45,16 +78,7 @@ def _stripes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def flush() -> pa.RecordBatch:
         a = np.concatenate([x for x, _ in held])
         b = np.concatenate([x for _, x in held])
-        order = np.lexsort((b, a))
-        a, b = a[order], b[order]
-        new = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-        n = np.diff(np.r_[new, len(a)])
-        a, b = a[new], b[new]
-        first = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
-        offsets = pa.array(np.r_[first, len(a)].astype(np.int32))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(a[first]), pa.ListArray.from_arrays(offsets, pa.array(b)), pa.ListArray.from_arrays(offsets, pa.array(n.astype(np.int64)))], schema=_STRIPE
-        )
+        return _rows(*_sum(a, _parts(a, b), b, np.ones(len(a), np.int64)))
 
     for batch in batches:
         xs, ys = batch.column("xs"), batch.column("ys")
@@ -83,6 +107,56 @@ def _stripes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
+def _merge(least: int):
+    """Stripes sorted by (item_a, part) to merged stripes without pairs below ``least``; holds one part of one stripe."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def add(got):
+            nonlocal held, size
+            held.append(got)
+            size += len(got[0])
+            if size > 2 * BUFFER:
+                held = [_sum(*(np.concatenate(x) for x in zip(*held)))]
+                size = len(held[0][0])
+
+        def flush(keep_last: bool):
+            """Emit all stripes but the last, which may go on in the next batch."""
+            nonlocal held, size
+            a, part, b, n = _sum(*(np.concatenate(x) for x in zip(*held)))
+            open_ = (a == a[-1]) & (part == part[-1]) if keep_last and len(a) else np.zeros(len(a), bool)
+            held = [(a[open_], part[open_], b[open_], n[open_])] if open_.any() else []
+            size = int(open_.sum())
+            done = ~open_ & (n >= least)
+            if done.any():
+                yield _rows(a[done], part[done], b[done], n[done])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            nbrs, cnts = batch.column("nbrs"), batch.column("cnts")
+            lengths = np.diff(nbrs.offsets.to_numpy())
+            # values of a sliced list start at its first offset
+            b, n = nbrs.flatten().to_numpy(), cnts.flatten().to_numpy()
+            add((np.repeat(batch.column("item_a").to_numpy(), lengths), np.repeat(batch.column("part").to_numpy(), lengths), b, n))
+            if size > BUFFER // 4:
+                yield from flush(True)
+        if held:
+            yield from flush(False)
+
+    return run
+
+
+def _look_up(rows: DataFrame, items: DataFrame, hot: DataFrame, key: str, out: dict[str, str]) -> DataFrame:
+    """``rows`` joined with ``items`` on ``key``; the few items of ``hot`` are broadcast, so no task gets all rows of one."""
+    names = [F.col(c).alias(n) for c, n in out.items()]
+    few = F.broadcast(hot.select(*names))
+    first = rows.join(few, key)
+    rest = rows.join(few, key, "left_anti").join(items.where("NOT hot").select(*names).hint("shuffle_hash"), key)
+    return first.unionByName(rest)
+
+
 def cooccurrence(
     actions: DataFrame,
     basket: list[str],
@@ -115,9 +189,11 @@ def cooccurrence(
     counts = rows.groupBy("iid").agg(F.count(F.lit(1)).alias("n_x")).where(F.col("n_x") >= min_count)
     if min_lift > 0:
         counts = counts.where(F.col("n_x") * F.lit(float(min_lift)) <= F.lit(float(n)))
-    numbered = scratch.keep(counts.select("iid", "n_x", F.monotonically_increasing_id().alias("item")), "items")
-
-    used = rows.join(numbered.select("iid", "item"), "iid").select("h1", "h2", "item")
+    seq = F.monotonically_increasing_id()
+    number = F.shiftleft(F.floor(F.log2("n_x")).cast("bigint"), _LOW).bitwiseOR(seq)
+    numbered = scratch.keep(counts.select("iid", "n_x", number.alias("item"), (F.col("n_x") >= F.lit(HOT * n)).alias("hot")), "items")
+    hot = scratch.keep(numbered.where("hot"), "hot-items")
+    used = _look_up(rows, numbered, hot, "iid", {"iid": "iid", "item": "item"}).select("h1", "h2", "item")
     sizes = used.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("size"))
     large = sizes.where(F.col("size") > CHUNK)
     chunked = used.join(large, ["h1", "h2"], "left").withColumn("k", F.coalesce(F.ceil(F.col("size") / CHUNK), F.lit(1)).cast("int"))
@@ -139,16 +215,12 @@ def cooccurrence(
         .where("xs IS NOT NULL AND (lo = hi OR ys IS NOT NULL)")
         .select("xs", F.coalesce("ys", none).alias("ys"))
     )
-    stripes = small.unionByName(met).mapInArrow(_stripes, "item_a bigint, nbrs array<bigint>, cnts array<bigint>")
-    merged = (
-        stripes.select("item_a", F.explode(F.arrays_zip("nbrs", "cnts")).alias("s"))
-        .groupBy("item_a", F.col("s.nbrs").alias("item_b"))
-        .agg(F.sum("s.cnts").alias("n_ab"))
-        .where(F.col("n_ab") >= min_count)
-    )
-    one = numbered.select(F.col("item").alias("item_a"), F.col("iid").alias("iid_1"), F.col("n_x").alias("n_1"))
-    two = numbered.select(F.col("item").alias("item_b"), F.col("iid").alias("iid_2"), F.col("n_x").alias("n_2"))
-    pairs = merged.join(one, "item_a").join(two, "item_b")
+    schema = "item_a bigint, part int, nbrs array<bigint>, cnts array<bigint>"
+    stripes = small.unionByName(met).mapInArrow(_stripes, schema)
+    merged = stripes.repartition("item_a", "part").sortWithinPartitions("item_a", "part").mapInArrow(_merge(min_count), schema)
+    merged = merged.select("item_a", F.explode(F.arrays_zip("nbrs", "cnts")).alias("s")).select("item_a", F.col("s.nbrs").alias("item_b"), F.col("s.cnts").alias("n_ab"))
+    pairs = _look_up(merged, numbered, hot, "item_a", {"item": "item_a", "iid": "iid_1", "n_x": "n_1"})
+    pairs = _look_up(pairs, numbered, hot, "item_b", {"item": "item_b", "iid": "iid_2", "n_x": "n_2"})
     first = F.col("iid_1") < F.col("iid_2")
     pairs = pairs.select(
         F.when(first, F.col("iid_1")).otherwise(F.col("iid_2")).alias("iid_a"),
