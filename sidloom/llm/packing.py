@@ -1,7 +1,7 @@
 """Documents packed into training windows of fixed length by first-fit decreasing.
 
 Lengths are counted in tokens of a public tokenizer, once, and kept. Documents
-are dealt at random into groups of about GROUP_TOKENS tokens; each group is
+are dealt by a hash of their key and text, however they are partitioned, into groups of about GROUP_TOKENS tokens; each group is
 packed on its own, so packing is one shuffle of (document, length) rows and no
 task sees more than a group. Inside a group a tournament tree over the room
 left in each window finds the first window that fits in logarithmic time.
@@ -28,6 +28,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 GROUP_TOKENS = 2000 * WINDOW
 #: Characters handed to the tokenizer at once; a longer text is cut at a blank before a letter, where no token reaches across.
 PART = 1_000_000
+#: Equal rows that one row stands for while they are numbered.
+COPIES = 100_000
 
 
 @lru_cache(maxsize=2)
@@ -52,15 +54,23 @@ def count_tokens(text: str, vocabulary: str = VOCABULARY) -> int:
 
 
 def token_lengths(docs: DataFrame, key: str, text: str, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(row_no, key, n_tokens) of each row; null and empty texts have 0 tokens."""
+    """(row_no, key, n_tokens) of each row; null and empty texts have 0 tokens.
+
+    row_no follows from key, text and a number among equal rows, not from the
+    partition that a row is in.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n = [count_tokens(t, vocabulary) if t else 0 for t in b.column("t").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("row_no"), b.column("key"), pa.array(n, pa.int64())], names=["row_no", "key", "n_tokens"])
-
-    rows = docs.select(F.monotonically_increasing_id().alias("row_no"), F.col(key).alias("key"), F.col(text).alias("t"))
-    return rows.mapInArrow(run, f"row_no bigint, key {docs.schema[key].dataType.simpleString()}, n_tokens bigint")
+            yield pa.RecordBatch.from_arrays([b.column("h"), b.column("key"), pa.array(n, pa.int64())], names=["h", "key", "n_tokens"])
+
+    rows = docs.select(F.xxhash64(key, text).alias("h"), F.col(key).alias("key"), F.col(text).alias("t"))
+    read = rows.mapInArrow(run, f"h bigint, key {docs.schema[key].dataType.simpleString()}, n_tokens bigint")
+    same = read.groupBy("key", "h", "n_tokens").agg(F.count(F.lit(1)).alias("c"))
+    blocks = same.withColumn("b", F.explode(F.expr(f"sequence(0L, (c - 1) div {COPIES})")))  # no row grows with the copies of a text
+    copies = blocks.withColumn("copy", F.explode(F.expr(f"sequence(b * {COPIES}, least(c, (b + 1) * {COPIES}) - 1)")))
+    return copies.select(F.xxhash64("h", "copy").alias("row_no"), "key", "n_tokens")
 
 
 def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:

@@ -57,6 +57,34 @@ def test_rare_significant_pairs_are_found(spark, tmp_path):
     assert [(r.iid_a, r.iid_b, r.n_ab, r.n_a, r.n_b) for r in got] == [("rare1", "rare2", 1, 1, 1)]
 
 
+@pytest.mark.parametrize("whole, hot", [(16, 0.01), (1, 0.5), (0, 2.0)])
+def test_stripes_in_parts_are_the_same(spark, monkeypatch, whole, hot):
+    """Stripes cut into parts, and items joined by broadcast or by shuffle, give the same pairs."""
+    monkeypatch.setattr(cooccur, "WHOLE", whole)
+    monkeypatch.setattr(cooccur, "HOT", hot)
+    r = random.Random(8)
+    rows = [(f"u{u}", "s", "top") for u in range(60)] + [(f"u{r.randrange(60)}", "s", f"c{r.randrange(40)}") for _ in range(900)]
+    df = spark.createDataFrame(rows, "uid string, session_id string, iid string")
+    got = {(x.iid_a, x.iid_b): (x.n_ab, x.n_a, x.n_b, x.n_baskets) for x in cooccur.cooccurrence(df, ["uid", "session_id"], "iid").collect()}
+    assert got == brute_pairs(rows)
+
+
+def test_stripes_are_merged_across_batches(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(cooccur, "BUFFER", 8)
+    r = np.random.default_rng(4)
+    triples = [(int(a), 0, int(b), 1) for a, b in sorted(zip(r.integers(0, 5, 300), r.integers(5, 12, 300)))]
+    batches = [cooccur._rows(*(np.array(x, t) for x, t in zip(zip(*triples[i : i + 7]), (np.int64, np.int32, np.int64, np.int64)))) for i in range(0, 300, 7)]
+    got = Counter()
+    for b in cooccur._merge(1)(iter(batches)):
+        for a, nbrs, cnts in zip(*(b.column(c).to_pylist() for c in ("item_a", "nbrs", "cnts"))):
+            for x, n in zip(nbrs, cnts):
+                assert (a, x) not in got
+                got[a, x] = n
+    assert got == Counter((a, b) for a, _, b, _ in triples) and isinstance(batches[0], pa.RecordBatch)
+
+
 # --- vectors -----------------------------------------------------------------
 
 
@@ -105,6 +133,34 @@ def test_neighbors_against_brute_force(spark, monkeypatch):
     assert not any(k.startswith("bad") for k in got)
 
 
+def test_perturbed_buckets_find_neighbours(spark, monkeypatch):
+    """With small buckets there are hashes, probes and several tables; recall stays."""
+    monkeypatch.setattr(neighbors, "BUCKET", 100)
+    monkeypatch.setattr(neighbors, "GROUP", 60)
+    assert neighbors.plan(600)[0] >= 2 and neighbors.plan(600)[1] >= 4 and neighbors.plan(600)[2] >= 1
+    x = make_vectors()[100:580]
+    s = unit(x) @ unit(x).T
+    np.fill_diagonal(s, -2)
+    got = defaultdict(set)
+    for r in neighbors.similar_items(latest(spark, x).select("cid", "vec"), 5).collect():
+        got[r.content_id].add(r.neighbor_id)
+    best = [{f"c{j:05d}" for j in np.argsort(-row, kind="stable")[:5]} for row in s]
+    near = [{f"c{j:05d}" for j in np.flatnonzero(row >= 0.95)} for row in s]
+    assert sum(len(b & got[f"c{i:05d}"]) for i, b in enumerate(best)) / (5 * len(x)) >= 0.9
+    assert all(len(n) > 5 or n <= got[f"c{i:05d}"] for i, n in enumerate(near))
+
+
+def test_nearest_is_exact():
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((3000, 16)).astype(np.float32)
+    ids = rng.permutation(3000)
+    q, c, v = neighbors.nearest(ids[:50], x[:50], ids, x, 4)
+    s = x[:50] @ x.T
+    s[np.arange(50), np.arange(50)] = -9
+    for i in range(50):
+        assert set(c[q == ids[i]]) == set(ids[np.argsort(-s[i])[:4]])
+
+
 def test_neighbors_of_one_item_or_none(spark):
     one = latest(spark, make_vectors()[:3]).where("cid = 'c00000'").select("cid", "vec")
     assert neighbors.similar_items(one).count() == 0 and neighbors.similar_items(one.limit(0)).count() == 0
@@ -152,6 +208,16 @@ def test_frequent_items_are_exact(spark):
     assert frequent.frequent_items(df.limit(0), "item", 0.01).count() == 0
 
 
+@pytest.mark.parametrize("nodes, share", [(3, 1 / 100), (4096, 1 / 7000)])
+def test_small_shares_are_exact_too(spark, monkeypatch, nodes, share):
+    """Too many heavy prefixes, or a share below what the counters tell: the descent stops early and the second scan counts more."""
+    monkeypatch.setattr(frequent, "MAX_NODES", nodes)
+    values = [f"w{i % 40}" for i in range(4000)] + [f"rare{i}" for i in range(3000)]
+    df = spark.createDataFrame([(v,) for v in values], "item string")
+    got = {x.item: (x.n, x.n_total) for x in frequent.frequent_items(df, "item", share).collect()}
+    assert got == {v: (n, 7000) for v, n in Counter(values).items() if n >= 7000 * share}
+
+
 def test_targets_of_the_latest_sequence(spark):
     rows = [("u", [" A", "b", None, " "], 2), ("u", ["old"], 1), ("v", None, 1), ("w", [], 1), (None, ["x"], 1), ("z", ["B\t", "b"], None)]
     df = spark.createDataFrame(rows, "uid string, eval_cids array<string>, built_at int")
@@ -204,6 +270,20 @@ def test_windows_hold_every_text_once(spark):
     assert all(len(p) == 1 or sum(p) > packing.WINDOW for p in pieces.values())
 
 
+def test_windows_do_not_depend_on_partitions(spark):
+    texts = [f"text {i} " * (i % 90) for i in range(150)] + ["same"] * 4
+    df = spark.createDataFrame([(i % 151, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    got = [sorted(map(tuple, packing.pack(packing.scratch.keep(packing.token_lengths(df.repartition(n), "doc_id", "text"), "t"), group_tokens=9000).collect())) for n in (1, 7)]
+    assert got[0] == got[1]
+
+
+def test_copies_are_numbered_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(packing, "COPIES", 3)
+    df = spark.createDataFrame([(1, "a b")] * 10 + [(2, None)], "doc_id bigint, text string")
+    rows = packing.token_lengths(df, "doc_id", "text").collect()
+    assert len(rows) == 11 and len({r.row_no for r in rows}) == 11 and Counter(r.key for r in rows) == {1: 10, 2: 1}
+
+
 def test_long_texts_are_counted_whole(monkeypatch):
     text = "Some words, 12 numbers and\n\nbreaks 中文 here. " * 400
     whole = len(packing.encoder(packing.VOCABULARY).encode_ordinary(text))
@@ -214,7 +294,10 @@ def test_long_texts_are_counted_whole(monkeypatch):
 # --- leakage -----------------------------------------------------------------
 
 
-def test_leaks_equal_brute_force(spark):
+@pytest.mark.parametrize("words", [leakage.BLOCK_WORDS, 0])
+def test_leaks_equal_brute_force(spark, monkeypatch, words):
+    """Passages that are broadcast, and passages that are joined."""
+    monkeypatch.setattr(leakage, "BLOCK_WORDS", words)
     r = random.Random(4)
     vocab = [f"w{i}" for i in range(40)]
     passages = [(i, " ".join(r.choice(vocab) for _ in range(n))) for i, n in enumerate([3, 5, 8, 11, 12, 13, 40, 60])] + [(90, None), (91, " .. "), (92, "w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 w11 w12")]
