@@ -70,15 +70,17 @@ def skew_aggregate(
     ``rows`` that are named alike don't matter, since only ``keys``, the
     measures' inputs and ``salt_by`` are read. Rows with a null in ``keys``
     form groups of their own, as in ``groupBy``. An empty input gives an empty
-    result. ``rows`` is scanned three times; hand in a kept table.
+    result. ``rows`` is scanned three times; hand in a kept table. Keys are
+    known by their hash: a key that collides with a heavy one goes its way, and
+    is grouped by its own columns there.
     """
     spark = rows.sparkSession
-    key = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})
+    key = F.xxhash64(*keys)
     n, heavy = heavy_hitters(rows, key, share)
     if not heavy:
         return rows.groupBy(*keys).agg(*[m.partial.alias(m.name) for m in measures])
     tagged = rows.withColumn("_key", key)
-    listed = F.broadcast(spark.createDataFrame([(h,) for h in heavy], "_key string"))
+    listed = F.broadcast(spark.createDataFrame([(h,) for h in heavy], "_key bigint"))
     light = tagged.join(listed, "_key", "left_anti").groupBy(*keys).agg(*[m.partial.alias(m.name) for m in measures])
     salted = (
         tagged.join(listed, "_key", "left_semi")
@@ -90,12 +92,13 @@ def skew_aggregate(
     return merged.unionByName(light)
 
 
-def skew_join(left: DataFrame, right: DataFrame, key: str, share: float = 0.01, how: str = "inner") -> DataFrame:
+def skew_join(left: DataFrame, right: DataFrame, key: str, share: float = 0.01, how: str = "inner", few: int = MAX_HEAVY * 64, salts: int = 32) -> DataFrame:
     """Equi-join of two tables on ``key`` where a few keys hold most of ``left``.
 
-    The right rows of heavy keys are broadcast if they are few
-    (``MAX_HEAVY`` * 64 rows at most, counted first); otherwise, and for all
-    other keys, the join is an ordinary shuffle join. ``how`` is ``inner`` or
+    The right rows of heavy keys are broadcast if they are at most ``few``
+    (counted first); if they are more, the left rows are dealt to ``salts`` and
+    each salt gets its copy of them. All other keys go through an ordinary
+    shuffle join. ``how`` is ``inner`` or
     ``left``. Null keys match nothing.
     """
     if how not in ("inner", "left"):
@@ -106,24 +109,24 @@ def skew_join(left: DataFrame, right: DataFrame, key: str, share: float = 0.01,
         return left.join(right, key, how)
     kind = left.schema[key].dataType.simpleString()
     listed = F.broadcast(spark.createDataFrame([(h,) for h in heavy], f"`{key}` {kind}"))
-    hot = right.join(listed, key, "left_semi")
-    few = len(hot.limit(MAX_HEAVY * 64 + 1).select(F.lit(1)).collect()) <= MAX_HEAVY * 64
-    if not few:
-        return left.join(right, key, how)
-    first = left.join(listed, key, "left_semi").join(F.broadcast(hot), key, how)
+    hot, mine = right.join(listed, key, "left_semi"), left.join(listed, key, "left_semi")
+    if hot.limit(few + 1).count() <= few:
+        first = mine.join(F.broadcast(hot), key, how)
+    else:
+        salted = mine.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
+        copies = hot.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        first = salted.join(copies, [key, "_salt"], how).drop("_salt")
     rest = left.join(listed, key, "left_anti").join(right.join(listed, key, "left_anti"), key, how)
     return first.unionByName(rest)
 
 
 def parse_sid(sid: Column) -> Column:
     """The three codes of a valid sid as struct(a, b, c); null for any other string."""
-    code = f"[{BLANKS}]*0*([0-9]{{1,3}})[{BLANKS}]*"
-    pattern = f"^{code}_{code}_{code}$"
-    codes = [F.regexp_extract(sid, pattern, i) for i in (1, 2, 3)]
-    nums = [F.when(c != "", c.cast("int")) for c in codes]
-    valid = nums[0].isNotNull()
-    for n in nums:
-        valid = valid & (n <= 255)
+    code = f"[{BLANKS}]*[0-9]+[{BLANKS}]*"
+    parts = F.split(F.when(sid.rlike(f"^{code}_{code}_{code}$"), sid), "_")
+    nums = [F.ltrim(F.btrim(F.get(parts, F.lit(i)), F.lit(BLANKS)), F.lit("0")) for i in range(3)]
+    nums = [F.when(F.length(n) <= 3, F.when(n == "", F.lit(0)).otherwise(n.cast("int"))) for n in nums]
+    valid = (nums[0] <= 255) & (nums[1] <= 255) & (nums[2] <= 255)
     return F.when(valid, F.struct(*[n.alias(x) for n, x in zip(nums, "abc")]))
 
 
@@ -151,20 +154,19 @@ def prefix_stats(items: DataFrame, share: float = 0.01) -> DataFrame:
     items. An empty input gives no row.
     """
     kept = scratch.keep(items.select("content_id", "a", "b", "c"), "sid-items")
+    least = Measure("first_item", F.min("content_id"), F.min)
+    whole = skew_aggregate(kept, ["a", "b", "c"], [Measure("n_items", F.count(F.lit(1)), F.sum), least], salt_by=F.col("content_id"), share=share)
+    sids = scratch.keep(whole, "sids")  # a row for each SID in use: 256 ** 3 at most
     levels = F.array(
         F.struct(F.lit(1).alias("depth"), F.concat_ws("_", "a").alias("prefix")),
         F.struct(F.lit(2).alias("depth"), F.concat_ws("_", "a", "b").alias("prefix")),
         F.struct(F.lit(3).alias("depth"), F.concat_ws("_", "a", "b", "c").alias("prefix")),
     )
-    rows = kept.select("content_id", F.concat_ws("_", "a", "b", "c").alias("sid"), F.explode(levels).alias("p")).select("content_id", "sid", "p.depth", "p.prefix")
+    rows = sids.select("n_items", "first_item", F.xxhash64("a", "b", "c").alias("sid"), F.explode(levels).alias("p")).select("n_items", "first_item", "sid", "p.depth", "p.prefix")
     stats = skew_aggregate(
         rows,
         ["depth", "prefix"],
-        [
-            Measure("n_items", F.count(F.lit(1)), F.sum),
-            Measure("n_sids", F.count_distinct("sid"), F.sum),
-            Measure("first_item", F.min("content_id"), F.min),
-        ],
+        [Measure("n_items", F.sum("n_items"), F.sum), Measure("n_sids", F.count(F.lit(1)), F.sum), Measure("first_item", F.min("first_item"), F.min)],
         salt_by=F.col("sid"),
         share=share,
     )

@@ -18,15 +18,20 @@ _own: dict[str, str] = {}
 
 
 def folder(spark: SparkSession) -> str:
-    """The shared folder of this session."""
-    given = spark.conf.get("spark.checkpoint.dir", None)
-    if given:
-        return given.rstrip("/")
+    """A folder of this application in the shared folder; it goes when the application's JVM ends."""
     app = spark.sparkContext.applicationId
     if app not in _own:
-        _own[app] = tempfile.mkdtemp(prefix="sidloom-")
-        atexit.register(shutil.rmtree, _own[app], True)
-        spark.sparkContext.setCheckpointDir(f"{_own[app]}/rdd")
+        given = spark.conf.get("spark.checkpoint.dir", None)
+        if given:
+            _own[app] = f"{given.rstrip('/')}/sidloom-{app}"
+            path = spark._jvm.org.apache.hadoop.fs.Path(_own[app])
+            files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+            files.mkdirs(path)
+            files.deleteOnExit(path)
+        else:
+            _own[app] = tempfile.mkdtemp(prefix="sidloom-")
+            atexit.register(shutil.rmtree, _own[app], True)
+            spark.sparkContext.setCheckpointDir(f"{_own[app]}/rdd")
     return _own[app]
 
 

@@ -59,7 +59,9 @@ def test_skew_operators_equal_the_plain_ones(spark):
     assert sorted(map(str, got.collect())) == sorted(map(str, df.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("v").alias("d")).collect()))
     right = spark.createDataFrame([(1, "a"), (1, "b"), (3, "c"), (None, "z")], "k int, w string")
     for how in ("inner", "left"):
-        assert sorted(map(str, skew_join(df, right, "k", 0.1, how).collect())) == sorted(map(str, df.join(right, "k", how).collect()))
+        want = sorted(map(str, df.join(right, "k", how).collect()))
+        assert sorted(map(str, skew_join(df, right, "k", 0.1, how).collect())) == want
+        assert sorted(map(str, skew_join(df, right, "k", 0.1, how, few=1, salts=4).collect())) == want  # too many rows to broadcast
 
 
 def test_difficulty_and_novelty(spark):
