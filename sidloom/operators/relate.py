@@ -20,6 +20,12 @@ def band_pairs(df: DataFrame, user: str, item: str, place: str, width: int) -> D
     return rows.select("a", F.col("s.b").alias("b"), F.col("s.w").alias("weight"))
 
 
+def top_by_seed(pairs: DataFrame, seed: str, by: str, item: str, k: int) -> DataFrame:
+    """The k best rows of each seed, ties to the smaller item."""
+    w = Window.partitionBy(seed).orderBy(F.desc(by), item)
+    return pairs.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
+
+
 def adjacent_pairs(df: DataFrame, user: str, item: str, by: list[str]) -> DataFrame:
     """Distinct unordered pairs of consecutive different items of a user."""
     prev = F.lag(item).over(Window.partitionBy(user).orderBy(*by))
@@ -51,8 +57,14 @@ def all_user_pairs(df: DataFrame, user: str, item: str, chunk: int = 512) -> Dat
     return pairs.select(F.least("_x", "_y").alias("item_a"), F.greatest("_x", "_y").alias("item_b"))
 
 
-def swing(df: DataFrame, user: str, item: str, alpha: float = 1.0, cap: int = 200) -> DataFrame:
-    """(item_a, item_b, score): every user who has both adds 1 / (alpha + its items)."""
+def swing(df: DataFrame, user: str, item: str, alpha: float = 5.0, cap: int = 200) -> DataFrame:
+    """(item_a, item_b, score): every user who has both adds 1 / (alpha + its items).
+
+    Items of one user only leave first; after that, users of more than ``cap``
+    items add nothing, by definition of the score.
+    """
+    df = df.select(user, item).dropna().distinct()
+    df = df.join(df.groupBy(item).agg(F.count(F.lit(1)).alias("_u")).where("_u >= 2").select(item), item, "left_semi")
     return user_pairs(df, user, item, cap).groupBy("item_a", "item_b").agg(F.sum(1.0 / (F.lit(alpha) + F.col("_n"))).alias("score"))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import scratch
+from ..functions.bits import level, masked
 from ..functions.scalars import time_bucket
 
 LAYERS, MAX_ITEMS = 3, 170
@@ -32,52 +34,89 @@ def train_prefixes_without_target(df: DataFrame, user: str, item: str) -> DataFr
 def split_time(df: DataFrame, at: str, n_eval: int) -> Column:
     """The time at position total - n_eval of all times in order, found by counts per time.
 
-    Counts per distinct time are summed in range partitions; the one row that
-    comes out is read by the driver and put into the plan as a constant.
+    One pass counts each day; a second counts the times of the one day that is
+    asked for. The row that comes out is put into the plan as a constant.
     """
-    counts = df.groupBy(at).agg(F.count(F.lit(1)).alias("c"))
-    total = df.count()
+    daily = df.groupBy(F.floor(F.col(at) / 86400).alias("d")).agg(F.count(F.lit(1)).alias("c"))
+    days = daily.orderBy("d").collect()  # a row for each day
+    total = sum(r["c"] for r in days)
     if not total:
         return F.lit(None).cast("bigint")
-    at_pos = min(max(total - n_eval, 0), total - 1)
-    daily = counts.groupBy(F.floor(F.col(at) / 86400).alias("d")).agg(F.sum("c").alias("c"))
-    days = daily.withColumn("upto", F.sum("c").over(Window.orderBy("d")))  # one row per day
-    day = days.where(F.col("upto") > at_pos).orderBy("d").first()
-    inside = counts.where(F.floor(F.col(at) / 86400) == day["d"]).withColumn("upto", F.sum("c").over(Window.orderBy(at)) + (day["upto"] - day["c"]))
-    return F.lit(inside.where(F.col("upto") > at_pos).orderBy(at).first()[at])
-
-
-def build_sequences(positives: DataFrame, sids: DataFrame, split: Column, max_items: int = MAX_ITEMS, side: str = "right") -> DataFrame:
-    """One row per user: uid, items (ordered structs), split_item, and the derived arrays.
-
-    ``positives`` has uid, iid, first_ts, level; items without a SID leave
-    first, then users with fewer than two, then all but the last ``max_items``
-    of a user. Gaps and hours are taken after that. Ties of time go by iid.
+    left = min(max(total - n_eval, 0), total - 1)
+    for r in days:
+        if left < r["c"]:
+            break
+        left -= r["c"]
+    inside = df.where(F.floor(F.col(at) / 86400) == r["d"]).groupBy(at).agg(F.count(F.lit(1)).alias("c")).withColumn("upto", F.sum("c").over(Window.orderBy(at)))  # 86400 rows at most
+    return F.lit(inside.where(F.col("upto") > left).orderBy(at).first()[at])
+
+
+def build_sequences(positives: DataFrame, sids: DataFrame, split: Column, max_items: int = MAX_ITEMS, side: str = "right", extra: str | None = None) -> DataFrame:
+    """One row per user: uid, tokens, split_pos, eval_cids, time_gaps, action_levels, timestamps, span[, extra].
+
+    ``positives`` has uid, iid, first_ts, level[, tie][, extra]; items without
+    a SID leave first, then users with fewer than two, then all but the last
+    ``max_items`` of a user. Gaps, hours and span (seconds from first to last)
+    are taken after that. Equal times go by iid, then tie. ``extra`` names an
+    array column whose values of all items are put one after another.
     """
     known = positives.join(sids.select(F.col("content_id").alias("iid"), F.array("a", "b", "c").alias("tokens")), "iid")
+    place = ["first_ts", "iid", *(["tie"] if "tie" in positives.columns else [])]
     w = Window.partitionBy("uid")
     kept = (
-        known.withColumn("back", F.row_number().over(w.orderBy(F.desc("first_ts"), F.desc("iid"))))
+        known.withColumn("back", F.row_number().over(w.orderBy(*[F.desc(c) for c in place])))
         .withColumn("n", F.count(F.lit(1)).over(w))
         .where((F.col("n") >= 2) & (F.col("back") <= max_items))
     )
-    o = w.orderBy("first_ts", "iid")
-    gap = F.col("first_ts") - F.lag("first_ts").over(o)
-    rows = kept.withColumn("gap", F.when(F.lag("first_ts").over(o).isNull(), 0).otherwise(time_bucket(gap, side))).withColumn("hours", ((F.col("first_ts") - F.min("first_ts").over(w)) / 3600).cast("float"))
-    item = F.struct("first_ts", "iid", "tokens", "gap", "level", "hours")
-    users = rows.groupBy("uid").agg(F.array_sort(F.collect_list(item)).alias("items"), F.count_if(F.col("first_ts") <= split).alias("split_item"))
-    spread = lambda name: F.flatten(F.transform("items", lambda x: F.array_repeat(x[name], LAYERS)))
+    more = [extra] if extra else []
+    users = kept.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct(*place, "tokens", "level", *more))).alias("items"))
+    first = F.element_at("items", 1)["first_ts"]
+    gaps = F.transform(
+        F.zip_with("items", F.slice(F.concat(F.slice("items", 1, 1), F.col("items")), F.lit(1), F.size("items")), lambda x, y: x["first_ts"] - y["first_ts"]),
+        lambda g, i: F.when(i == 0, 0).otherwise(time_bucket(g, side)),
+    )
+    spread = lambda c, f: F.flatten(F.transform(c, lambda x: F.array_repeat(f(x), LAYERS)))
     return users.select(
         "uid",
         F.flatten(F.transform("items", lambda x: x["tokens"])).alias("tokens"),
-        (F.col("split_item") * LAYERS).cast("int").alias("split_pos"),
+        (F.size(F.filter("items", lambda x: x["first_ts"] <= split)) * LAYERS).cast("int").alias("split_pos"),
         F.transform(F.filter("items", lambda x: x["first_ts"] > split), lambda x: x["iid"]).alias("eval_cids"),
-        spread("gap").alias("time_gaps"),
-        spread("level").alias("action_levels"),
-        spread("hours").alias("timestamps"),
+        spread(gaps, lambda g: g).alias("time_gaps"),
+        spread("items", lambda x: x["level"]).alias("action_levels"),
+        spread("items", lambda x: ((x["first_ts"] - first) / 3600).cast("float")).alias("timestamps"),
+        (F.element_at("items", -1)["first_ts"] - first).alias("span"),
+        *[F.flatten(F.transform("items", lambda x: x[e])).alias(e) for e in more],
     )
 
 
+def dispatch(sids: DataFrame, behavior: DataFrame | None = None, exposure: DataFrame | None = None, b2: DataFrame | None = None, n_eval: int = 50_000, max_items: int = MAX_ITEMS, k: int = 5) -> DataFrame:
+    """Sequences from the richest source given: session behavior, then rows with their negatives inline, then plain behavior.
+
+    ``b2`` is session-grain behavior (action_bitmap 0 is an exposure),
+    ``exposure`` has uid, iid, first_ts, neg_iids, ``behavior`` uid, iid,
+    first_ts, action_bitmap. No source is an error.
+    """
+    if b2 is not None:
+        pos = session_negatives(b2.where((F.col("action_bitmap") == 0) | (masked(F.col("action_bitmap")) > 0)), sids, k).withColumn("level", level(F.col("action_bitmap"))).withColumnRenamed("session_id", "tie")
+    elif exposure is not None:
+        pos = inline_negatives(exposure, sids, k).withColumn("level", F.lit(1))
+    elif behavior is not None:
+        pos = behavior.where(masked(F.col("action_bitmap")) > 0).select("uid", "iid", "first_ts", level(F.col("action_bitmap")).alias("level"))
+    else:
+        raise ValueError("one of behavior, exposure and b2 is needed")
+    kept = scratch.keep(pos.join(sids.select(F.col("content_id").alias("iid")), "iid", "left_semi"), "positives")
+    return build_sequences(kept, sids, split_time(kept, "first_ts", n_eval), max_items, extra="neg_l0" if "neg_l0" in pos.columns else None)
+
+
+def inline_negatives(exposure: DataFrame, sids: DataFrame, k: int = 5) -> DataFrame:
+    """``exposure`` with neg_l0: the first codes of the first k known items of neg_iids, padded with -1; an item is not left out of its own."""
+    rows = exposure.withColumn("_row", F.struct("uid", "iid", "first_ts", F.monotonically_increasing_id().alias("n")))
+    one = rows.select("_row", F.posexplode("neg_iids").alias("pos", "neg")).join(sids.select(F.col("content_id").alias("neg"), "a"), "neg")
+    negs = one.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("pos", "a"))).alias("x"))
+    own = F.slice(F.transform(F.coalesce("x", F.array().cast("array<struct<pos:int,a:int>>")), lambda x: x["a"]), 1, k)
+    return rows.join(negs, "_row", "left").select("uid", "iid", "first_ts", F.concat(own, F.array_repeat(F.lit(-1), F.lit(k) - F.size(own))).alias("neg_l0"))
+
+
 def session_negatives(b2: DataFrame, sids: DataFrame, k: int = 5) -> DataFrame:
     """Positives with up to k first SID tokens of items exposed in the same session, padded with -1.
 
@@ -88,4 +127,4 @@ def session_negatives(b2: DataFrame, sids: DataFrame, k: int = 5) -> DataFrame:
     neg = b2.where("action_bitmap = 0").join(known, "iid").groupBy("uid", "session_id").agg(F.array_sort(F.collect_set(F.struct("iid", "a"))).alias("neg"))
     pos = b2.where("action_bitmap > 0").join(known.select("iid"), "iid", "left_semi").join(neg, ["uid", "session_id"], "left")
     own = F.slice(F.transform(F.filter(F.coalesce("neg", F.array().cast("array<struct<iid:string,a:int>>")), lambda x: x["iid"] != F.col("iid")), lambda x: x["a"]), 1, k)
-    return pos.select("uid", "session_id", "iid", "first_ts", "last_ts", "event_cnt", F.concat(own, F.array_repeat(F.lit(-1), F.lit(k) - F.size(own))).alias("neg_l0"))
+    return pos.select("uid", "session_id", "iid", "first_ts", "last_ts", "event_cnt", "action_bitmap", F.concat(own, F.array_repeat(F.lit(-1), F.lit(k) - F.size(own))).alias("neg_l0"))

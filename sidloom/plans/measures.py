@@ -94,25 +94,12 @@ def m_reconstruction(spark, d):
     return g.select("label", F.round(F.col("r") / F.col("n"), 5).alias("loss"), F.round(F.col("s") / F.col("n"), 5).alias("norm"))
 
 
-@query(
-    f"""WITH u AS ({_UNIT}), p AS (SELECT a.label, list_dot_product(a.v, b.v) AS s FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)
-SELECT label, count(*) AS pairs, round(avg(s), 5) AS mean, round(stddev_samp(s), 5) AS std, round(min(s), 5) AS least, round(max(s), 5) AS most FROM p GROUP BY label"""
-)
-def m_cosine_dist(spark, d):
-    """Distribution of similarities of the query vectors (ids divisible by 50) with all others of their class."""
-    u = unit(spark, d)
-    q = u.where("vec_id % 50 = 0").select("label", F.col("vec_id").alias("ia"), F.col("v").alias("va"))
-    p = q.join(u, "label").where("ia <> vec_id").select("label", scalars.dot(F.col("va"), F.col("v")).alias("s"))
-    g = p.groupBy("label").agg(F.count(F.lit(1)).alias("pairs"), F.avg("s").alias("mean"), F.stddev_samp("s").alias("std"), F.min("s").alias("least"), F.max("s").alias("most"))
-    return rounded(g, "mean", "std", "least", "most", to=5)
-
-
 @query(
     f"""WITH u AS ({_UNIT}), p AS (SELECT a.label, list_dot_product(a.v, b.v) AS s FROM u a JOIN u b ON a.label = b.label AND a.vec_id < b.vec_id),
 g AS (SELECT label, count(*) AS pairs, round(avg(s), 5) AS mean, round(stddev_samp(s), 5) AS std, round(min(s), 5) AS least, round(max(s), 5) AS most, list_sort(list(round(s, 5))) AS x FROM p GROUP BY label)
 SELECT label, pairs, mean, std, least, most, x[floor(pairs * 0.05)::BIGINT + 1] AS p5, x[floor(pairs * 0.25)::BIGINT + 1] AS p25, x[(pairs - 1) // 2 + 1] AS median, x[floor(pairs * 0.75)::BIGINT + 1] AS p75, x[floor(pairs * 0.95)::BIGINT + 1] AS p95 FROM g"""
 )
-def m_cosine_dist_all(spark, d):
+def m_cosine_dist(spark, d):
     """The distribution over all pairs of a class, each pair once, with median and percentiles."""
     e = table(spark, d, "embeddings").where("exists(embedding, x -> x <> 0)")
     g = pairdist.cosine_distribution(e.select(F.col("label").cast("bigint").alias("g"), F.col("vec_id").cast("bigint").alias("id"), F.col("embedding").alias("v")))
@@ -168,23 +155,19 @@ def m_neighbor_coverage(spark, d):
 
 @query(
     sql(
-        "SELECT label, count(*) AS pairs, round(corr(ra, rb), 5) AS spearman FROM r GROUP BY label",
-        u=_UNIT,
-        p="SELECT a.label, a.vec_id AS i, b.vec_id AS j, round(list_dot_product(a.v, b.v), 6) AS s, (abs(a.vec_id - b.vec_id) % 17)::DOUBLE AS t FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0",
-        r="SELECT label, rank() OVER (PARTITION BY label ORDER BY s) + (count(*) OVER (PARTITION BY label, s) - 1) / 2.0 AS ra, rank() OVER (PARTITION BY label ORDER BY t) + (count(*) OVER (PARTITION BY label, t) - 1) / 2.0 AS rb FROM p",
+        """SELECT (SELECT count(*) FROM i) AS items, count(*) AS pairs, count(*) FILTER (t > 0) AS co_pairs, CASE WHEN (SELECT count(*) FROM i) >= 100 THEN round(corr(ra, rt), 6) END AS spearman FROM k""",
+        "b2",
+        e="""SELECT iid, v FROM (SELECT lower(trim(content_id, E' \\t\\r\\n')) AS iid, embedding::DOUBLE[] AS v, encoded_at FROM results WHERE content_id IS NOT NULL AND len(embedding) = 128)
+ WHERE iid <> '' AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0 QUALIFY row_number() OVER (PARTITION BY iid ORDER BY encoded_at DESC NULLS LAST) = 1""",
+        a="SELECT DISTINCT uid, iid FROM b2 WHERE action_bitmap > 0",
+        n="SELECT iid, count(*) AS n FROM a GROUP BY iid HAVING count(*) >= 5",
+        i="SELECT iid, n, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM e JOIN n USING (iid)",
+        c="SELECT x.iid AS a, y.iid AS b, count(*) AS k FROM a x JOIN a y ON x.uid = y.uid AND x.iid < y.iid WHERE x.iid IN (SELECT iid FROM i) AND y.iid IN (SELECT iid FROM i) GROUP BY ALL",
+        p="SELECT round(list_dot_product(x.v, y.v), 5) AS s, coalesce(c.k / (x.n + y.n - c.k)::DOUBLE, 0) AS t FROM i x JOIN i y ON x.iid < y.iid LEFT JOIN c ON c.a = x.iid AND c.b = y.iid",
+        k="SELECT s, t, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0::DOUBLE AS ra, rank() OVER (ORDER BY t) + (count(*) OVER (PARTITION BY t) - 1) / 2.0::DOUBLE AS rt FROM p",
     )
 )
 def m_emb_behavior_corr(spark, d):
-    """Spearman correlation per class of vector similarity and another score of a pair."""
-    u = unit(spark, d)
-    q = u.where("vec_id % 50 = 0").select("label", F.col("vec_id").alias("i"), F.col("v").alias("va"))
-    p = q.join(u, "label").where("i <> vec_id").select("label", F.round(scalars.dot(F.col("va"), F.col("v")), 6).alias("s"), (F.abs(F.col("i") - F.col("vec_id")) % 17).cast("double").alias("t"))
-    r = p.select("label", m.average_rank("s", "label").alias("ra"), m.average_rank("t", "label").alias("rb"))
-    return r.groupBy("label").agg(F.count(F.lit(1)).alias("pairs"), F.round(F.corr("ra", "rb"), 5).alias("spearman"))
-
-
-@query()
-def m_emb_behavior_corr_all(spark, d):
     """Spearman correlation of cosine and user-Jaccard over all pairs of items with at least 5 users."""
     v = F.col("v")
     rows = table(spark, d, "results").select(item_key("content_id").alias("iid"), F.col("embedding").cast("array<double>").alias("v"), "encoded_at")

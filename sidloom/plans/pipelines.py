@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from .. import scratch
 from ..functions import bits, scalars
 from ..operators import losses, prefs, relate, vq
 from ..operators import sequences as seq
@@ -26,78 +27,105 @@ def query(oracle: str | None = None):
     return add
 
 
-_POS_SPLIT = "SELECT first_ts AS s FROM (SELECT first_ts, row_number() OVER (ORDER BY first_ts) AS rn, count(*) OVER () AS n FROM beh WHERE (action_bitmap & ~4096) > 0) WHERE rn = least(greatest(n - 3000, 0), n - 1) + 1"
 _LV = f"CASE WHEN (action_bitmap & ~4096) & {sum(bits.TRADE)} <> 0 THEN 3 WHEN (action_bitmap & ~4096) & {sum(bits.STRONG)} <> 0 THEN 2 ELSE 1 END"
+N_EVAL = 3000
 
 
-def _seq_sql(bound: str) -> str:
+def _seq_sql(rows: str, negatives: bool = False, **ctes: str) -> str:
+    """Sequences from rows (uid, iid, first_ts, tie, level, a, b, c[, neg])."""
+    back, there = "first_ts DESC, iid DESC, tie DESC", "first_ts, iid, tie"
+    per = lambda x: f"array_to_string(flatten(list([{x}, {x}, {x}] ORDER BY {there})), ',')"
+    more = f", array_to_string(flatten(list(neg ORDER BY {there})), ',') AS neg_l0" if negatives else ""
     return sql(
-        """SELECT uid, array_to_string(flatten(list([a, b, c] ORDER BY first_ts, iid)), ',') AS tokens, (3 * count(*) FILTER (first_ts <= s))::INT AS split_pos, coalesce(array_to_string(list(iid ORDER BY first_ts, iid) FILTER (first_ts > s), ','), '') AS eval_cids,
- array_to_string(flatten(list([g, g, g] ORDER BY first_ts, iid)), ',') AS time_gaps, array_to_string(flatten(list([level, level, level] ORDER BY first_ts, iid)), ',') AS action_levels, round(max(first_ts - f) / 3600.0::DOUBLE, 3) AS hours FROM r, x GROUP BY uid""",
-        "beh",
+        f"""SELECT uid, array_to_string(flatten(list([a, b, c] ORDER BY {there})), ',') AS tokens, (3 * count(*) FILTER (first_ts <= s))::INT AS split_pos, coalesce(array_to_string(list(iid ORDER BY {there}) FILTER (first_ts > s), ','), '') AS eval_cids,
+ {per("g")} AS time_gaps, {per("level")} AS action_levels, (max(first_ts) - min(first_ts))::BIGINT AS span{more} FROM r, x GROUP BY uid""",
+        "b2" if negatives else "beh",
         "sid",
-        x=_POS_SPLIT,
-        p=f"SELECT uid, iid, first_ts, {_LV}::INT AS level, a, b, c FROM beh JOIN sid ON iid = content_id WHERE (action_bitmap & ~4096) > 0",
-        t="SELECT * FROM p QUALIFY count(*) OVER (PARTITION BY uid) >= 2 AND row_number() OVER (PARTITION BY uid ORDER BY first_ts DESC, iid DESC) <= 50",
-        r=f"""SELECT *, min(first_ts) OVER (PARTITION BY uid) AS f, CASE WHEN lag(first_ts) OVER w IS NULL THEN 0 ELSE len(list_filter({_GAPS}, lambda b: b {bound} greatest(first_ts - lag(first_ts) OVER w, 0))) END AS g FROM t WINDOW w AS (PARTITION BY uid ORDER BY first_ts, iid)""",
+        **ctes,
+        p=rows,
+        x=f"SELECT first_ts AS s FROM (SELECT first_ts, row_number() OVER (ORDER BY first_ts) AS rn, count(*) OVER () AS n FROM p) WHERE rn = least(greatest(n - {N_EVAL}, 0), n - 1) + 1",
+        t=f"SELECT * FROM p QUALIFY count(*) OVER (PARTITION BY uid) >= 2 AND row_number() OVER (PARTITION BY uid ORDER BY {back}) <= {seq.MAX_ITEMS}",
+        r=f"SELECT *, CASE WHEN lag(first_ts) OVER w IS NULL THEN 0 ELSE len(list_filter({_GAPS}, lambda b: b <= greatest(first_ts - lag(first_ts) OVER w, 0))) END AS g FROM t WINDOW w AS (PARTITION BY uid ORDER BY {there})",
     )
 
 
-def _sequences(spark, d, side="right"):
-    pos = behavior(spark, d).where(bits.masked(F.col("action_bitmap")) > 0).select("uid", "iid", "first_ts", bits.level(F.col("action_bitmap")).alias("level"))
-    return seq.build_sequences(pos, sids(spark, d), seq.split_time(pos, "first_ts", 3000), 50, side)
-
-
 def _flat(df):
     s = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
-    return df.select("uid", s("tokens"), "split_pos", F.array_join("eval_cids", ",").alias("eval_cids"), s("time_gaps"), s("action_levels"), F.round(F.element_at("timestamps", -1), 3).alias("hours"))
+    return df.select("uid", s("tokens"), "split_pos", F.array_join("eval_cids", ",").alias("eval_cids"), s("time_gaps"), s("action_levels"), "span", *([s("neg_l0")] if "neg_l0" in df.columns else []))
 
 
-@query(_seq_sql("<=").replace("round(max(first_ts - f) / 3600.0::DOUBLE, 3) AS hours", "(max(first_ts) - min(first_ts))::BIGINT AS span"))
+@query(_seq_sql(f"SELECT uid, iid, first_ts, 0 AS tie, {_LV}::INT AS level, a, b, c FROM beh JOIN sid ON iid = content_id WHERE (action_bitmap & ~4096) > 0"))
 def seq_build(spark, d):
-    return _seq_with_span(spark, d)
+    return _flat(seq.dispatch(scratch.keep(sids(spark, d), "sids"), behavior=behavior(spark, d), n_eval=N_EVAL))
 
 
-@query(S["seq_build"].replace("<= 50", f"<= {seq.MAX_ITEMS}"))
-def seq_build_all(spark, d):
-    """With the whole window of the inventory."""
-    return _seq_with_span(spark, d, seq.MAX_ITEMS)
+_V2NEG = "SELECT uid, session_id, list_sort(list(DISTINCT {'iid': iid, 'a': a})) AS neg FROM b2 JOIN sid ON iid = content_id WHERE action_bitmap = 0 GROUP BY uid, session_id"
+_V2 = "SELECT uid, session_id, iid, bit_or(action_bitmap)::INT AS action_bitmap, min(first_ts) AS first_ts FROM b2 GROUP BY ALL"
 
 
-def _seq_with_span(spark, d, most=50):
-    pos = behavior(spark, d).where(bits.masked(F.col("action_bitmap")) > 0).select("uid", "iid", "first_ts", bits.level(F.col("action_bitmap")).alias("level"))
-    built = seq.build_sequences(pos, sids(spark, d), seq.split_time(pos, "first_ts", 3000), most)
-    w = Window.partitionBy("uid")
-    known = pos.join(sids(spark, d).select(F.col("content_id").alias("iid")), "iid", "left_semi")
-    kept = known.withColumn("k", F.row_number().over(w.orderBy(F.desc("first_ts"), F.desc("iid")))).where(F.col("k") <= most)
-    span = kept.groupBy("uid").agg((F.max("first_ts") - F.min("first_ts")).alias("span"))
-    return _flat(built).drop("hours").join(span, "uid")
+def _session_rows(spark, d):
+    """One row per user, session and item; repeated deliveries are one."""
+    return behavior_v2(spark, d).groupBy("uid", "session_id", "iid").agg(F.bit_or("action_bitmap").alias("action_bitmap"), F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"), F.sum("event_cnt").alias("event_cnt"))
 
 
-_V2NEG = "SELECT uid, session_id, list_sort(list(DISTINCT {'iid': iid, 'a': a})) AS neg FROM b2 JOIN sid ON iid = content_id WHERE action_bitmap = 0 GROUP BY uid, session_id"
-_V2ROWS = """SELECT p.uid, p.iid, p.first_ts, list_resize(list_slice(list_transform(list_filter(coalesce(n.neg, []), lambda x: x.iid <> p.iid), lambda x: x.a), 1, 3), 3, -1) AS neg
- FROM (SELECT uid, iid, min(first_ts) AS first_ts, arg_min(session_id, (first_ts, session_id)) AS session_id FROM b2 WHERE action_bitmap > 0 GROUP BY uid, iid) p SEMI JOIN sid ON p.iid = sid.content_id LEFT JOIN neg n ON p.uid = n.uid AND p.session_id = n.session_id"""
+@query(
+    _seq_sql(
+        f"SELECT p.uid, p.iid, p.first_ts, p.session_id AS tie, {_LV}::INT AS level, a, b, c, list_resize(list_slice(list_transform(list_filter(coalesce(neg, []), lambda x: x.iid <> p.iid), lambda x: x.a), 1, 5), 5, -1) AS neg FROM v2 p JOIN sid ON p.iid = content_id LEFT JOIN neg n ON p.uid = n.uid AND p.session_id = n.session_id WHERE (action_bitmap & ~4096) > 0",
+        True,
+        v2=_V2,
+        neg=_V2NEG.replace("FROM b2", "FROM v2"),
+    )
+)
+def seq_build_v2(spark, d):
+    """Sequences of session rows with the first codes of each item's session negatives."""
+    return _flat(seq.dispatch(scratch.keep(sids(spark, d), "sids"), b2=_session_rows(spark, d), n_eval=N_EVAL))
 
 
-@query(sql("SELECT uid, count(*) AS n, array_to_string(flatten(list(neg ORDER BY first_ts, iid)), ',') AS neg_l0 FROM r GROUP BY uid HAVING count(*) >= 2", "b2", "sid", neg=_V2NEG, r=_V2ROWS))
-def seq_build_v2(spark, d):
-    """Sequences with the first codes of each item's session negatives."""
-    b2, s = behavior_v2(spark, d), sids(spark, d)
-    first = b2.where("action_bitmap > 0").groupBy("uid", "iid").agg(F.min(F.struct("first_ts", "session_id")).alias("v")).select("uid", "iid", "v.first_ts", "v.session_id", F.lit(0).alias("last_ts"), F.lit(1).alias("event_cnt"), F.lit(1).alias("action_bitmap"))
-    zero = b2.where("action_bitmap = 0").select(*first.columns)
-    rows = seq.session_negatives(first.unionByName(zero), s, 3)
-    g = rows.groupBy("uid").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("first_ts", "iid", "neg_l0"))).alias("x")).where("n >= 2")
-    return g.select("uid", "n", F.array_join(F.flatten(F.transform("x", lambda i: i["neg_l0"])).cast("array<string>"), ",").alias("neg_l0"))
+_EXPOSURE = "SELECT p.uid, p.iid, p.first_ts, n.neg_iids FROM v2 p LEFT JOIN (SELECT uid, session_id, list_sort(list(DISTINCT iid)) AS neg_iids FROM v2 WHERE action_bitmap = 0 GROUP BY uid, session_id) n ON p.uid = n.uid AND p.session_id = n.session_id WHERE p.action_bitmap > 0"
+
 
+def _exposure(spark, d):
+    """Positives with all exposed items of their session as an array, the form of an export."""
+    b = _session_rows(spark, d)
+    neg = b.where("action_bitmap = 0").groupBy("uid", "session_id").agg(F.array_sort(F.collect_set("iid")).alias("neg_iids"))
+    rows = b.where("action_bitmap > 0").select("uid", "session_id", "iid", "first_ts").join(neg, ["uid", "session_id"], "left")
+    one = rows.groupBy("uid", "iid").agg(F.min(F.struct("first_ts", "session_id", "neg_iids")).alias("x"))  # an item's first session
+    return one.select("uid", "iid", "x.first_ts", "x.neg_iids")
 
-@query(sql("SELECT uid, count(*) AS n_items, sum(len(neg))::BIGINT AS n_neg FROM (SELECT p.uid, p.iid, coalesce(n.neg, []) AS neg FROM b2 p SEMI JOIN sid ON p.iid = sid.content_id LEFT JOIN n USING (uid, session_id) WHERE p.action_bitmap > 0) GROUP BY uid", "b2", "sid", n="SELECT uid, session_id, list(DISTINCT iid) AS neg FROM b2 WHERE action_bitmap = 0 AND iid IN (SELECT content_id FROM sid) GROUP BY ALL"))
+
+@query(
+    _seq_sql(
+        "SELECT e.uid, e.iid, e.first_ts, 0 AS tie, 1 AS level, a, b, c, list_resize(list_slice(coalesce(l0, []), 1, 5), 5, -1) AS neg FROM e JOIN sid ON e.iid = content_id LEFT JOIN l USING (uid, iid)",
+        True,
+        v2=_V2,
+        e=_EXPOSURE.replace("SELECT p.uid, p.iid, p.first_ts, n.neg_iids", "SELECT p.uid, p.iid, p.first_ts, n.neg_iids, p.session_id") + " QUALIFY row_number() OVER (PARTITION BY p.uid, p.iid ORDER BY p.first_ts, p.session_id) = 1",
+        l="SELECT uid, x.iid, list(a ORDER BY x.neg) AS l0 FROM (SELECT uid, iid, unnest(neg_iids) AS neg FROM e) x JOIN sid ON x.neg = content_id GROUP BY uid, x.iid",
+    )
+)
 def seq_build_exposure(spark, d):
-    """The same from rows that carry their negatives as an array; the item itself is not left out."""
-    b2, s = behavior_v2(spark, d), sids(spark, d).select(F.col("content_id").alias("iid"))
-    known = b2.join(s, "iid", "left_semi")
-    neg = known.where("action_bitmap = 0").groupBy("uid", "session_id").agg(F.size(F.collect_set("iid")).alias("k"))
-    rows = known.where("action_bitmap > 0").join(neg, ["uid", "session_id"], "left")
-    return rows.groupBy("uid").agg(F.count(F.lit(1)).alias("n_items"), F.sum(F.coalesce("k", F.lit(0))).alias("n_neg"))
+    """Sequences of rows that carry their negatives as an array; the item itself is not left out."""
+    return _flat(seq.dispatch(scratch.keep(sids(spark, d), "sids"), exposure=_exposure(spark, d), n_eval=N_EVAL))
+
+
+@query(
+    sql(
+        "SELECT 'session' AS source, count(*) AS users, sum(n)::BIGINT AS items FROM v UNION ALL SELECT 'exposure', count(*), sum(n)::BIGINT FROM e UNION ALL SELECT 'behavior', count(*), sum(n)::BIGINT FROM h",
+        "b2",
+        "beh",
+        "sid",
+        v2=_V2,
+        v=f"SELECT uid, least(count(*), {seq.MAX_ITEMS}) AS n FROM v2 SEMI JOIN sid ON iid = content_id WHERE (action_bitmap & ~4096) > 0 GROUP BY uid HAVING count(*) >= 2",
+        e=f"SELECT uid, least(count(DISTINCT iid), {seq.MAX_ITEMS}) AS n FROM v2 SEMI JOIN sid ON iid = content_id WHERE action_bitmap > 0 GROUP BY uid HAVING count(DISTINCT iid) >= 2",
+        h=f"SELECT uid, least(count(*), {seq.MAX_ITEMS}) AS n FROM beh SEMI JOIN sid ON iid = content_id WHERE (action_bitmap & ~4096) > 0 GROUP BY uid HAVING count(*) >= 2",
+    )
+)
+def seq_dispatch(spark, d):
+    """What each choice of sources leads to: session rows come before inline negatives, and these before plain behavior."""
+    s = scratch.keep(sids(spark, d), "sids")
+    given = {"behavior": behavior(spark, d), "exposure": _exposure(spark, d), "b2": _session_rows(spark, d)}
+    choices = [("session", ["behavior", "exposure", "b2"]), ("exposure", ["behavior", "exposure"]), ("behavior", ["behavior"])]
+    out = [seq.dispatch(s, n_eval=N_EVAL, **{k: given[k] for k in names}).agg(F.count(F.lit(1)).alias("users"), (F.sum(F.size("tokens")) / seq.LAYERS).cast("bigint").alias("items")).select(F.lit(n).alias("source"), "users", "items") for n, names in choices]
+    return out[0].unionByName(out[1]).unionByName(out[2])
 
 
 @query("SELECT uid, built_at, array_to_string(list_transform(action_levels, lambda x, i: CASE WHEN i % 3 = 0 THEN x ELSE 0 END), ',') AS levels FROM sequences WHERE action_levels IS NOT NULL")
@@ -127,13 +155,8 @@ def eval_items(spark, d):
     return e.select("uid", "built_at", "item", F.size("context").alias("n_context"), scalars.sid_format(F.col("target")).alias("target"))
 
 
-@query("SELECT uid, built_at, array_to_string(list_slice(list_slice(tokens, 1, split_pos), -60, -1), ',') AS context FROM sequences WHERE split_pos > 0 AND len(tokens) > 0")
+@query("SELECT uid, built_at, array_to_string(list_slice(list_slice(tokens, 1, split_pos), -510, -1), ',') AS context FROM sequences WHERE split_pos > 0 AND len(tokens) > 0")
 def eval_context_pool(spark, d):
-    return _context_pool(spark, d, 60)
-
-
-@query(S["eval_context_pool"].replace("-60", f"-{seq.LAYERS * seq.MAX_ITEMS}"))
-def eval_context_pool_all(spark, d):
     """With the whole window of the inventory."""
     return _context_pool(spark, d, seq.LAYERS * seq.MAX_ITEMS)
 
@@ -147,7 +170,7 @@ def _context_pool(spark, d, most):
 _TIER = f"CASE WHEN action_bitmap < 0 THEN 'negative' WHEN action_bitmap & {sum(bits.STRONG)} <> 0 THEN 'strong' WHEN action_bitmap & {sum(bits.WEAK)} <> 0 THEN 'weak' ELSE 'neutral' END"
 _HISTORY = dict(
     t=f"SELECT uid, iid, first_ts, {_TIER} AS tier FROM beh WHERE action_bitmap <> 0 AND iid IN (SELECT content_id FROM sid)",
-    h="SELECT *, row_number() OVER (PARTITION BY uid ORDER BY first_ts, iid) AS rn FROM t QUALIFY row_number() OVER (PARTITION BY uid ORDER BY first_ts DESC, iid DESC) <= 40",
+    h="SELECT *, row_number() OVER (PARTITION BY uid ORDER BY first_ts, iid) AS rn FROM t QUALIFY row_number() OVER (PARTITION BY uid ORDER BY first_ts DESC, iid DESC) <= 170",
     g="SELECT uid, list(iid ORDER BY first_ts, iid) FILTER (tier = 'negative') AS neg, list(iid ORDER BY first_ts, iid) FILTER (tier = 'weak') AS weak FROM h GROUP BY uid",
     c="SELECT h.uid, h.iid, count(*) AS n_context FROM h JOIN h b ON b.uid = h.uid AND b.rn < h.rn AND b.tier IN ('strong', 'weak') WHERE h.tier = 'strong' GROUP BY ALL",
 )
@@ -155,11 +178,6 @@ _HISTORY = dict(
 
 @query(sql("SELECT c.uid, c.iid, n_context::INT AS n_context, coalesce(array_to_string(list_slice(list_filter(neg, lambda x: x <> c.iid), 1, 5), ','), '') AS easy, coalesce(array_to_string(list_slice(list_filter(weak, lambda x: x <> c.iid), 1, 5), ','), '') AS hard FROM c JOIN g USING (uid)", "beh", "sid", **_HISTORY))
 def pref_rf_pairs(spark, d):
-    return _rf_pairs(spark, d, 40)
-
-
-@query(S["pref_rf_pairs"].replace("<= 40", f"<= {seq.MAX_ITEMS}"))
-def pref_rf_pairs_all(spark, d):
     """With the whole window of the inventory."""
     return _rf_pairs(spark, d, seq.MAX_ITEMS)
 
@@ -534,24 +552,26 @@ _GR = "SELECT l_orderkey AS g, row_number() OVER (PARTITION BY l_orderkey ORDER
 def scored(spark, d):
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     return table(spark, d, "lineitem").select(
-        F.col("l_orderkey").alias("g"), F.row_number().over(w).cast("bigint").alias("pos"), (F.col("l_quantity") / 50).alias("reward"), (-F.col("l_discount") * 10).alias("policy_lp"), (-F.col("l_tax") * 10).alias("ref_lp")
-    )
+        F.col("l_orderkey").alias("g"), F.row_number().over(w).cast("bigint").alias("pos"), (F.col("l_quantity") / 50).alias("reward"), (-F.col("l_discount") * 10).alias("policy_lp"), (-F.col("l_tax") * 10).alias("ref_lp"),
+        (F.col("l_partkey") % 3).alias("a"), (F.col("l_suppkey") % 2).alias("b"), (F.col("l_linenumber") % 2).alias("c"),
+    )
 
 
 @query(
     sql(
-        "SELECT round(avg(ln(1 + exp(lse))), 5) AS loss, count(*) AS groups FROM l",
+        """SELECT round(avg(ln(1 + exp(lse))), 5) AS loss, round(avg(c), 5) AS chosen_reward, round(avg(mean), 5) AS rejected_reward, round(avg(c - mean), 5) AS reward_margin, round(avg(CASE WHEN c > most THEN 1.0 ELSE 0.0 END), 5)::DOUBLE AS preference_acc,
+ round((SELECT avg(policy_lp - ref_lp) FROM r), 5) AS kl, count(*) AS groups FROM l""",
         r=_GR,
-        x="SELECT a.g, 0.1 * ((b.policy_lp - b.ref_lp) - (a.policy_lp - a.ref_lp)) AS x FROM r a JOIN r b ON a.g = b.g AND a.pos = 1 AND b.pos > 1",
-        l="SELECT g, max(x) + ln(sum(exp(x - m))) AS lse FROM (SELECT *, max(x) OVER (PARTITION BY g) AS m FROM x) GROUP BY g",
+        x="SELECT a.g, a.policy_lp - a.ref_lp AS c, b.policy_lp - b.ref_lp AS v, 0.1 * ((b.policy_lp - b.ref_lp) - (a.policy_lp - a.ref_lp)) AS x FROM r a JOIN r b ON a.g = b.g AND a.pos = 1 AND b.pos > 1",
+        l="SELECT g, any_value(c) AS c, avg(v) AS mean, max(v) AS most, max(x) + ln(sum(exp(x - m))) AS lse FROM (SELECT *, max(x) OVER (PARTITION BY g) AS m FROM x) GROUP BY g",
     )
 )
 def loss_dpo(spark, d):
-    got = losses.softmax_dpo(scored(spark, d).withColumn("chosen", F.col("pos") == 1), 0.1)
-    return got.agg(F.round(F.avg("loss"), 5).alias("loss"), F.count(F.lit(1)).alias("groups"))
+    got = losses.dpo_diagnostics(losses.softmax_dpo(scored(spark, d).withColumn("chosen", F.col("pos") == 1), 0.1))
+    return got.select(*[F.round(c, 5).alias(c) for c in got.columns[:-1]], "groups")
 
 
-_ADV = "SELECT *, greatest(-5, least(5, (reward - avg(reward) OVER w) / stddev_samp(reward) OVER w)) AS adv, exp(policy_lp - ref_lp) AS rho FROM r WINDOW w AS (PARTITION BY g) QUALIFY stddev_samp(reward) OVER w >= 1e-6"
+_ADV = "SELECT *, greatest(-5, least(5, (reward - avg(reward) OVER w) / stddev_samp(reward) OVER w)) AS adv, exp(greatest(-10, least(10, policy_lp - ref_lp))) AS rho FROM r WINDOW w AS (PARTITION BY g) QUALIFY stddev_samp(reward) OVER w >= 1e-6"
 
 
 @query(sql("SELECT g, pos, round(adv, 5) + 0.0 AS advantage, round(-least(rho * adv, least(greatest(rho, 0.8), 1.2) * adv), 5) + 0.0 AS loss FROM a", r=_GR, a=_ADV))
@@ -565,26 +585,40 @@ def loss_ecpo(spark, d):
     return losses.grpo(scored(spark, d), delta=0.1).select("g", "pos", F.round("loss", 5).alias("loss"))
 
 
-@query(sql("SELECT q, sid, depth::INT AS shared, round(1 + depth / 3.0::DOUBLE, 6) AS gate FROM k0", "sid", s=_CAND_S, k0=_CAND))
+@query(
+    sql(
+        """SELECT g, pos, round(gate, 6) AS gate, round(adv, 5) + 0.0 AS advantage, round(-least(rho * adv, least(greatest(rho, 0.8), 1.2) * adv), 5) + 0.0 AS loss FROM (SELECT * REPLACE (CASE WHEN adv < 0 THEN adv * (1 + 0.5 * gate) ELSE adv END AS adv) FROM z)""",
+        r=_GR.replace("SELECT l_orderkey AS g", "SELECT l_partkey % 3 AS a, l_suppkey % 2 AS b, l_linenumber % 2 AS c, l_orderkey AS g"),
+        best="SELECT g, pos, a, b, c FROM r QUALIFY row_number() OVER (PARTITION BY g ORDER BY reward DESC, pos) = 1",
+        y=_ADV,
+        z="SELECT y.*, CASE WHEN y.pos = k.pos OR y.a <> k.a THEN 0 WHEN y.b <> k.b THEN 1 WHEN y.c <> k.c THEN 2 ELSE 3 END / 3.0::DOUBLE AS gate FROM y JOIN best k USING (g)",
+    )
+)
 def loss_a2po_gate(spark, d):
-    """Gate of a candidate: one plus the share of leading codes it has in common with the best."""
-    return candidates(spark, d).select("q", "sid", F.col("depth").alias("shared"), F.round(1 + F.col("depth") / 3.0, 6).alias("gate"))
+    """The group objective with negative advantages amplified by the codes shared with the best candidate (alpha 0.5)."""
+    x = losses.grpo(scored(spark, d), alpha=0.5, codes=["a", "b", "c"])
+    return x.select("g", "pos", F.round("gate", 6).alias("gate"), F.round("advantage", 5).alias("advantage"), F.round("loss", 5).alias("loss"))
+
+
+_HALF = "SELECT vec_id, list_transform(x, lambda i: i / greatest(sqrt(list_dot_product(x, x)), 1e-12)) AS v FROM (SELECT vec_id, list_slice(embedding::DOUBLE[], {}, {}) AS x FROM embeddings)"
 
 
 @query(
     sql(
-        "SELECT label AS batch, round(avg(lse - s), 5) AS loss, count(*) AS n FROM (SELECT label, i, max(s) FILTER (i = j) AS s, ln(sum(exp(s))) AS lse FROM p GROUP BY label, i) GROUP BY label",
-        u=_CENT,
-        b="SELECT vec_id, vec_id // 32 AS label, v FROM u",
-        p="SELECT x.label, x.vec_id AS i, y.vec_id AS j, list_dot_product(x.v, y.v) / 0.1 AS s FROM b x JOIN b y USING (label)",
+        "SELECT batch, round((avg(la - s) + avg(lb - s)) / 2, 5) AS loss, count(*) AS n FROM (SELECT batch, i, max(s) FILTER (i = j) AS s, ln(sum(exp(s))) AS la FROM p GROUP BY batch, i) JOIN (SELECT batch, j AS i, ln(sum(exp(s))) AS lb FROM p GROUP BY batch, j) USING (batch, i) GROUP BY batch",
+        a=_HALF.format(1, 32),
+        b=_HALF.format(33, 64),
+        p="SELECT a.vec_id // 32 AS batch, a.vec_id AS i, b.vec_id AS j, list_dot_product(a.v, b.v) / 0.05 AS s FROM a JOIN b ON a.vec_id // 32 = b.vec_id // 32",
     )
 )
 def loss_infonce(spark, d):
-    """Cross-entropy of each vector against the others of its batch of 32."""
-    u = table(spark, d, "embeddings").select("vec_id", F.floor(F.col("vec_id") / 32).alias("label"), scalars.l2_normalize(F.col("embedding")).alias("v"))
-    p = u.join(u.select(F.col("vec_id").alias("j"), "label", F.col("v").alias("w")), "label").select("label", "vec_id", "j", (scalars.dot(F.col("v"), F.col("w")) / 0.1).alias("s"))
-    g = p.groupBy("label", "vec_id").agg(F.max(F.when(F.col("vec_id") == F.col("j"), F.col("s"))).alias("s"), F.log(F.sum(F.exp("s"))).alias("lse"))
-    return g.groupBy(F.col("label").alias("batch")).agg(F.round(F.avg(F.col("lse") - F.col("s")), 5).alias("loss"), F.count(F.lit(1)).alias("n"))
+    """Symmetric cross-entropy between two views (halves) of the vectors of a batch of 32, temperature 0.05."""
+    v = table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 32).alias("batch"), "vec_id", *[scalars.l2_normalize(F.slice("embedding", k, 32)).alias(n) for n, k in (("va", 1), ("vb", 33))])
+    p = v.select("batch", F.col("vec_id").alias("i"), "va").join(v.select("batch", F.col("vec_id").alias("j"), "vb"), "batch").select("batch", "i", "j", (scalars.dot(F.col("va"), F.col("vb")) / 0.05).alias("s"))
+    a = p.groupBy("batch", "i").agg(F.max(F.when(F.col("i") == F.col("j"), F.col("s"))).alias("s"), F.log(F.sum(F.exp("s"))).alias("la"))
+    b = p.groupBy("batch", F.col("j").alias("i")).agg(F.log(F.sum(F.exp("s"))).alias("lb"))
+    g = a.join(b, ["batch", "i"]).groupBy("batch")
+    return g.agg(F.round((F.avg(F.col("la") - F.col("s")) + F.avg(F.col("lb") - F.col("s"))) / 2, 5).alias("loss"), F.count(F.lit(1)).alias("n"))
 
 
 @query(sql("SELECT g, round(sum(policy_lp), 5) AS lp FROM r WHERE pos <= 3 GROUP BY g", r=_GR))

@@ -118,30 +118,24 @@ def self_adjacent(spark, d):
     return relate.adjacent_pairs(liked(spark, d), "uid", "mid", ORD)
 
 
-_SWING = "SELECT a.mid AS item_a, b.mid AS item_b, round(sum(1.0::DOUBLE / (1.0 + a.n)), 6) AS score FROM u a JOIN u b ON a.uid = b.uid AND a.mid < b.mid GROUP BY ALL"
-_SWING_U = "SELECT uid, mid, count(*) OVER (PARTITION BY uid) AS n FROM (SELECT DISTINCT uid, mid FROM ratings WHERE rating >= 5) QUALIFY n <= 200"
+_SWING = "SELECT a.mid AS item_a, b.mid AS item_b, round(sum(1.0::DOUBLE / (5.0 + a.n)), 6) AS score FROM u a JOIN u b ON a.uid = b.uid AND a.mid < b.mid GROUP BY ALL"
+_SWING_U = "SELECT uid, mid, count(*) OVER (PARTITION BY uid) AS n FROM (SELECT uid, mid FROM (SELECT DISTINCT uid, mid FROM ratings WHERE rating >= 5) QUALIFY count(*) OVER (PARTITION BY mid) >= 2) QUALIFY n <= 200"
 
 
-@query(sql("SELECT item_a, item_b, score FROM (" + _SWING + ") WHERE score >= 0.2", "ratings", u=_SWING_U))
+@query(sql("SELECT item_a, item_b, score FROM (" + _SWING + ")", "ratings", u=_SWING_U))
 def self_swing(spark, d):
-    return relate.swing(ratings(spark, d).where("rating >= 5"), "uid", "mid").withColumn("score", F.round("score", 6)).where("score >= 0.2")
-
-
-@query(S["self_swing"].replace(" WHERE score >= 0.2", ""))
-def self_swing_all(spark, d):
     return relate.swing(ratings(spark, d).where("rating >= 5"), "uid", "mid").withColumn("score", F.round("score", 6))
 
 
 @query(
     sql(
-        "SELECT a.mid AS a, b.mid AS b, round(sum(1.0::DOUBLE / (b.rn - a.rn)), 6) AS weight FROM o a JOIN o b ON a.uid = b.uid AND b.rn > a.rn AND b.rn - a.rn <= 5 GROUP BY ALL HAVING sum(1.0::DOUBLE / (b.rn - a.rn)) >= 1.5",
+        "SELECT a.mid AS a, b.mid AS b, round(sum(1.0::DOUBLE / abs(b.rn - a.rn)), 6) AS weight FROM o a JOIN o b ON a.uid = b.uid AND b.rn <> a.rn AND abs(b.rn - a.rn) <= 5 GROUP BY ALL",
         "ratings",
         o=ORDERED,
     )
 )
 def self_window_cooccur(spark, d):
-    o = seq.ordered(liked(spark, d), "uid", ORD)
-    return relate.band_pairs(o, "uid", "mid", "rn", 5).groupBy("a", "b").agg(F.sum("weight").alias("w")).where("w >= 1.5").select("a", "b", F.round("w", 6).alias("weight"))
+    return _window_weights(spark, d)
 
 
 _BOTH = ("1.0::DOUBLE / (b.rn - a.rn)", "1.0::DOUBLE / abs(b.rn - a.rn)"), ("b.rn > a.rn AND b.rn - a.rn <= 5", "b.rn <> a.rn AND abs(b.rn - a.rn) <= 5"), (" HAVING sum(1.0::DOUBLE / abs(b.rn - a.rn)) >= 1.5", "")
@@ -160,11 +154,6 @@ def _window_weights(spark, d):
     return both.groupBy("a", "b").agg(F.round(F.sum("weight"), 6).alias("weight"))
 
 
-@query(_both_ways(S["self_window_cooccur"]))
-def self_window_cooccur_all(spark, d):
-    return _window_weights(spark, d)
-
-
 @query(sql("SELECT content_id, count(*) OVER (PARTITION BY a, b) - 1 AS neighbors FROM sid", "sid"))
 def join_prefix_neighbors(spark, d):
     """How many other items share the first two codes, without forming the pairs."""
@@ -360,15 +349,8 @@ def agg_day_verify(spark, d):
     return table(spark, d, "documents").groupBy(F.col("create_date").alias("dt")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("text").isNull()).alias("null_texts"), F.count_if(F.col("source").isNull()).alias("null_sources"))
 
 
-@query(sql("SELECT iid, n, row_number() OVER (ORDER BY n DESC, iid) AS rank FROM (SELECT iid, count(*) AS n FROM b2 WHERE action_bitmap > 0 GROUP BY iid) QUALIFY rank <= 1000", "b2"))
+@query(sql("SELECT iid, n, row_number() OVER (ORDER BY n DESC, iid) AS rank FROM (SELECT iid, count(*) AS n FROM b2 WHERE action_bitmap > 0 GROUP BY iid)", "b2"))
 def agg_popularity(spark, d):
-    """The report of the 1000 most popular items; the limit comes before the global rank."""
-    top = behavior_v2(spark, d).where("action_bitmap > 0").groupBy("iid").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "iid").limit(1000)
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "iid")).cast("bigint"))
-
-
-@query(S["agg_popularity"].replace(" QUALIFY rank <= 1000", ""))
-def agg_popularity_all(spark, d):
     """Frequency and rank of every item: places inside range partitions, plus the sizes of those before."""
     n = behavior_v2(spark, d).where("action_bitmap > 0").groupBy("iid").agg(F.count(F.lit(1)).alias("n"))
     cut = scratch.keep(n.repartitionByRange(F.desc("n"), "iid").withColumn("p", F.spark_partition_id()), "popularity")
@@ -569,13 +551,8 @@ def win_dedup_consecutive(spark, d):
     return interactions(spark, d).withColumn("p", F.lag("iid").over(w)).where("p IS NULL OR p <> iid").select("uid", "event_id")
 
 
-@query(sql("SELECT uid, max(mid) FILTER (rn = n) AS target, array_to_string(list(mid ORDER BY rn) FILTER (rn < n AND n - rn <= 20), ',') AS context FROM o GROUP BY uid HAVING max(n) >= 2", "ratings", o=ORDERED))
+@query(sql("SELECT uid, max(mid) FILTER (rn = n) AS target, array_to_string(list(mid ORDER BY rn) FILTER (rn < n), ',') AS context FROM o GROUP BY uid HAVING max(n) >= 2", "ratings", o=ORDERED))
 def win_leave_last_out(spark, d):
-    return _leave_last_out(seq.ordered(liked(spark, d), "uid", ORD).where("n >= 2 AND n - rn <= 20"))
-
-
-@query(S["win_leave_last_out"].replace(" AND n - rn <= 20", ""))
-def win_leave_last_out_all(spark, d):
     """The context is all but the last."""
     return _leave_last_out(seq.ordered(liked(spark, d), "uid", ORD).where("n >= 2"))
 
@@ -658,19 +635,12 @@ def topk_swing(spark, d):
 
 @query(
     sql(
-        "SELECT a AS seed, b AS cand, w FROM (SELECT a.mid AS a, b.mid AS b, round(sum(1.0::DOUBLE / (b.rn - a.rn)), 6) AS w FROM o a JOIN o b ON a.uid = b.uid AND b.rn > a.rn AND b.rn - a.rn <= 5 GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY a ORDER BY w DESC, b) <= 3",
+        "SELECT a AS seed, b AS cand, w FROM (SELECT a.mid AS a, b.mid AS b, round(sum(1.0::DOUBLE / abs(b.rn - a.rn)), 6) AS w FROM o a JOIN o b ON a.uid = b.uid AND b.rn <> a.rn AND abs(b.rn - a.rn) <= 5 GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY a ORDER BY w DESC, b) <= 2000",
         "ratings",
         o=ORDERED,
     )
 )
 def topk_seed_candidates(spark, d):
-    o = seq.ordered(liked(spark, d), "uid", ORD)
-    g = relate.band_pairs(o, "uid", "mid", "rn", 5).groupBy(F.col("a").alias("seed"), F.col("b").alias("cand")).agg(F.round(F.sum("weight"), 6).alias("w"))
-    return g.withColumn("r", F.row_number().over(Window.partitionBy("seed").orderBy(F.desc("w"), "cand"))).where("r <= 3").drop("r")
-
-
-@query(_both_ways(S["topk_seed_candidates"]).replace("<= 3", "<= 2000"))
-def topk_seed_candidates_all(spark, d):
     g = _window_weights(spark, d).select(F.col("a").alias("seed"), F.col("b").alias("cand"), F.col("weight").alias("w"))
     return g.withColumn("r", F.row_number().over(Window.partitionBy("seed").orderBy(F.desc("w"), "cand"))).where("r <= 2000").drop("r")
 
@@ -701,7 +671,7 @@ def union_shards(spark, d):
 
 @query(
     sql(
-        "SELECT item_a, item_b FROM adj UNION SELECT item_a, item_b FROM sw WHERE score >= 0.2",
+        "SELECT item_a, item_b FROM adj UNION SELECT item_a, item_b FROM sw",
         "ratings",
         u=_SWING_U,
         sw=_SWING,
@@ -709,13 +679,6 @@ def union_shards(spark, d):
     )
 )
 def union_pairs(spark, d):
-    five = ratings(spark, d).where("rating >= 5")
-    sw = relate.swing(five, "uid", "mid").where(F.round("score", 6) >= 0.2).select("item_a", "item_b")
-    return relate.adjacent_pairs(five, "uid", "mid", ORD).unionByName(sw).distinct()
-
-
-@query(S["union_pairs"].replace(" WHERE score >= 0.2", ""))
-def union_pairs_all(spark, d):
     five = ratings(spark, d).where("rating >= 5")
     sw = relate.swing(five, "uid", "mid").select("item_a", "item_b")
     return relate.adjacent_pairs(five, "uid", "mid", ORD).unionByName(sw).distinct()
@@ -741,20 +704,6 @@ def upsert_sid(spark, d):
     return upsert(s.select("content_id", "sid"), new, ["content_id"])
 
 
-@query(
-    sql(
-        """SELECT p.item_a, p.item_b, round(p.k::DOUBLE / (a.n + b.n - p.k), 6) AS jaccard FROM p JOIN n a ON a.mid = p.item_a JOIN n b ON b.mid = p.item_b WHERE p.k >= 2""",
-        "ratings",
-        l="SELECT DISTINCT uid, mid FROM ratings WHERE rating >= 5",
-        n="SELECT mid, count(*) AS n FROM l GROUP BY mid",
-        p="SELECT a.mid AS item_a, b.mid AS item_b, count(*) AS k FROM l a JOIN l b ON a.uid = b.uid AND a.mid < b.mid GROUP BY ALL",
-    )
-)
-def jaccard_users(spark, d):
-    """The pairs with at least two common users, as its SQL defines."""
-    return relate.jaccard(ratings(spark, d).where("rating >= 5"), "uid", "mid", 2).withColumn("jaccard", F.round("jaccard", 6))
-
-
 @query(
     sql(
         """SELECT p.item_a, p.item_b, round(p.k::DOUBLE / (a.n + b.n - p.k), 6) AS jaccard FROM p JOIN n a ON a.mid = p.item_a JOIN n b ON b.mid = p.item_b""",
@@ -764,7 +713,7 @@ def jaccard_users(spark, d):
         p="SELECT a.mid AS item_a, b.mid AS item_b, count(*) AS k FROM l a JOIN l b ON a.uid = b.uid AND a.mid < b.mid GROUP BY ALL",
     )
 )
-def jaccard_users_all(spark, d):
+def jaccard_users(spark, d):
     """Every pair with a common user, of liked items."""
     return relate.jaccard(liked(spark, d), "uid", "mid").withColumn("jaccard", F.round("jaccard", 6))
 

@@ -188,13 +188,13 @@ def test_long_histories_keep_the_whole_window(spark, tmp_path, monkeypatch):
     codes = spark.createDataFrame([(f"c{i:03}", i, 1, 2, f"{i}_1_2") for i in range(180)], "content_id string, a int, b int, c int, sid string")
     monkeypatch.setattr(pipelines, "behavior", lambda *_: acts)
     monkeypatch.setattr(pipelines, "sids", lambda *_: codes)
-    assert len(registry.QUERIES["seq_build_all"](spark, "").first().tokens.split(",")) == 510
-    assert max(r.n_context for r in registry.QUERIES["pref_rf_pairs_all"](spark, "").collect()) == 169
+    assert len(registry.QUERIES["seq_build"](spark, "").first().tokens.split(",")) == 510
+    assert max(r.n_context for r in registry.QUERIES["pref_rf_pairs"](spark, "").collect()) == 169
     spark.createDataFrame([("u", 1, list(range(600)), 600)], "uid string, built_at bigint, tokens array<int>, split_pos int").write.parquet(f"{tmp_path}/sequences.parquet")
-    assert registry.QUERIES["eval_context_pool_all"](spark, str(tmp_path)).first().context.split(",") == [str(i) for i in range(90, 600)]
+    assert registry.QUERIES["eval_context_pool"](spark, str(tmp_path)).first().context.split(",") == [str(i) for i in range(90, 600)]
     rated = spark.createDataFrame([(1, i, i, 5, i, 1) for i in range(300)], "uid bigint, mid bigint, ts bigint, rating int, okey bigint, lno int")
     monkeypatch.setattr(relations, "ratings", lambda *_: rated)
-    row = registry.QUERIES["win_leave_last_out_all"](spark, "").first()
+    row = registry.QUERIES["win_leave_last_out"](spark, "").first()
     assert row.target == 299 and row.context.split(",") == [str(i) for i in range(299)]
 
 
@@ -203,12 +203,12 @@ def test_all_pairs_and_ranks_are_kept(spark, monkeypatch):
 
     acts = spark.createDataFrame([(f"u{i % 7}", f"c{i:04}", 1) for i in range(1200)] + [("v", "c0007", 1)], "uid string, iid string, action_bitmap int")
     monkeypatch.setattr(relations, "behavior_v2", lambda *_: acts)
-    got = sorted((r["rank"], r.iid, r.n) for r in registry.QUERIES["agg_popularity_all"](spark, "").collect())
+    got = sorted((r["rank"], r.iid, r.n) for r in registry.QUERIES["agg_popularity"](spark, "").collect())
     assert [r[0] for r in got] == list(range(1, 1201)) and got[0] == (1, "c0007", 2) and got[-1] == (1200, "c1199", 1)
     rated = spark.createDataFrame([(1, i, i, 5, i, 1) for i in range(8)], "uid bigint, mid bigint, ts bigint, rating int, okey bigint, lno int")
     monkeypatch.setattr(relations, "ratings", lambda *_: rated)
     pairs = {(a, b) for a in range(8) for b in range(8) if 0 < abs(a - b) <= 5}
-    assert {(r.a, r.b) for r in registry.QUERIES["self_window_cooccur_all"](spark, "").collect()} == pairs
-    assert {(r.seed, r.cand) for r in registry.QUERIES["topk_seed_candidates_all"](spark, "").collect()} == pairs
-    for name in ("self_swing_all", "union_pairs_all"):
+    assert {(r.a, r.b) for r in registry.QUERIES["self_window_cooccur"](spark, "").collect()} == pairs
+    assert {(r.seed, r.cand) for r in registry.QUERIES["topk_seed_candidates"](spark, "").collect()} == pairs
+    for name in ("self_swing", "union_pairs"):
         assert registry.QUERIES[name](spark, "").count() == 28
