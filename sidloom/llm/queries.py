@@ -31,11 +31,6 @@ def _significant(spark: SparkSession, sf_dir: str, min_count: int) -> DataFrame:
 
 
 def p2_pair_significance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Significant pairs that at least 5 baskets have, as its SQL defines."""
-    return _significant(spark, sf_dir, 5)
-
-
-def p2_pair_significance_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every significant pair, however few baskets have it."""
     return _significant(spark, sf_dir, 1)
 
@@ -113,7 +108,6 @@ def p8_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p2_found": p2_found,
     "p2_pair_significance": p2_pair_significance,
-    "p2_pair_significance_all": p2_pair_significance_all,
     "p3_found": p3_found,
     "p3_similar_items": p3_similar_items,
     "p4_found": p4_found,
@@ -152,7 +146,7 @@ SQL = {
     "p4_found": _TARGETS + "SELECT item AS target_cid FROM f, s WHERE n * 200 >= total",
     "p4_item_freq": _TARGETS + "SELECT item AS target_cid, n, round(n / total::DOUBLE, 9) AS share FROM f, s WHERE n * 500 >= total",
     "p2_found": _PAIRS.replace("{least}", "8") + "SELECT iid_a, iid_b FROM q WHERE lift >= 10",
-    "p2_pair_significance": _PAIRS.replace("{least}", "5")
+    "p2_pair_significance": _PAIRS.replace("{least}", "1")
     + """, l AS (SELECT iid_a, iid_b, n_ab, n_a, n_b, round(lift, 6) AS lift, round(greatest(0, 2 * (
   n_ab * ln(n_ab::DOUBLE * n / (n_a::DOUBLE * n_b))
   + CASE WHEN n_a > n_ab THEN (n_a - n_ab) * ln((n_a - n_ab)::DOUBLE * n / (n_a::DOUBLE * (n - n_b))) ELSE 0 END
@@ -160,6 +154,3 @@ SQL = {
   + CASE WHEN n - n_a - n_b + n_ab > 0 THEN (n - n_a - n_b + n_ab) * ln((n - n_a - n_b + n_ab)::DOUBLE * n / ((n - n_a)::DOUBLE * (n - n_b))) ELSE 0 END)), 4) AS llr FROM q)
 SELECT * FROM l WHERE llr >= 10.83""",
 }
-
-# the same without a least number of baskets
-SQL["p2_pair_significance_all"] = SQL["p2_pair_significance"].replace(_PAIRS.replace("{least}", "5"), _PAIRS.replace("{least}", "1"))

@@ -53,7 +53,7 @@ def test_rare_significant_pairs_are_found(spark, tmp_path):
     """One common basket of 100 is significant for two items seen nowhere else."""
     rows = [("u", f"s{i}", "often", 1) for i in range(99)] + [("u", "s99", "rare1", 1), ("u", "s99", "rare2", 1)]
     spark.createDataFrame(rows, "uid string, session_id string, iid string, action_bitmap int").write.parquet(f"{tmp_path}/behavior_v2.parquet")
-    got = queries.QUERIES["p2_pair_significance_all"](spark, str(tmp_path)).collect()
+    got = queries.QUERIES["p2_pair_significance"](spark, str(tmp_path)).collect()
     assert [(r.iid_a, r.iid_b, r.n_ab, r.n_a, r.n_b) for r in got] == [("rare1", "rare2", 1, 1, 1)]
 
 
@@ -177,9 +177,20 @@ def brute_clusters(x, t=0.7):
     return {f"c{i:05d}": f"c{v:05d}" for i, v in enumerate(label)}, s.sum(axis=1) - 1
 
 
-@pytest.mark.parametrize("chunk", [8192, 50])
-def test_clusters_equal_components(spark, monkeypatch, chunk):
+@pytest.mark.parametrize("chunk, sparse", [(8192, 32), (50, 32), (8192, 0), (50, 0), (50, 3)])
+def test_clusters_equal_components(spark, monkeypatch, chunk, sparse):
+    """Blocks that hand on their pairs, blocks that are compared again, and both."""
     monkeypatch.setattr(density, "CHUNK", chunk)
+    run = density.BlockJoin.run
+
+    def with_bound(self, items, pairs, schema, only=None):
+        def bounded(*args):
+            density.SPARSE = sparse  # in the worker
+            return pairs(*args)
+
+        return run(self, items, bounded, schema, only)
+
+    monkeypatch.setattr(density.BlockJoin, "run", with_bound)
     x = make_vectors()
     # a chain in which only consecutive vectors belong together
     rng = np.random.default_rng(1)
