@@ -61,20 +61,22 @@ def trie(sids: DataFrame) -> DataFrame:
     return sids.select("a", "b", "c").distinct().select(F.inline(rows)).distinct()
 
 
-def beam_search(queries: DataFrame, tree: DataFrame, score: Column, width: int, layers: int = 3) -> DataFrame:
-    """(q, path, lp): the best ``width`` SIDs of each query under a trie.
+def beam_search(queries: DataFrame, tree: DataFrame, score: Column, width: int, layers: int = 3, first: int = 0) -> DataFrame:
+    """The best ``width`` SIDs (path, lp) of each query under a trie, with the query's other columns.
 
-    ``score`` gives the log-probability of ``next`` from the columns q, layer,
-    prefix and next. Each layer is one equi-join with the trie and one top-k,
-    whose partial form runs before the shuffle.
+    ``queries`` has q and, where the search starts below the root, prefix with
+    its ``first`` codes. ``score`` gives the log-probability of ``next`` from
+    the query's columns, layer, prefix and next. Each layer is one equi-join
+    with the trie and one top-k, whose partial form runs before the shuffle.
     """
-    beams = queries.select("q", F.lit("").alias("prefix"), F.lit(0.0).alias("lp"))
-    for k in range(layers):
+    own = [c for c in queries.columns if c != "prefix"]
+    beams = (queries if "prefix" in queries.columns else queries.withColumn("prefix", F.lit(""))).withColumn("lp", F.lit(0.0))
+    for k in range(first, layers):
         step = beams.join(tree.where(F.col("layer") == k), "prefix").withColumn("lp", F.col("lp") + score)
         path = F.when(F.lit(k == 0), F.col("next").cast("string")).otherwise(F.concat_ws("_", "prefix", "next"))
-        step = step.select("q", path.alias("prefix"), "lp")
+        step = step.select(*own, path.alias("prefix"), "lp")
         best = Window.partitionBy("q").orderBy(F.desc("lp"), "prefix")
-        beams = step.withColumn("r", F.row_number().over(best)).where(F.col("r") <= width).select("q", "prefix", "lp")
+        beams = step.withColumn("r", F.row_number().over(best)).where(F.col("r") <= width).select(*own, "prefix", "lp")
     return beams.withColumnRenamed("prefix", "path")
 
 

@@ -77,17 +77,25 @@ def jaccard(df: DataFrame, user: str, item: str, least: int = 1) -> DataFrame:
     return j.select("item_a", "item_b", (F.col("k") / (F.col("na") + F.col("nb") - F.col("k"))).alias("jaccard"))
 
 
-def prefix_lookup(keys: DataFrame, scores: DataFrame, codes: list[str], scale: float = 0.5, default: float = 0.0) -> DataFrame:
+def prefix_lookup(keys: DataFrame, scores: DataFrame, codes: list[str], scale: float = 0.5, default: float = 0.0, scales: list[float] | None = None, depth: str | None = None) -> DataFrame:
     """The score of the longest prefix of ``codes`` that is in ``scores``, times scale per code missing.
 
     ``scores`` has depth, prefix, score, one row each; one equi-join a depth.
+    ``scales`` gives the factor of each shorter length (the shortest first)
+    instead; ``depth`` names a column for the length found, 0 for none.
     """
-    out, hits = keys, []
+    out, hits, at_depth = keys, [], F.lit(0)
     for k in range(len(codes), 0, -1):
         at = scores.where(F.col("depth") == k).select(F.col("prefix").alias(f"_p{k}"), F.col("score").alias(f"_s{k}"))
         out = out.withColumn(f"_p{k}", F.concat_ws("_", *codes[:k])).join(at, f"_p{k}", "left")
-        hits.append(F.col(f"_s{k}") * scale ** (len(codes) - k))
-    return out.withColumn("score", F.coalesce(*hits, F.lit(default))).drop(*[f"_{x}{k}" for x in "ps" for k in range(1, len(codes) + 1)])
+        factor = 1.0 if k == len(codes) else scales[k - 1] if scales else scale ** (len(codes) - k)
+        hits.append(F.col(f"_s{k}") * factor)
+    for k in range(1, len(codes) + 1):
+        at_depth = F.when(F.col(f"_s{k}").isNotNull(), k).otherwise(at_depth)
+    out = out.withColumn("score", F.coalesce(*hits, F.lit(default)))
+    if depth:
+        out = out.withColumn(depth, at_depth)
+    return out.drop(*[f"_{x}{k}" for x in "ps" for k in range(1, len(codes) + 1)])
 
 
 def config_diff(a: DataFrame, b: DataFrame) -> DataFrame:

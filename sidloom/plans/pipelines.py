@@ -182,38 +182,16 @@ def pref_rf_pairs(spark, d):
     return _rf_pairs(spark, d, seq.MAX_ITEMS)
 
 
-def _rf_pairs(spark, d, most):
+def history(spark, d, most=seq.MAX_ITEMS):
+    """The kept window of each user's known items with their tier, rn in the order of time."""
     b = behavior(spark, d).where("action_bitmap <> 0").join(sids(spark, d).select(F.col("content_id").alias("iid")), "iid", "left_semi")
-    w = Window.partitionBy("uid")
-    h = b.select("uid", "iid", "first_ts", bits.tier(F.col("action_bitmap")).alias("tier")).withColumn("back", F.row_number().over(w.orderBy(F.desc("first_ts"), F.desc("iid")))).where(F.col("back") <= most).withColumn("rn", -F.col("back"))
-    p = prefs.feedback_pairs(h)
-    return p.select("uid", "iid", F.size("context").alias("n_context"), F.array_join("easy", ",").alias("easy"), F.array_join("hard", ",").alias("hard"))
-
-
-# candidates: the SIDs of an item's first code in order, as a stand-in for a beam
-_CAND = "SELECT q.content_id AS q, s.sid, s.rank, CASE WHEN q.a <> s.a THEN 0 WHEN q.b <> s.b THEN 1 WHEN q.c <> s.c THEN 2 ELSE 3 END AS depth FROM (SELECT * FROM sid WHERE (a * 65536 + b * 256 + c) % 50 = 0) q JOIN s ON s.a = q.a OR s.a = (q.a + 1) % 256"
-_CAND_S = "SELECT *, row_number() OVER (PARTITION BY a ORDER BY b, c) AS rank FROM (SELECT DISTINCT sid, a, b, c FROM sid) QUALIFY rank <= 30"
-
-
-def candidates(spark, d):
-    s = sids(spark, d)
-    ranked = s.select("sid", "a", "b", "c").distinct().withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy("b", "c"))).where("rank <= 30")
-    q = s.where("(a * 65536 + b * 256 + c) % 50 = 0").select(F.col("content_id").alias("q"), F.col("a").alias("qa"), F.col("b").alias("qb"), F.col("c").alias("qc"))
-    q = q.withColumn("a", F.explode(F.array("qa", (F.col("qa") + 1) % 256)))
-    depth = F.when(F.col("qa") != F.col("a"), 0).when(F.col("qb") != F.col("b"), 1).when(F.col("qc") != F.col("c"), 2).otherwise(3)
-    return q.join(ranked, "a").select("q", "sid", "rank", depth.alias("depth"))
+    back = F.row_number().over(Window.partitionBy("uid").orderBy(F.desc("first_ts"), F.desc("iid")))
+    return b.select("uid", "iid", "first_ts", bits.tier(F.col("action_bitmap")).alias("tier")).withColumn("back", back).where(F.col("back") <= most).withColumn("rn", -F.col("back"))
 
 
-@query(sql("SELECT q, sid, CASE depth WHEN 0 THEN 'easy' WHEN 1 THEN 'medium' ELSE 'hard' END AS bucket FROM k WHERE depth < 3 QUALIFY row_number() OVER (PARTITION BY q, bucket ORDER BY rank) <= 3", "sid", s=_CAND_S, k=_CAND))
-def pref_sp_pairs(spark, d):
-    return prefs.candidate_pairs(candidates(spark, d)).select("q", "sid", "bucket")
-
-
-@query(sql("SELECT q, sid, min(pass)::INT AS first_pass FROM (SELECT q, sid, 0 AS pass FROM k WHERE depth >= 2 UNION ALL SELECT q, sid, 1 FROM k WHERE depth >= 1 UNION ALL SELECT q, sid, 2 FROM k) GROUP BY q, sid", "sid", s=_CAND_S, k=_CAND))
-def pref_prefix_locked(spark, d):
-    """Passes with a locked prefix of 2, 1 and 0 codes; a candidate counts in its first pass."""
-    passes = F.explode(F.array(F.when(F.col("depth") >= 2, 0), F.when(F.col("depth") >= 1, 1), F.lit(2))).alias("p")
-    return candidates(spark, d).select("q", "sid", passes).where("p IS NOT NULL").groupBy("q", "sid").agg(F.min("p").alias("first_pass"))
+def _rf_pairs(spark, d, most):
+    p = prefs.feedback_pairs(history(spark, d, most))
+    return p.select("uid", "iid", F.size("context").alias("n_context"), F.array_join("easy", ",").alias("easy"), F.array_join("hard", ",").alias("hard"))
 
 
 @query("SELECT uid, built_at, pos - 1 AS pos, sid, pos = 1 AS chosen FROM (SELECT uid, built_at, unnest(x) AS sid, generate_subscripts(x, 1) AS pos FROM (SELECT uid, built_at, [array_to_string(tokens[1:3], '_'), array_to_string(tokens[4:6], '_'), array_to_string(tokens[7:9], '_')] AS x FROM sequences WHERE len(tokens) >= 9))")
@@ -224,24 +202,6 @@ def pref_flatten(spark, d):
     return s.select("uid", "built_at", F.col("pos").cast("bigint").alias("pos"), "sid", (F.col("pos") == 0).alias("chosen"))
 
 
-_PS = """SELECT 3 AS depth, sid AS prefix, round(avg(c), 4) AS score FROM sid WHERE c % 2 = 0 GROUP BY sid UNION ALL SELECT 2, a || '_' || b, round(avg(c), 4) FROM sid GROUP BY 2"""
-
-
-@query(sql("SELECT s.content_id, round(coalesce(x.score, y.score * 0.5, 0), 5)::DOUBLE AS reward FROM sid s LEFT JOIN p x ON x.depth = 3 AND x.prefix = s.sid LEFT JOIN p y ON y.depth = 2 AND y.prefix = s.a || '_' || s.b", "sid", p=_PS))
-def rw_behavior(spark, d):
-    s = sids(spark, d)
-    three = s.where("c % 2 = 0").groupBy(F.col("sid").alias("prefix")).agg(F.round(F.avg("c"), 4).alias("score")).withColumn("depth", F.lit(3))
-    two = s.groupBy(F.concat_ws("_", "a", "b").alias("prefix")).agg(F.round(F.avg("c"), 4).alias("score")).withColumn("depth", F.lit(2))
-    return relate.prefix_lookup(s, three.unionByName(two), ["a", "b", "c"]).select("content_id", F.round("score", 5).alias("reward"))
-
-
-@query(sql("SELECT sid, CASE WHEN bool_or(c % 3 = 0 AND content_id < 'c3') THEN 1.0 ELSE -1.0 END::DOUBLE AS reward FROM sid GROUP BY sid", "sid"))
-def rw_feedback_map(spark, d):
-    """Chosen beats rejected where a SID is both."""
-    chosen = (F.col("c") % 3 == 0) & (F.col("content_id") < "c3")
-    return sids(spark, d).groupBy("sid").agg(F.when(F.bool_or(chosen), 1.0).otherwise(-1.0).alias("reward"))
-
-
 @query(sql("SELECT t, EXISTS (SELECT 1 FROM sid WHERE sid.sid = t) AS legal FROM (SELECT DISTINCT array_to_string(tokens[1:3], '_') AS t FROM sequences WHERE len(tokens) >= 3)", "sid"))
 def rw_format(spark, d):
     t = table(spark, d, "sequences").where("size(tokens) >= 3").select(scalars.sid_format(F.slice("tokens", 1, 3)).alias("sid")).distinct()
@@ -249,17 +209,6 @@ def rw_format(spark, d):
     return t.join(known, "sid", "left").select(F.col("sid").alias("t"), F.coalesce("k", F.lit(False)).alias("legal"))
 
 
-_QW = "CASE WHEN b < 0 THEN -1.0 ELSE log10(1.0 + " + " + ".join(f"CASE WHEN b & {x} <> 0 THEN {w} ELSE 0.0 END" for x, w in bits.QUALITY.items()) + ") END"
-
-
-@query(sql(f"SELECT sid, round(({_QW}) * exp(-greatest((1738368000 - ts) / 3600.0::DOUBLE, 0) / 24.0), 9)::DOUBLE + 0.0 AS reward FROM (SELECT sid, arg_max(bits, (ts, iid)) AS b, max(ts) AS ts FROM (SELECT iid, bit_or(action_bitmap)::INT AS bits, max(last_ts) AS ts FROM b2 GROUP BY iid) JOIN sid ON iid = content_id GROUP BY sid)", "b2", "sid"))
-def rw_weighted(spark, d):
-    items = behavior_v2(spark, d).groupBy("iid").agg(F.bit_or("action_bitmap").alias("bits"), F.max("last_ts").alias("ts"))
-    g = items.join(sids(spark, d), F.col("iid") == F.col("content_id")).groupBy("sid").agg(F.max_by("bits", F.struct("ts", "iid")).alias("b"), F.max("ts").alias("ts"))
-    age = (F.lit(1738368000) - F.col("ts")) / 3600.0
-    return g.select("sid", F.round(bits.quality(F.col("b")) * scalars.freshness(age), 9).alias("reward"))
-
-
 @query("SELECT uid, built_at, CASE WHEN len(list_filter(range(1, len(tokens) - 4), lambda j: list_slice(tokens, j, j + 2) = list_slice(tokens, -3, -1))) > 0 THEN -1.0 ELSE 0.0 END::DOUBLE AS reward FROM sequences WHERE uid IS NOT NULL AND len(tokens) >= 9")
 def rw_novelty(spark, d):
     t = F.col("tokens")
@@ -329,91 +278,25 @@ def graph_decode(spark, d):
     return best.select("sid", "score").orderBy(F.desc("score"), "sid").limit(10)
 
 
-# --- recall ------------------------------------------------------------------
-
-_POP = "SELECT mid AS item, row_number() OVER (ORDER BY count(*) DESC, mid) AS pos FROM o WHERE rn < n GROUP BY mid QUALIFY pos <= 500"
-_RECALL = "SELECT k::INT AS k, round(avg(CASE WHEN p.pos <= k THEN 1.0 ELSE 0.0 END), 6)::DOUBLE AS recall, count(*) AS queries FROM t LEFT JOIN p ON p.item = t.item, (SELECT unnest([1, 10, 100, 500]) AS k) GROUP BY k"
-_T = "SELECT uid AS q, mid AS item FROM o WHERE rn = n AND n >= 2"
-KS = [1, 10, 100, 500]
-
-
-def _rec(df):
-    return df.select("k", F.round("recall", 6).alias("recall"), "queries")
+# --- other model tables ------------------------------------------------------
 
+_NLL = "SELECT 'layer' || layer AS part, ln(total / n::DOUBLE) AS nll, n FROM (SELECT 1 AS layer, count(*) AS n, (SELECT count(*) FROM sid) AS total FROM sid GROUP BY a UNION ALL SELECT 2, count(*), any_value(t) FROM (SELECT a, b, count(*) OVER (PARTITION BY a) AS t FROM sid) GROUP BY a, b UNION ALL SELECT 3, count(*), any_value(t) FROM (SELECT a, b, c, count(*) OVER (PARTITION BY a, b) AS t FROM sid) GROUP BY a, b, c)"
 
-@query(sql(_RECALL, "ratings", o=ORDERED, t=_T, p=_POP))
-def base_popularity(spark, d):
-    o = seq.ordered(liked(spark, d), "uid", ORD)
-    top = o.where("rn < n").groupBy(F.col("mid").alias("item")).agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("c"), "item").limit(500)
-    p = top.withColumn("pos", F.row_number().over(Window.orderBy(F.desc("c"), "item"))).select("item", "pos")
-    t = o.where("rn = n AND n >= 2").select(F.col("uid").alias("q"), F.col("mid").alias("item"))
-    return _rec(prefs.recall_at(t.join(F.broadcast(p), "item").select("q", "item", "pos"), t, KS))
 
-
-@query(sql("SELECT k::INT AS k, round(avg(CASE WHEN o.mid = t.item AND k >= 1 THEN 1.0 ELSE 0.0 END), 6)::DOUBLE AS recall, count(*) AS queries FROM t JOIN o ON o.uid = t.q AND o.rn = o.n - 1, (SELECT unnest([1, 10, 100, 500]) AS k) GROUP BY k", "ratings", o=ORDERED, t=_T))
-def base_repeat(spark, d):
-    o = seq.ordered(liked(spark, d), "uid", ORD).where("n >= 2")
-    t = o.where("rn = n").select(F.col("uid").alias("q"), F.col("mid").alias("item"))
-    return _rec(prefs.recall_at(o.where("rn = n - 1").select(F.col("uid").alias("q"), F.col("mid").alias("item"), F.lit(1).alias("pos")), t, KS))
-
-
-_KNN = dict(
-    w="SELECT a.mid AS a, b.mid AS b, sum(1.0::DOUBLE / (b.rn - a.rn)) AS w FROM o a JOIN o b ON a.uid = b.uid AND b.rn > a.rn AND b.rn - a.rn <= 5 WHERE b.rn < b.n GROUP BY ALL",
-    r="SELECT o.uid AS q, w.b AS item, row_number() OVER (PARTITION BY o.uid ORDER BY round(sum(w.w), 6) DESC, w.b) AS pos FROM o JOIN w ON w.a = o.mid WHERE o.rn < o.n AND o.n - o.rn <= 5 GROUP BY o.uid, w.b QUALIFY pos <= 500",
-)
-
-
-@query(sql("SELECT k::INT AS k, round(avg(CASE WHEN r.pos <= k THEN 1.0 ELSE 0.0 END), 6)::DOUBLE AS recall, count(*) AS queries FROM t LEFT JOIN r ON r.q = t.q AND r.item = t.item, (SELECT unnest([1, 10, 100, 500]) AS k) GROUP BY k", "ratings", o=ORDERED, t=_T, **_KNN))
-def base_itemknn(spark, d):
-    o = seq.ordered(liked(spark, d), "uid", ORD)
-    w = relate.band_pairs(o.where("rn < n"), "uid", "mid", "rn", 5).groupBy("a", "b").agg(F.sum("weight").alias("w"))
-    seeds = o.where("rn < n AND n - rn <= 5").select(F.col("uid").alias("q"), F.col("mid").alias("a"))
-    s = seeds.join(w, "a").groupBy("q", F.col("b").alias("item")).agg(F.round(F.sum("w"), 6).alias("s"))
-    ranked = s.withColumn("pos", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "item"))).where("pos <= 500")
-    t = o.where("rn = n AND n >= 2").select(F.col("uid").alias("q"), F.col("mid").alias("item"))
-    return _rec(prefs.recall_at(ranked, t, KS))
-
-
-@query(sql("SELECT k::INT AS k, round(avg(CASE WHEN pos <= k THEN 1.0 ELSE 0.0 END), 6)::DOUBLE AS recall, count(*) AS queries FROM (SELECT q, max(rank) FILTER (depth = 3) AS pos FROM k0 GROUP BY q), (SELECT unnest([1, 10, 30]) AS k) GROUP BY k", "sid", s=_CAND_S, k0=_CAND))
-def recall_at_k(spark, d):
-    c = candidates(spark, d)
-    hits = c.where("depth = 3").select("q", F.lit(1).alias("item"), F.col("rank").alias("pos"))
-    return _rec(prefs.recall_at(hits, c.select("q", F.lit(1).alias("item")).distinct(), [1, 10, 30]))
-
-
-@query(sql("SELECT q, max(depth)::INT AS best_depth, bool_or(depth >= 1 AND rank <= 10) AS hit1, bool_or(depth >= 2 AND rank <= 10) AS hit2, bool_or(depth >= 3 AND rank <= 10) AS hit3 FROM k0 GROUP BY q", "sid", s=_CAND_S, k0=_CAND))
-def hit_depth10(spark, d):
-    hit = lambda n: F.bool_or((F.col("depth") >= n) & (F.col("rank") <= 10)).alias(f"hit{n}")
-    return candidates(spark, d).groupBy("q").agg(F.max("depth").alias("best_depth"), hit(1), hit(2), hit(3))
-
-
-@query(sql("SELECT k::INT AS k, round(avg(CASE WHEN pos <= k THEN 1.0 ELSE 0.0 END), 6)::DOUBLE AS recall, count(*) AS queries FROM (SELECT s.content_id, row_number() OVER (PARTITION BY a, b ORDER BY coalesce(f, 0) DESC, s.content_id) AS pos FROM sid s LEFT JOIN (SELECT iid, count(*) AS f FROM b2 GROUP BY iid) ON iid = content_id), (SELECT unnest([1, 5, 50]) AS k) GROUP BY k", "sid", "b2"))
-def recall_public(spark, d):
-    """Items of one prefix ranked by popularity, then id."""
-    f = behavior_v2(spark, d).groupBy(F.col("iid").alias("content_id")).agg(F.count(F.lit(1)).alias("f"))
-    r = sids(spark, d).join(f, "content_id", "left").withColumn("pos", F.row_number().over(Window.partitionBy("a", "b").orderBy(F.desc(F.coalesce("f", F.lit(0))), "content_id")))
-    ranked = r.select(F.col("content_id").alias("q"), F.col("content_id").alias("item"), "pos")
-    return _rec(prefs.recall_at(ranked, ranked.select("q", "item"), [1, 5, 50]))
-
-
-@query("SELECT lang, round(exp(avg(nll)), 5) AS ppl, count(*) AS n FROM (SELECT l_returnflag AS lang, ln(1 + l_quantity) AS nll FROM lineitem) GROUP BY lang")
+@query(sql("SELECT coalesce(part, 'all') AS part, round(exp(sum(nll * n) / sum(n)), 5) AS ppl, sum(n)::BIGINT AS n FROM x GROUP BY GROUPING SETS ((), (part))", "sid", x=_NLL))
 def perplexity(spark, d):
-    return table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("lang")).agg(F.round(F.exp(F.avg(F.log1p("l_quantity"))), 5).alias("ppl"), F.count(F.lit(1)).alias("n"))
-
-
-@query(sql("SELECT mid, (h % 32)::INT AS index, sum(CASE WHEN (h // 256) % 2 = 0 THEN -1.0 ELSE 1.0 END)::DOUBLE AS value FROM (SELECT mid, concat('0x', substr(sha256(unnest(list_filter(string_split_regex(lower(title || ' ' || genres), '[^a-z0-9]+'), lambda x: x <> ''))), 1, 16))::UBIGINT AS h FROM movies) GROUP BY ALL", "movies"))
-def feat_text(spark, d):
-    from .base import movies
-
-    w = movies(spark, d).select("mid", F.explode(scalars.tokenize(F.concat_ws(" ", "title", "genres"))).alias("w")).select("mid", scalars.hash_feature(F.col("w"), 32).alias("f"))
-    return w.groupBy("mid", F.col("f.index").alias("index")).agg(F.sum("f.sign").alias("value"))
-
-
-@query(sql("SELECT a AS mid, (h % 16)::INT AS index, round(sum(w), 5) AS value FROM (SELECT a.mid AS a, concat('0x', substr(sha256(b.mid::VARCHAR), 1, 16))::UBIGINT AS h, 1.0::DOUBLE / (b.rn - a.rn) AS w FROM o a JOIN o b ON a.uid = b.uid AND b.rn > a.rn AND b.rn - a.rn <= 3) GROUP BY ALL", "ratings", o=ORDERED))
-def feat_collab(spark, d):
-    o = seq.ordered(liked(spark, d), "uid", ORD)
-    p = relate.band_pairs(o, "uid", "mid", "rn", 3).select("a", scalars.hash_feature(F.col("b").cast("string"), 16).alias("f"), "weight")
-    return p.groupBy(F.col("a").alias("mid"), F.col("f.index").alias("index")).agg(F.round(F.sum("weight"), 5).alias("value"))
+    """exp of the mean negative log-probability of the codes of all items, by layer and in all, under the frequencies of continuations."""
+    s, parts = sids(spark, d), None
+    full = s.groupBy("a", "b", "c").agg(F.count(F.lit(1)).alias("n"))
+    full = scratch.keep(full, "codes")
+    for layer in (1, 2, 3):
+        keys, up = list("abc"[:layer]), list("abc"[: layer - 1])
+        n = full.groupBy(*keys).agg(F.sum("n").alias("n"))
+        total = full.groupBy(*up).agg(F.sum("n").alias("t"))
+        one = (n.join(total, up) if up else n.crossJoin(F.broadcast(total))).select(F.lit(f"layer{layer}").alias("part"), F.log(F.col("t") / F.col("n")).alias("nll"), "n")
+        parts = one if parts is None else parts.unionByName(one)
+    g = parts.select(F.explode(F.array(F.lit("all"), "part")).alias("part"), "nll", "n").groupBy("part")
+    return g.agg(F.round(F.exp(F.sum(F.col("nll") * F.col("n")) / F.sum("n")), 5).alias("ppl"), F.sum("n").alias("n"))
 
 
 @query(sql("SELECT a, sid, rank FROM (SELECT a, sid, row_number() OVER (PARTITION BY a ORDER BY count(*) DESC, sid)::INT AS rank FROM sid GROUP BY a, sid) WHERE rank <= 3", "sid"))
@@ -423,18 +306,6 @@ def topk_beam(spark, d):
     return g.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("n"), "sid"))).where("rank <= 3").select("a", "sid", "rank")
 
 
-@query(sql("SELECT mid, (h % 32)::INT AS index, count(*) AS n FROM (SELECT mid, concat('0x', substr(sha256(unnest(list_filter(string_split_regex(lower(title), '[^a-z0-9]+'), lambda x: x <> ''))), 1, 16))::UBIGINT AS h FROM movies) GROUP BY ALL UNION ALL SELECT a, 32 + (h % 16)::INT, count(*) FROM (SELECT a.mid AS a, concat('0x', substr(sha256(b.mid::VARCHAR), 1, 16))::UBIGINT AS h FROM o a JOIN o b ON a.uid = b.uid AND b.rn > a.rn AND b.rn - a.rn <= 2) GROUP BY ALL", "movies", "ratings", o=ORDERED))
-def feat_hybrid(spark, d):
-    """Text features and, behind them, co-occurrence features in one sparse table."""
-    from .base import movies
-
-    w = movies(spark, d).select("mid", F.explode(scalars.tokenize(F.col("title"))).alias("w")).select("mid", scalars.hash_feature(F.col("w"), 32)["index"].alias("index"))
-    p = relate.band_pairs(seq.ordered(liked(spark, d), "uid", ORD), "uid", "mid", "rn", 2)
-    c = p.select(F.col("a").alias("mid"), (32 + scalars.hash_feature(F.col("b").cast("string"), 16)["index"]).alias("index"))
-    count = lambda x: x.groupBy("mid", "index").agg(F.count(F.lit(1)).alias("n"))
-    return count(w).unionByName(count(c))
-
-
 @query()
 def align_batch(spark, d):
     """A target and four hash-picked other SIDs per query: reward 1 and 0."""

@@ -162,25 +162,25 @@ def join_prefix_neighbors(spark, d):
     return s.join(n, ["a", "b"]).select("content_id", (F.col("n") - 1).alias("neighbors"))
 
 
-_FALL = """SELECT s.content_id, round(coalesce(p3.score, p2.score * 0.5, p1.score * 0.25, 0.0)::DOUBLE, 6) AS score FROM sid s
- LEFT JOIN p p3 ON p3.depth = 3 AND p3.prefix = s.sid LEFT JOIN p p2 ON p2.depth = 2 AND p2.prefix = s.a || '_' || s.b LEFT JOIN p p1 ON p1.depth = 1 AND p1.prefix = s.a::VARCHAR"""
-_FALL_P = """SELECT 3 AS depth, sid AS prefix, count(*)::DOUBLE AS score FROM sid WHERE c % 2 = 0 GROUP BY sid
- UNION ALL SELECT 2, a || '_' || b, count(*)::DOUBLE FROM sid WHERE b % 2 = 0 GROUP BY 2 UNION ALL SELECT 1, a::VARCHAR, count(*)::DOUBLE FROM sid WHERE a % 2 = 0 GROUP BY 2"""
-
-
-def prefix_scores(s):
-    cols = [(3, ["a", "b", "c"], "c"), (2, ["a", "b"], "b"), (1, ["a"], "a")]
-    out = None
-    for depth, codes, even in cols:
-        p = s.where(F.col(even) % 2 == 0).groupBy(F.concat_ws("_", *codes).alias("prefix")).agg(F.count(F.lit(1)).cast("double").alias("score")).withColumn("depth", F.lit(depth))
-        out = p if out is None else out.unionByName(p)
-    return out
-
-
-@query(sql(_FALL, "sid", p=_FALL_P))
+@query(
+    sql(
+        "SELECT s.content_id, round(coalesce(p3.score, p2.score * 0.5, p1.score * 0.25, 0.0)::DOUBLE, 6) AS score FROM k s LEFT JOIN p3 ON p3.prefix = s.sid LEFT JOIN p2 ON p2.prefix = s.ab LEFT JOIN p1 ON p1.prefix = s.aa",
+        "sid",
+        "b2",
+        k="SELECT content_id, sid, a || '_' || b AS ab, a::VARCHAR AS aa FROM sid",
+        x="SELECT k.* FROM k SEMI JOIN (SELECT iid FROM b2 WHERE action_bitmap > 0) y ON y.iid = k.content_id",
+        p3="SELECT sid AS prefix, count(*)::DOUBLE AS score FROM x GROUP BY sid",
+        p2="SELECT ab AS prefix, count(*)::DOUBLE AS score FROM x GROUP BY ab",
+        p1="SELECT aa AS prefix, count(*)::DOUBLE AS score FROM x GROUP BY aa",
+    )
+)
 def join_prefix_fallback(spark, d):
+    """For every item the number of acted-on items of its SID, or of the longest prefix that has any, halved per code."""
     s = sids(spark, d)
-    return relate.prefix_lookup(s, prefix_scores(s), ["a", "b", "c"]).select("content_id", F.round("score", 6).alias("score"))
+    x = s.join(behavior_v2(spark, d).where("action_bitmap > 0").select(F.col("iid").alias("content_id")).distinct(), "content_id", "left_semi")
+    levels = F.inline(F.array(*[F.struct(F.lit(k).alias("depth"), F.concat_ws("_", *"abc"[:k]).alias("prefix")) for k in (3, 2, 1)]))
+    scores = x.select(levels).groupBy("depth", "prefix").agg(F.count(F.lit(1)).cast("double").alias("score"))
+    return relate.prefix_lookup(s, scores, ["a", "b", "c"]).select("content_id", F.round("score", 6).alias("score"))
 
 
 @query(
