@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .relate import all_user_pairs
+
 CODES = ["a", "b", "c"]
 
 
@@ -78,16 +80,16 @@ def neighbor_hit_rate(positives: DataFrame, sids: DataFrame, codes: list[str] |
     """(hit_rate, spread, coverage, items): for items with two users or more, the share of items
     with the same prefix that share a user.
 
-    ``positives`` has uid, iid. Same-prefix co-user pairs are joined on user
-    and prefix at once, so only pairs inside a prefix are formed; the number
-    of prefix neighbours is a count, no pairs at all.
+    ``positives`` has uid, iid. Co-user pairs are formed inside a user and
+    prefix only, in chunks where a user has many; the number of prefix
+    neighbours is a count, no pairs at all.
     """
     codes = codes or ["a", "b"]
     known = positives.select("uid", "iid").distinct().join(sids.select(F.col("content_id").alias("iid"), *codes), "iid")
     users = known.groupBy("iid", *codes).agg(F.count(F.lit(1)).alias("users"))
     prefix = users.groupBy(*codes).agg(F.count(F.lit(1)).alias("size"))
-    pairs = known.join(known.withColumnRenamed("iid", "other"), ["uid", *codes]).where("iid <> other").select("iid", "other").distinct()
-    hits = pairs.groupBy("iid").agg(F.count(F.lit(1)).alias("hits"))
+    pairs = all_user_pairs(known.select(F.struct("uid", *codes).alias("u"), "iid"), "u", "iid").distinct()
+    hits = pairs.select(F.explode(F.array("item_a", "item_b")).alias("iid")).groupBy("iid").agg(F.count(F.lit(1)).alias("hits"))
     scored = users.where("users >= 2").join(prefix, codes).join(hits, "iid", "left").withColumn("others", F.col("size") - 1)
     rate = F.when(F.col("others") > 0, F.coalesce("hits", F.lit(0)) / F.col("others"))
     return scored.agg(F.avg(rate).alias("hit_rate"), F.stddev_pop(rate).alias("spread"), (F.count_if(F.col("others") > 0) / F.count(F.lit(1))).alias("coverage"), F.count(F.lit(1)).alias("items"))

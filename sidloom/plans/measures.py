@@ -82,18 +82,6 @@ def unit(spark, d):
     return table(spark, d, "embeddings").select("vec_id", "label", scalars.l2_normalize(F.col("embedding")).alias("v"))
 
 
-@query(
-    f"""WITH u AS ({_UNIT}), l AS (SELECT vec_id, label, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM u), c AS (SELECT label, i, avg(x) AS m FROM l GROUP BY ALL)
-SELECT label, round(sum((x - m) * (x - m)) / count(DISTINCT vec_id), 5) AS loss, round(sum(x * x) / count(DISTINCT vec_id), 5) AS norm FROM l JOIN c USING (label, i) GROUP BY label"""
-)
-def m_reconstruction(spark, d):
-    """Mean squared residual after subtracting the centroid of each vector's class."""
-    long = unit(spark, d).select("vec_id", "label", F.posexplode("v").alias("i", "x"))
-    c = long.groupBy("label", "i").agg(F.avg("x").alias("m"))
-    g = long.join(c, ["label", "i"]).groupBy("label").agg(F.sum((F.col("x") - F.col("m")) ** 2).alias("r"), F.sum(F.col("x") ** 2).alias("s"), F.count_distinct("vec_id").alias("n"))
-    return g.select("label", F.round(F.col("r") / F.col("n"), 5).alias("loss"), F.round(F.col("s") / F.col("n"), 5).alias("norm"))
-
-
 @query(
     f"""WITH u AS ({_UNIT}), p AS (SELECT a.label, list_dot_product(a.v, b.v) AS s FROM u a JOIN u b ON a.label = b.label AND a.vec_id < b.vec_id),
 g AS (SELECT label, count(*) AS pairs, round(avg(s), 5) AS mean, round(stddev_samp(s), 5) AS std, round(min(s), 5) AS least, round(max(s), 5) AS most, list_sort(list(round(s, 5))) AS x FROM p GROUP BY label)

@@ -318,29 +318,56 @@ def align_batch(spark, d):
 
 # --- quantisers --------------------------------------------------------------
 
+def _books(u):
+    """Three residual codebooks of eight rows from the first 24 vectors."""
+    first = vq.rows(u, "vec_id", "v", 0, 8)
+    second = vq.residuals(vq.rows(u, "vec_id", "v", 8, 16), first)
+    third = vq.residuals(vq.residuals(vq.rows(u, "vec_id", "v", 16, 24), first), second)
+    return [first, second, third]
+
+
 _CENT = "SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS v FROM embeddings"
 
 
 @query(sql("SELECT u.vec_id, arg_max(c.vec_id, (round(list_dot_product(u.v, c.v), 9), -c.vec_id))::INT AS code FROM u JOIN u c ON c.vec_id < 8 GROUP BY u.vec_id", u=_CENT))
 def vq_assign(spark, d):
     u = table(spark, d, "embeddings").select("vec_id", scalars.l2_normalize(F.col("embedding")).alias("v"))
-    return u.select("vec_id", vq.assign(F.col("v"), vq.rows(u, "vec_id", "v", 0, 8)).alias("code"))
+    return vq.encode(u, "vec_id", "v", [vq.rows(u, "vec_id", "v", 0, 8)]).select("vec_id", F.element_at("codes", 1).alias("code"))
 
 
-@query(
-    sql(
-        "SELECT vec_id, c1::VARCHAR || '_' || c2 AS sid FROM r2",
-        u=_CENT,
-        r1="SELECT u.vec_id, arg_min(c.vec_id, (round(list_dot_product(u.v, u.v) + list_dot_product(c.v, c.v) - 2 * list_dot_product(u.v, c.v), 8), c.vec_id)) AS c1 FROM u JOIN u c ON c.vec_id < 8 GROUP BY u.vec_id",
-        e="SELECT r1.vec_id, c1, list_transform(range(1, 65), lambda i: u.v[i] - c.v[i]) AS v FROM r1 JOIN u USING (vec_id) JOIN u c ON c.vec_id = c1",
-        k="SELECT vec_id - 8 AS j, v FROM e WHERE vec_id BETWEEN 8 AND 15",
-        r2="SELECT e.vec_id, e.c1, arg_min(k.j, (round(list_dot_product(e.v, e.v) + list_dot_product(k.v, k.v) - 2 * list_dot_product(e.v, k.v), 8), k.j)) AS c2 FROM e, k GROUP BY ALL",
-    )
+def _slices(u):
+    """Four product codebooks of 16 rows from the first vectors."""
+    c = vq.rows(u, "vec_id", "v", 0, 16)
+    return [c[:, k * 16 : k * 16 + 16] for k in range(4)]
+
+
+_DIST = "round(list_dot_product({0}.v, {0}.v) + list_dot_product({1}.v, {1}.v) - 2 * list_dot_product({0}.v, {1}.v), 8)"
+
+
+def _level(left: str, book: str, codes: str, n: int) -> dict[str, str]:
+    """CTEs r{n} (codes so far) and e{n} (what is left) of one residual codebook."""
+    d = _DIST.format("x", "k")
+    return {
+        f"r{n}": f"SELECT x.vec_id, {codes}arg_min(k.j, ({d}, k.j)) AS c{n} FROM {left} x, {book} k GROUP BY ALL",
+        f"e{n}": f"SELECT r.*, list_transform(range(1, 65), lambda i: x.v[i] - k.v[i]) AS v FROM r{n} r JOIN {left} x USING (vec_id) JOIN {book} k ON k.j = r.c{n}",
+    }
+
+
+_RQ = dict(
+    u=_CENT,
+    k1="SELECT vec_id AS j, v FROM u WHERE vec_id < 8",
+    **_level("u", "k1", "", 1),
+    k2="SELECT vec_id - 8 AS j, v FROM e1 WHERE vec_id BETWEEN 8 AND 15",
+    **_level("e1", "k2", "x.c1, ", 2),
+    k3="SELECT vec_id - 16 AS j, v FROM e2 WHERE vec_id BETWEEN 16 AND 23",
+    **_level("e2", "k3", "x.c1, x.c2, ", 3),
 )
+
+
+@query(sql("SELECT vec_id, c1::VARCHAR || '_' || c2 || '_' || c3 AS sid FROM r3", **_RQ))
 def vq_residual_ids(spark, d):
     u = table(spark, d, "embeddings").select("vec_id", scalars.l2_normalize(F.col("embedding")).alias("v"))
-    first = vq.rows(u, "vec_id", "v", 0, 8)
-    return u.select("vec_id", vq.residual_sid(F.col("v"), [first, vq.residuals(vq.rows(u, "vec_id", "v", 8, 16), first)]).alias("sid"))
+    return vq.encode(u, "vec_id", "v", _books(u)).select("vec_id", F.array_join(F.col("codes").cast("array<string>"), "_").alias("sid"))
 
 
 @query(sql("SELECT vec_id, (code[1] + 5 * code[2] + 25 * code[3])::BIGINT AS code FROM (SELECT vec_id, list_transform([1, 2, 3], lambda i: least(greatest(round_even(tanh(embedding[i]::DOUBLE * 8) * 2, 0) + 2, 0), 4)::INT) AS code FROM embeddings)"))
@@ -363,16 +390,16 @@ def vq_fsq_decode(spark, d):
 )
 def vq_pq_encode(spark, d):
     u = table(spark, d, "embeddings").select("vec_id", scalars.l2_normalize(F.col("embedding")).alias("v"))
-    c = vq.rows(u, "vec_id", "v", 0, 16)
-    codes = [vq.assign(F.slice("v", s * 16 + 1, 16), [x[s * 16 : s * 16 + 16] for x in c]) for s in range(4)]
-    return u.select("vec_id", F.concat_ws("_", *codes).alias("pq"))
+    return vq.encode(u, "vec_id", "v", _slices(u), slices=True).select("vec_id", F.array_join(F.col("codes").cast("array<string>"), "_").alias("pq"))
 
 
-@query(sql("SELECT p_partkey, round(c.v[1], 5) AS first FROM part JOIN u c ON c.vec_id = p_partkey % 16", u=_CENT))
+@query(sql("SELECT p_partkey, generate_subscripts(v, 1) AS pos, round(unnest(v), 5) + 0.0 AS x FROM (SELECT p_partkey, list_concat(list_concat(a.v[1:16], b.v[17:32]), list_concat(c.v[33:48], e.v[49:64])) AS v FROM part JOIN u a ON a.vec_id = p_partkey % 16 JOIN u b ON b.vec_id = p_partkey // 16 % 16 JOIN u c ON c.vec_id = p_partkey // 256 % 16 JOIN u e ON e.vec_id = p_partkey // 4096 % 16)", u=_CENT))
 def vq_pq_decode(spark, d):
+    """Vectors of the whole space from four codes."""
     u = table(spark, d, "embeddings").select("vec_id", scalars.l2_normalize(F.col("embedding")).alias("v"))
-    book = F.lit([x[0] for x in vq.rows(u, "vec_id", "v", 0, 16)])
-    return table(spark, d, "part").select("p_partkey", F.round(F.get(book, (F.col("p_partkey") % 16).cast("int")), 5).alias("first"))
+    codes = F.array(*[(F.floor(F.col("p_partkey") / 16**k) % 16).cast("int") for k in range(4)])
+    v = vq.decode(table(spark, d, "part").select("p_partkey", codes.alias("codes")), "p_partkey", "codes", _slices(u), slices=True)
+    return v.select("p_partkey", F.posexplode("v").alias("pos", "x")).select("p_partkey", (F.col("pos") + 1).cast("bigint").alias("pos"), (F.round("x", 5) + 0.0).alias("x"))
 
 
 @query(sql("SELECT q.vec_id AS src, v.vec_id AS dst, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(q.v, v.v), 9) DESC, v.vec_id)::INT AS rank FROM u q JOIN u v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0 QUALIFY rank <= 5", u=_CENT))
@@ -384,15 +411,20 @@ def vq_graph(spark, d):
     return t.select(F.col("q").alias("src"), F.col("c").alias("dst"), F.row_number().over(Window.partitionBy("q").orderBy(F.desc("cosine"), "c")).alias("rank"))
 
 
-@query(sql("SELECT vec_id, CASE WHEN vec_id % 5 = 0 THEN 'old' ELSE 'new' END AS origin FROM embeddings"))
+@query(sql("SELECT vec_id, CASE WHEN vec_id % 5 = 0 THEN '7_7_7' ELSE c1::VARCHAR || '_' || c2 || '_' || c3 END AS sid, vec_id % 5 <> 0 AS fresh FROM r3", **_RQ))
 def vq_incremental(spark, d):
-    """Only ids without a code are assigned; then both are one table."""
-    from ..operators.registry import upsert
+    """Ids with a code keep it; only the others are encoded."""
+    u = table(spark, d, "embeddings").select("vec_id", scalars.l2_normalize(F.col("embedding")).alias("v"))
+    old = u.where("vec_id % 5 = 0").select("vec_id", F.array(*[F.lit(7)] * 3).alias("codes"))
+    return vq.incremental(old, u, "vec_id", "v", _books(u)).select("vec_id", F.array_join(F.col("codes").cast("array<string>"), "_").alias("sid"), "fresh")
 
-    e = table(spark, d, "embeddings")
-    old = e.where("vec_id % 5 = 0").select("vec_id", F.lit("old").alias("origin"))
-    fresh = e.join(old, "vec_id", "left_anti").select("vec_id", F.lit("new").alias("origin"))
-    return upsert(old, fresh, ["vec_id"])
+
+@query()
+def vq_kmeans_cache(spark, d):
+    """A codebook is fitted once per configuration; a second request reads it again."""
+    e, config = table(spark, d, "embeddings"), {"table": d, "k": 8, "rounds": 5}
+    first, second = vq.cached_codebook(spark, e, "embedding", config), vq.cached_codebook(spark, e, "embedding", config)
+    return spark.createDataFrame([(len(second[0]), bool((first[0] == second[0]).all()), second[1])], "codes int, same boolean, reused boolean")
 
 
 @query()
@@ -412,7 +444,10 @@ def vq_fsq_train(spark, d):
 
 @query()
 def vq_pq_train(spark, d):
-    return vq.pq_train(table(spark, d, "embeddings"), "vec_id", "embedding", 4, 8)
+    """Cluster sizes of each slice of the vectors."""
+    e = table(spark, d, "embeddings")
+    coded = vq.encode(e, "vec_id", "embedding", vq.pq_train(e, "vec_id", "embedding", 4, 8), slices=True)
+    return coded.select(F.posexplode("codes").alias("part", "code")).groupBy("part", "code").agg(F.count(F.lit(1)).alias("n"))
 
 
 # --- losses ------------------------------------------------------------------

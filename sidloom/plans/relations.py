@@ -102,9 +102,9 @@ _COUSER = "SELECT a.mid AS item_a, b.mid AS item_b, count(DISTINCT a.uid) AS use
 
 @query(sql("SELECT item_a, count(*) AS neighbors FROM (" + _COUSER + ") GROUP BY item_a", "ratings", l="SELECT DISTINCT uid, mid FROM ratings WHERE rating >= 5"))
 def self_cooccur(spark, d):
-    u = ratings(spark, d).where("rating >= 5").select("uid", F.col("mid").alias("item_a")).distinct()
-    pairs = u.join(u.withColumnRenamed("item_a", "item_b"), "uid").where("item_a <> item_b").select("item_a", "item_b").distinct()
-    return pairs.groupBy("item_a").agg(F.count(F.lit(1)).alias("neighbors"))
+    pairs = relate.all_user_pairs(ratings(spark, d).where("rating >= 5"), "uid", "mid").distinct()
+    both = pairs.unionByName(pairs.select(F.col("item_b").alias("item_a"), F.col("item_a").alias("item_b")))
+    return both.groupBy("item_a").agg(F.count(F.lit(1)).alias("neighbors"))
 
 
 @query(
@@ -235,12 +235,24 @@ def cross_sampled_pairs(spark, d):
     )
 )
 def cross_hamming(spark, d):
-    """SIDs that agree with a query SID in most digits: equi-joins on each digit, no cross join."""
-    s = sids(spark, d).select("sid", "a", "b", "c").distinct()
-    q = s.where("(a * 65536 + b * 256 + c) % 50 = 0")
-    digit = lambda df, name: df.select(F.col("sid").alias(name), F.posexplode(F.array("a", "b", "c")))
-    same = digit(q, "q").join(digit(s, "c"), ["pos", "col"]).where("q <> c").groupBy("q", "c").agg(F.count(F.lit(1)).cast("int").alias("same"))
-    return same.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("same"), "c"))).where("r <= 5").drop("r")
+    """The five SIDs that agree with a query SID in most digits, ties to the smaller.
+
+    SIDs with two equal digits come from joins on two digits, which have at
+    most 256 rows a key. Those with one follow by their name alone, so the
+    first ten of a digit are all that a query can need.
+    """
+    s = scratch.keep(sids(spark, d).select("sid", "a", "b", "c").distinct(), "sids")
+    q = s.where("(a * 65536 + b * 256 + c) % 50 = 0").withColumnRenamed("sid", "q")
+    digits = F.posexplode(F.array("a", "b", "c"))
+    pairs = F.posexplode(F.array(F.concat_ws("_", "a", "b"), F.concat_ws("_", "a", "c"), F.concat_ws("_", "b", "c")))
+    two = q.select("q", pairs).join(s.select(F.col("sid").alias("c"), pairs), ["pos", "col"]).select("q", "c").distinct()
+    first = Window.partitionBy("pos", "col").orderBy("c")
+    few = s.select(F.col("sid").alias("c"), digits).withColumn("r", F.row_number().over(first)).where("r <= 10").drop("r")
+    one = q.select("q", digits).join(few, ["pos", "col"]).select("q", "c").distinct()
+    codes = lambda x: F.split(x, "_")
+    same = F.aggregate(F.zip_with(codes(F.col("q")), codes(F.col("c")), lambda x, y: (x == y).cast("int")), F.lit(0), lambda a, x: a + x)
+    met = two.unionByName(one).distinct().where("q <> c").withColumn("same", same)
+    return met.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("same"), "c"))).where("r <= 5").drop("r")
 
 
 _CFG = {"r1": {"lr": "0.1", "dim": "64", "layers": "3", "seed": "1"}, "r2": {"lr": "0.1", "dim": "128", "layers": "3"}, "r3": {"lr": "0.2", "dim": "32", "layers": "4", "tau": "9"}, "r4": {"lr": "0.1", "dim": "64", "layers": "3", "seed": "2"}}

@@ -115,3 +115,31 @@ def contiguous_shards(df: DataFrame, key: str, shards: int) -> DataFrame:
 def parse_object_path(url: Column) -> list[Column]:
     pattern = "^s3://([^/]+)/(.*)$"
     return [F.regexp_extract(url, pattern, 1).alias("bucket"), F.regexp_extract(url, pattern, 2).alias("key")]
+
+
+def read_days(spark: SparkSession, path: str, start: str, end: str) -> DataFrame:
+    """Rows of the folders day=YYYYMMDD of a range of days; the others are not opened."""
+    day = F.to_date("day", "yyyyMMdd")
+    return spark.read.option("basePath", path).parquet(path).withColumn("day", F.col("day").cast("string")).where(day.between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+
+
+def read_zip_csv(archives: DataFrame, member: str, schema: str) -> DataFrame:
+    """Rows of the CSV file ``member`` (by the end of its name) of each archive (content binary), as ``binaryFile`` reads them."""
+
+    def unpack(batches):
+        import io
+        import zipfile
+
+        import pyarrow as pa
+
+        for b in batches:
+            lines = []
+            for content in b.column("content").to_pylist():
+                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                    for name in z.namelist():
+                        if name.endswith(member):
+                            lines += z.read(name).decode("utf-8").splitlines()[1:]
+            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], names=["line"])
+
+    got = archives.select("content").mapInArrow(unpack, "line string").select(F.from_csv("line", schema).alias("r"))
+    return got.select("r.*")
