@@ -154,3 +154,21 @@ SQL = {
   + CASE WHEN n - n_a - n_b + n_ab > 0 THEN (n - n_a - n_b + n_ab) * ln((n - n_a - n_b + n_ab)::DOUBLE * n / ((n - n_a)::DOUBLE * (n - n_b))) ELSE 0 END)), 4) AS llr FROM q)
 SELECT * FROM l WHERE llr >= 10.83""",
 }
+
+# all pairs, for small tables
+_UNIT = r"""
+WITH RECURSIVE l AS (SELECT content_id, embedding::DOUBLE[] AS v, semantic_id FROM (
+  SELECT lower(trim(content_id, E' \t\r\n')) AS content_id, embedding, semantic_id, encoded_at FROM results WHERE content_id IS NOT NULL AND len(embedding) = 128)
+  WHERE content_id <> '' AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+  QUALIFY row_number() OVER (PARTITION BY content_id ORDER BY encoded_at DESC NULLS LAST) = 1),
+u AS (SELECT content_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM l),
+p AS MATERIALIZED (SELECT x.content_id AS a, y.content_id AS b, list_dot_product(x.v, y.v) AS s FROM u x JOIN u y ON x.content_id <> y.content_id)
+"""
+
+SQL["p3_found"] = _UNIT + "SELECT DISTINCT least(a, b) AS content_a, greatest(a, b) AS content_b FROM (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5) WHERE s >= 0.95"
+SQL["p5_found"] = (
+    _UNIT
+    + """, e AS MATERIALIZED (SELECT a, b FROM p WHERE s >= 0.7), r AS (SELECT content_id AS x, content_id AS root FROM l UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.x),
+m AS (SELECT x AS content_id, min(root) AS cluster_id FROM r GROUP BY x)
+SELECT cluster_id, content_id FROM m QUALIFY count(*) OVER (PARTITION BY cluster_id) >= 3"""
+)
