@@ -80,6 +80,23 @@ def beam_search(queries: DataFrame, tree: DataFrame, score: Column, width: int,
     return beams.withColumnRenamed("prefix", "path")
 
 
+def sample_paths(queries: DataFrame, tree: DataFrame, logprob: Column, draws: int, layers: int = 3) -> DataFrame:
+    """(q, path, lp, draws): ``draws`` samples a query under a trie, equal ones merged with their largest log-probability.
+
+    A next code is the argmax of its log-probability plus Gumbel noise whose
+    uniforms are hashes of query, draw and path, so equal runs draw alike.
+    """
+    paths = queries.select("q", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("k"), F.lit("").alias("prefix"), F.lit(0.0).alias("lp"))
+    for layer in range(layers):
+        step = paths.join(tree.where(F.col("layer") == layer), "prefix")
+        h = F.conv(F.substring(F.sha2(F.concat_ws("|", "q", "k", "prefix", "next"), 256), 1, 8), 16, 10).cast("bigint")
+        noisy = logprob - F.log(-F.log((h + 1) / F.lit(4294967297.0)))
+        path = F.when(F.lit(layer == 0), F.col("next").cast("string")).otherwise(F.concat_ws("_", "prefix", "next"))
+        best = F.max_by(F.struct(path.alias("prefix"), (F.col("lp") + logprob).alias("lp")), F.struct(noisy, -F.col("next")))
+        paths = step.groupBy("q", "k").agg(best.alias("v")).select("q", "k", "v.prefix", "v.lp")
+    return paths.groupBy("q", F.col("prefix").alias("path")).agg(F.max("lp").alias("lp"), F.count(F.lit(1)).alias("draws"))
+
+
 def recall_at(ranked: DataFrame, truth: DataFrame, ks: list[int]) -> DataFrame:
     """(k, recall, queries): ranked has q, item, pos; truth has q, item; queries without a hit count as misses."""
     hits = truth.join(ranked, ["q", "item"], "left").groupBy("q").agg(F.min("pos").alias("pos"))

@@ -224,13 +224,6 @@ def rw_composite(spark, d):
     return s.select("content_id", F.round(composite({"r_format": 0.7, "r_score": 0.3}), 6).alias("reward"))
 
 
-@query()
-def rw_external(spark, d):
-    from ..operators.rewards import external_reward
-
-    return sids(spark, d).select("content_id", external_reward(lambda sid: sid.str.len() / 11.0)(F.col("sid")).alias("reward"))
-
-
 @query(sql("SELECT 0 AS layer, '' AS prefix, a AS next FROM sid GROUP BY a UNION ALL SELECT 1, a::VARCHAR, b FROM sid GROUP BY a, b UNION ALL SELECT 2, a || '_' || b, c FROM sid GROUP BY a, b, c", "sid"))
 def trie_build(spark, d):
     return prefs.trie(sids(spark, d))
@@ -242,42 +235,6 @@ def trie_valid(spark, d):
     return t.select("prefix", F.array_join(F.col("v").cast("array<string>"), ",").alias("valid"))
 
 
-@query(
-    sql(
-        """SELECT q, path, round(lp, 6) AS lp FROM b3""",
-        "sid",
-        s="SELECT DISTINCT a, b, c FROM sid",
-        q="SELECT unnest(range(0, 20)) AS q",
-        b1="SELECT q, a, -((q * 7 + a * 17) % 101) / 10.0::DOUBLE AS lp FROM q, (SELECT DISTINCT a FROM s) QUALIFY row_number() OVER (PARTITION BY q ORDER BY lp DESC, a::VARCHAR) <= 10",
-        b2="SELECT q, x.a, x.b, lp - ((q * 7 + x.b * 17 + 31) % 101) / 10.0::DOUBLE AS lp FROM b1 JOIN (SELECT DISTINCT a, b FROM s) x ON x.a = b1.a QUALIFY row_number() OVER (PARTITION BY q ORDER BY lp - ((q * 7 + x.b * 17 + 31) % 101) / 10.0::DOUBLE DESC, x.a || '_' || x.b) <= 10",
-        b3="SELECT q, x.a || '_' || x.b || '_' || x.c AS path, lp - ((q * 7 + x.c * 17 + 62) % 101) / 10.0::DOUBLE AS lp FROM b2 JOIN s x ON x.a = b2.a AND x.b = b2.b QUALIFY row_number() OVER (PARTITION BY q ORDER BY lp - ((q * 7 + x.c * 17 + 62) % 101) / 10.0::DOUBLE DESC, path) <= 10",
-    )
-)
-def beam_search(spark, d):
-    score = -((F.col("q") * 7 + F.col("next") * 17 + F.col("layer") * 31) % 101) / 10.0
-    b = prefs.beam_search(spark.range(20).withColumnRenamed("id", "q"), prefs.trie(sids(spark, d)), score, 10)
-    return b.select("q", "path", F.round("lp", 6).alias("lp"))
-
-
-@query()
-def constrained_sampling(spark, d):
-    """Samples by the Gumbel trick with hashed uniforms: equal runs give equal samples."""
-    u = (F.pmod(F.xxhash64("q", "prefix", "next"), F.lit(2**31 - 1)) + 1) / F.lit(2.0**31)
-    score = -(F.col("next") % 7) / 7.0 - F.log(-F.log(u))
-    return prefs.beam_search(spark.range(50).withColumnRenamed("id", "q"), prefs.trie(sids(spark, d)), score, 1)
-
-
-@query()
-def graph_decode(spark, d):
-    """Seeds by the first code, two rounds of expansion to SIDs with two codes in common, best 10 kept."""
-    s = sids(spark, d).select("sid", "a", "b", "c").distinct().withColumn("score", -((F.col("a") * 3 + F.col("b") * 5 + F.col("c") * 7) % 97).cast("double"))
-    best = s.orderBy(F.desc("score"), "sid").limit(30)
-    for _ in range(2):
-        near = best.select("a", "b").distinct().join(s, ["a", "b"]).select(*s.columns)
-        best = best.unionByName(near).distinct().orderBy(F.desc("score"), "sid").limit(30)
-    return best.select("sid", "score").orderBy(F.desc("score"), "sid").limit(10)
-
-
 # --- other model tables ------------------------------------------------------
 
 _NLL = "SELECT 'layer' || layer AS part, ln(total / n::DOUBLE) AS nll, n FROM (SELECT 1 AS layer, count(*) AS n, (SELECT count(*) FROM sid) AS total FROM sid GROUP BY a UNION ALL SELECT 2, count(*), any_value(t) FROM (SELECT a, b, count(*) OVER (PARTITION BY a) AS t FROM sid) GROUP BY a, b UNION ALL SELECT 3, count(*), any_value(t) FROM (SELECT a, b, c, count(*) OVER (PARTITION BY a, b) AS t FROM sid) GROUP BY a, b, c)"
@@ -306,11 +263,17 @@ def topk_beam(spark, d):
     return g.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("n"), "sid"))).where("rank <= 3").select("a", "sid", "rank")
 
 
-@query()
+@query(
+    sql(
+        "SELECT g, pos::INT AS pos, sid, reward::DOUBLE AS reward FROM (SELECT content_id AS g, 0 AS pos, sid, 1.0 AS reward FROM p UNION ALL SELECT content_id, 1, n1, 0.0 FROM p WHERE n1 <> sid UNION ALL SELECT content_id, 2, n2, 0.0 FROM p WHERE n2 <> sid UNION ALL SELECT content_id, 3, n3, 0.0 FROM p WHERE n3 <> sid UNION ALL SELECT content_id, 4, n4, 0.0 FROM p WHERE n4 <> sid)",
+        "sid",
+        p="SELECT content_id, sid, lead(sid, 1) OVER w AS n1, lead(sid, 2) OVER w AS n2, lead(sid, 3) OVER w AS n3, lead(sid, 4) OVER w AS n4 FROM sid WINDOW w AS (PARTITION BY a ORDER BY sha256(sid), content_id)",
+    )
+)
 def align_batch(spark, d):
-    """A target and four hash-picked other SIDs per query: reward 1 and 0."""
+    """A target and up to four other SIDs of its first code, picked by hash: reward 1 and 0."""
     s = sids(spark, d).select("content_id", "sid", "a")
-    others = Window.partitionBy("a").orderBy(F.xxhash64("sid"), "content_id")
+    others = Window.partitionBy("a").orderBy(F.sha2("sid", 256), "content_id")
     picks = s.select(F.col("content_id").alias("g"), F.col("sid").alias("target"), *[F.lead("sid", k).over(others).alias(f"n{k}") for k in range(1, 5)])
     rows = F.array(F.struct(F.col("target").alias("sid"), F.lit(1.0).alias("reward")), *[F.struct(F.col(f"n{k}").alias("sid"), F.lit(0.0).alias("reward")) for k in range(1, 5)])
     return picks.select("g", "target", F.posexplode(rows).alias("pos", "r")).where("r.sid IS NOT NULL AND (pos = 0 OR r.sid <> target)").select("g", "pos", "r.sid", "r.reward")
@@ -546,12 +509,34 @@ def align_eval(spark, d):
 # --- user functions, streaming ----------------------------------------------
 
 
-@query()
+_URL = "SELECT DISTINCT image, md5(image) AS h FROM (SELECT unnest(images) AS image FROM pinned_content) WHERE image IS NOT NULL"
+
+
+@query(
+    sql(
+        """SELECT image, status, CASE WHEN status IN ('ok', 'cached') THEN 'img/' || h[1:2] || '/' || h || '.jpg' END AS path, CASE status WHEN 'cached' THEN 7 WHEN 'too_large' THEN 1001 WHEN 'empty_body' THEN 0 WHEN 'ok' THEN length(image) END::BIGINT AS size_bytes
+ FROM (SELECT image, h, CASE WHEN image = '' THEN 'empty' WHEN h[3] IN ('0', '1') THEN 'cached' ELSE ['empty_body', 'too_large', 'timeout', 'http_404', 'error_ValueError', 'ok'][(concat('0x', h[1:2])::UBIGINT % 6 + 1)::INT] END AS status FROM u)""",
+        u=_URL,
+    )
+)
 def udf_url_status(spark, d):
-    from ..operators.rewards import url_status
+    """The status of every image url; without a network the answers follow from the url's hash."""
+    from ..operators.rewards import HttpError, fetch_images
+
+    def fetch(url: str) -> bytes:
+        import hashlib
+
+        kind = int(hashlib.md5(url.encode(), usedforsecurity=False).hexdigest()[:2], 16) % 6
+        if kind == 2:
+            raise TimeoutError
+        if kind == 3:
+            raise HttpError(404)
+        if kind == 4:
+            raise ValueError(url)
+        return b"" if kind == 0 else b"x" * (1001 if kind == 1 else len(url))
 
-    u = table(spark, d, "pinned_content").select(F.explode("images").alias("image")).distinct()
-    return url_status(u, "image")
+    u = table(spark, d, "pinned_content").select(F.explode("images").alias("image")).where("image IS NOT NULL").distinct()
+    return fetch_images(u, "image", "img", fetch, lambda path: 7 if path.split("/")[-1][2] in "01" else None, lambda path, body: None, 1000)
 
 
 @query("SELECT user_id, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
@@ -571,11 +556,15 @@ def session_windows(spark, d):
     return g.select("user_id", "n", F.floor((F.unix_micros(F.col("b").cast("timestamp")) - F.unix_micros(F.col("a").cast("timestamp"))) / 1000000).alias("span"))
 
 
-@query()
+@query(
+    """WITH w AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 12 HOUR THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM w)
+SELECT user_id, epoch_us(min(ts))::BIGINT AS start_us, (epoch_us(max(ts)) + 43200000000)::BIGINT AS end_us, count(*) AS n FROM s GROUP BY user_id, k HAVING epoch_us(max(ts)) + 43200000000 <= (SELECT epoch_us(max(ts)) FROM events) - 3600000000"""
+)
 def stream_sessions(spark, d):
+    """Sessions by a stream with a watermark: those that it has closed when the source ends."""
     from ..streaming.jobs import run_sessions
 
-    return run_sessions(spark, f"{d}/events.parquet")
+    return run_sessions(spark, f"{d}/events.parquet").select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n")
 
 
 QUERIES, SQL = Q, S

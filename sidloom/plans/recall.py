@@ -90,6 +90,73 @@ def _candidates(spark, d, locked: int = 0):
 _BEAM = dict(items=_ITEMS, q=_QUERIES, **_beam_ctes())
 
 
+@query(sql("SELECT q, path AS sid, round(lp, 6) AS lp, rank::INT AS rank FROM beam", "sid", **_BEAM))
+def beam_search(spark, d):
+    """The ten best SIDs of every query under the trie."""
+    return _candidates(spark, d).select("q", "sid", F.round("lp", 6).alias("lp"), "rank")
+
+
+_DRAWS = 3
+_GUMBEL = "-ln(-ln((concat('0x', substr(sha256(concat_ws('|', q, k, {path}, x.{c})), 1, 8))::UBIGINT::BIGINT + 1) / 4294967297.0::DOUBLE))"
+
+
+def _draw(n: int, c: str, left: str, on: str, path: str) -> str:
+    up = ", ".join(f"p.{x}" for x in "abc"[: n - 1])
+    codes = ", ".join("abc"[:n])
+    return f"SELECT q, k, {codes}, lp FROM (SELECT p.q, p.k, {up + ', ' if up else ''}x.{c}, p.lp - (x.{c} % 7) / 7.0::DOUBLE AS lp, -(x.{c} % 7) / 7.0::DOUBLE + {_GUMBEL.format(path=path, c=c)} AS s FROM {left} p, (SELECT DISTINCT {codes} FROM items) x {on}) QUALIFY row_number() OVER (PARTITION BY q, k ORDER BY s DESC, {codes}) = 1"
+
+
+@query(
+    sql(
+        "SELECT q, a || '_' || b || '_' || c AS sid, round(max(lp), 6) AS lp, count(*) AS draws FROM d3 GROUP BY ALL",
+        "sid",
+        items=_ITEMS,
+        q=_QUERIES,
+        d0=f"SELECT q, unnest(range(0, {_DRAWS})) AS k, 0.0::DOUBLE AS lp FROM q",
+        d1=_draw(1, "a", "d0", "", "''"),
+        d2=_draw(2, "b", "d1", "WHERE x.a = p.a", "p.a"),
+        d3=_draw(3, "c", "d2", "WHERE x.a = p.a AND x.b = p.b", "p.a || '_' || p.b"),
+    )
+)
+def constrained_sampling(spark, d):
+    """Legal SIDs drawn by the Gumbel trick with hashed uniforms, repeated draws merged under their log-probability."""
+    return prefs.sample_paths(eval_queries(spark, d).select("q"), scratch.keep(prefs.trie(sids(spark, d)), "trie"), -(F.col("next") % 7) / 7.0, _DRAWS).select("q", F.col("path").alias("sid"), F.round("lp", 6).alias("lp"), "draws")
+
+
+_LP3 = "(-(a * 3 % 97) - (b * 5 % 97) - (c * 7 % 97))"
+_GROW = "SELECT DISTINCT x.* FROM {0} p JOIN s x ON (x.a = p.a AND x.b = p.b) UNION SELECT * FROM {0}"
+_CUT = "SELECT * FROM ({}) QUALIFY row_number() OVER (ORDER BY score DESC, sid) <= 30"
+
+
+@query(
+    sql(
+        "SELECT sid, score FROM g2 QUALIFY row_number() OVER (ORDER BY score DESC, sid) <= 10",
+        "sid",
+        s=f"SELECT DISTINCT sid, a, b, c, {_LP3}::INT AS score FROM sid",
+        g0="SELECT * FROM s QUALIFY row_number() OVER (ORDER BY -(a * 3 % 97) DESC, sid) <= 30",
+        g1=_CUT.format(_GROW.format("g0")),
+        g2=_CUT.format(_GROW.format("g1")),
+    )
+)
+def graph_decode(spark, d):
+    """Seeds by the first digit, two rounds of expansion to neighbours (two digits in common), the best 30 kept, 10 out."""
+    lp = [-(F.col(c) * k % 97) for c, k in zip("abc", (3, 5, 7))]
+    s = scratch.keep(sids(spark, d).select("sid", "a", "b", "c").distinct().withColumn("score", lp[0] + lp[1] + lp[2]), "scored")
+    best = s.orderBy(F.desc(lp[0]), "sid").limit(30)
+    for _ in range(2):
+        near = best.select("a", "b").distinct().join(s, ["a", "b"]).select(*s.columns)
+        best = best.unionByName(near).distinct().orderBy(F.desc("score"), "sid").limit(30)
+    return best.select("sid", "score").orderBy(F.desc("score"), "sid").limit(10)
+
+
+@query(sql("SELECT content_id, length(sid) / 11.0::DOUBLE AS reward FROM sid", "sid"))
+def rw_external(spark, d):
+    """Any function of a batch of SIDs as a reward; here their length."""
+    from ..operators.rewards import external_reward
+
+    return sids(spark, d).select("content_id", external_reward(lambda sid: sid.str.len() / 11.0)(F.col("sid")).alias("reward"))
+
+
 @query(sql("SELECT q, path AS sid, CASE depth WHEN 0 THEN 'easy' WHEN 1 THEN 'medium' ELSE 'hard' END AS bucket FROM beam WHERE depth < 3 QUALIFY row_number() OVER (PARTITION BY q, bucket ORDER BY rank) <= 3", "sid", **_BEAM))
 def pref_sp_pairs(spark, d):
     return prefs.candidate_pairs(_candidates(spark, d)).select("q", "sid", "bucket")

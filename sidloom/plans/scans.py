@@ -111,7 +111,14 @@ def scan_csv_dat(spark, d):
     return r.join(m.select("mid", "title"), "mid").select("uid", "mid", "rating", "ts", "title")
 
 
-@query()
+_H = "concat('0x', substr(sha256({}), 1, 8))::UBIGINT::BIGINT"
+
+
+@query(
+    f"""WITH u AS (SELECT unnest(range(0, 240))::BIGINT AS uid), s AS (SELECT uid, unnest(range(1, 9 + {_H.format("uid || 'n'")} % 21))::BIGINT AS t FROM u),
+g AS (SELECT uid, t, {_H.format("uid || 'g'")} % 6 AS own, {_H.format("uid || '_' || t || 'p'")} % 4 < 3 AS likes, {_H.format("uid || '_' || t || 'q'")} % 6 AS other, {_H.format("uid || '_' || t || 'm'")} % 20 AS k FROM s)
+SELECT uid, (k * 6 + CASE WHEN likes THEN own ELSE other END)::BIGINT AS mid, CASE WHEN likes OR own = other THEN 4.0 ELSE 3.0 END::DOUBLE AS rating, 1700000000 + uid * 1000 + t AS ts FROM g"""
+)
 def gen_synthetic(spark, d):
     return readers.synthetic_ratings(spark)
 
@@ -134,7 +141,7 @@ def scan_config_yaml(spark, d):
     return readers.overlay_config(spark, {"dim": 32, "layers": 3, "lr": 0.1, "name": "base"}, {"dim": 64, "name": "child"})
 
 
-@query()
+@query("SELECT 'run' || i AS run, 1000000 * i AS total_tokens, 20.0::DOUBLE - i AS ppl, 4::BIGINT AS last_step, 5.6::DOUBLE AS last_loss FROM (SELECT unnest([1, 2, 3])::BIGINT AS i)")
 def scan_runs(spark, d):
     return readers.read_runs(spark, readers.write_sample_runs(spark))
 

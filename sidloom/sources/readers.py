@@ -49,12 +49,13 @@ def read_ratings_dat(spark: SparkSession, path: str) -> DataFrame:
 
 
 def synthetic_ratings(spark: SparkSession, users: int = 240, items: int = 120, genres: int = 6) -> DataFrame:
-    """Invented ratings: each user prefers one genre for three quarters of 8 to 28 items."""
-    h = lambda *c: F.pmod(F.xxhash64(*c), F.lit(1_000_000))
-    seq = spark.range(users).select(F.col("id").alias("uid"), F.explode(F.sequence(F.lit(1), (8 + h(F.col("id")) % 21).cast("int"))).alias("t"))
-    own = h("uid", F.lit("g")) % genres
-    genre = F.when(h("uid", "t", F.lit("p")) % 4 < 3, own).otherwise(h("uid", "t", F.lit("q")) % genres)
-    mid = (h("uid", "t", F.lit("m")) % (items // genres)) * genres + genre
+    """Invented ratings: each user prefers one genre for three quarters of 8 to 28 items; the same rows at every call."""
+    h = lambda *c: F.conv(F.substring(F.sha2(F.concat(*[x if isinstance(x, Column) else F.lit(x) for x in c]), 256), 1, 8), 16, 10).cast("bigint")
+    uid, t = F.col("uid").cast("string"), F.col("t").cast("string")
+    seq = spark.range(users).withColumnRenamed("id", "uid").select("uid", F.explode(F.sequence(F.lit(1).cast("bigint"), 8 + h(uid, "n") % 21)).alias("t"))
+    own = h(uid, "g") % genres
+    genre = F.when(h(uid, "_", t, "p") % 4 < 3, own).otherwise(h(uid, "_", t, "q") % genres)
+    mid = (h(uid, "_", t, "m") % (items // genres)) * genres + genre
     return seq.select("uid", mid.cast("bigint").alias("mid"), F.when(genre == own, 4.0).otherwise(3.0).alias("rating"), (F.lit(1_700_000_000) + F.col("uid") * 1000 + F.col("t")).alias("ts"))
 
 

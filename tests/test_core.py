@@ -205,7 +205,7 @@ def test_all_pairs_and_ranks_are_kept(spark, monkeypatch):
     monkeypatch.setattr(relations, "behavior_v2", lambda *_: acts)
     got = sorted((r["rank"], r.iid, r.n) for r in registry.QUERIES["agg_popularity"](spark, "").collect())
     assert [r[0] for r in got] == list(range(1, 1201)) and got[0] == (1, "c0007", 2) and got[-1] == (1200, "c1199", 1)
-    rated = spark.createDataFrame([(1, i, i, 5, i, 1) for i in range(8)], "uid bigint, mid bigint, ts bigint, rating int, okey bigint, lno int")
+    rated = spark.createDataFrame([(u, i, i, 5, i, 1) for i in range(8) for u in (1, 2)], "uid bigint, mid bigint, ts bigint, rating int, okey bigint, lno int")
     monkeypatch.setattr(relations, "ratings", lambda *_: rated)
     pairs = {(a, b) for a in range(8) for b in range(8) if 0 < abs(a - b) <= 5}
     assert {(r.a, r.b) for r in registry.QUERIES["self_window_cooccur"](spark, "").collect()} == pairs
