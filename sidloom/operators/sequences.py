@@ -18,11 +18,12 @@ def ordered(df: DataFrame, user: str, by: list[str]) -> DataFrame:
     return df.withColumn("rn", F.row_number().over(w.orderBy(*by))).withColumn("n", F.count(F.lit(1)).over(w))
 
 
-def filter_ratings(df: DataFrame, least: int, min_items: int) -> DataFrame:
-    """Ratings of at least ``least``, without runs of one item, of users with ``min_items`` left."""
+def filter_ratings(df: DataFrame, least: int, min_items: int, max_users: int | None = None) -> DataFrame:
+    """Ratings of at least ``least``, without runs of one item, of users with ``min_items`` left; of these the first ``max_users`` by uid."""
     w = Window.partitionBy("uid").orderBy("ts", "okey", "lno", "mid")
     kept = df.where(F.col("rating") >= least).withColumn("prev", F.lag("mid").over(w)).where("prev IS NULL OR prev <> mid")
-    return kept.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("uid"))).where(F.col("n") >= min_items).drop("prev", "n")
+    kept = kept.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("uid"))).where(F.col("n") >= min_items).drop("prev", "n")
+    return kept if max_users is None else kept.join(kept.select("uid").distinct().orderBy("uid").limit(max_users), "uid", "left_semi")
 
 
 def train_prefixes_without_target(df: DataFrame, user: str, item: str) -> DataFrame:

@@ -6,11 +6,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import dot
 
 
 def effective_dim(df: DataFrame, vector: str) -> DataFrame:
-    """(dim, d90, d95, d99, participation): principal components for a share of the variance.
+    """(dim, d90, d95, d99, participation, top10): principal components for a share of the variance, and the share of the first ten.
 
     The second moments are summed where the rows are (D * D numbers a task);
     only that matrix, whose size is fixed by D, is decomposed on the driver.
@@ -30,7 +29,7 @@ def effective_dim(df: DataFrame, vector: str) -> DataFrame:
 
     got = df.select(F.col(vector).cast("array<double>").alias("v")).mapInArrow(moments, "i bigint, x double").groupBy("i").agg(F.sum("x").alias("x")).orderBy("i").toPandas()["x"].to_numpy()
     spark = df.sparkSession
-    schema = "dim int, d90 int, d95 int, d99 int, participation double"
+    schema = "dim int, d90 int, d95 int, d99 int, participation double, top10 double"
     if not len(got):
         return spark.createDataFrame([], schema)
     d = int(np.sqrt(len(got) + 1)) - 1
@@ -38,11 +37,5 @@ def effective_dim(df: DataFrame, vector: str) -> DataFrame:
     n, mean = m[d + 1, 0], m[d] / m[d + 1, 0]
     w = np.clip(np.linalg.eigvalsh(m[:d] / n - np.outer(mean, mean))[::-1], 0, None)
     share = np.cumsum(w) / w.sum()
-    row = (d, *[int(np.searchsorted(share, p) + 1) for p in (0.9, 0.95, 0.99)], float(w.sum() ** 2 / (w**2).sum()))
+    row = (d, *[int(np.searchsorted(share, p) + 1) for p in (0.9, 0.95, 0.99)], float(w.sum() ** 2 / (w**2).sum()), float(w[:10].sum() / w.sum()))
     return spark.createDataFrame([row], schema)
-
-
-def spread(df: DataFrame, vector: str) -> DataFrame:
-    """Mean and deviation of the vectors' lengths."""
-    n = F.sqrt(dot(F.col(vector), F.col(vector)))
-    return df.agg(F.avg(n).alias("mean"), F.stddev_samp(n).alias("std"))

@@ -64,10 +64,10 @@ def sort_length_bucket(spark, d):
     s = table(spark, d, "sequences").where("uid IS NOT NULL AND built_at IS NOT NULL AND size(tokens) > 0").select("uid", "built_at", "tokens").distinct()
     alone = F.count(F.lit(1)).over(Window.partitionBy("uid", "built_at"))
     s = s.withColumn("k", alone).where("k = 1").select("uid", "built_at", F.size("tokens").alias("length"))
-    return _numbered(s, ["length", "uid", "built_at"]).select("uid", "built_at", "length", F.floor(F.col("place") / 64).alias("batch"))
+    return numbered(s, ["length", "uid", "built_at"]).select("uid", "built_at", "length", F.floor(F.col("place") / 64).alias("batch"))
 
 
-def _numbered(df, by):
+def numbered(df, by):
     """With place, 0 for the first row in the order of ``by``; no task sorts all rows."""
     cut = scratch.keep(df.repartitionByRange(*by).withColumn("_p", F.spark_partition_id()), "ranges")
     skip = cut.groupBy("_p").agg(F.count(F.lit(1)).alias("c")).select("_p", (F.sum("c").over(Window.orderBy("_p")) - F.col("c")).alias("skip"))  # a row per partition
@@ -78,7 +78,7 @@ def _numbered(df, by):
 def shuffle_seeded(spark, d):
     """Batches of 256 in an order that a seed decides and no partitioning."""
     h = table(spark, d, "part").select("p_partkey", F.sha2(F.concat(F.col("p_partkey").cast("string"), F.lit("7")), 256).alias("h"))
-    return _numbered(h, ["h", "p_partkey"]).select("p_partkey", F.floor(F.col("place") / 256).alias("batch"))
+    return numbered(h, ["h", "p_partkey"]).select("p_partkey", F.floor(F.col("place") / 256).alias("batch"))
 
 
 @query(sql("SELECT count(*) AS items, count(DISTINCT sid) AS sids, max(n) AS largest FROM (SELECT sid, count(*) OVER (PARTITION BY sid) AS n FROM sid)", "sid"))

@@ -194,14 +194,6 @@ def _rf_pairs(spark, d, most):
     return p.select("uid", "iid", F.size("context").alias("n_context"), F.array_join("easy", ",").alias("easy"), F.array_join("hard", ",").alias("hard"))
 
 
-@query("SELECT uid, built_at, pos - 1 AS pos, sid, pos = 1 AS chosen FROM (SELECT uid, built_at, unnest(x) AS sid, generate_subscripts(x, 1) AS pos FROM (SELECT uid, built_at, [array_to_string(tokens[1:3], '_'), array_to_string(tokens[4:6], '_'), array_to_string(tokens[7:9], '_')] AS x FROM sequences WHERE len(tokens) >= 9))")
-def pref_flatten(spark, d):
-    t = F.col("tokens")
-    x = F.concat(F.array(scalars.sid_format(F.slice(t, 1, 3))), F.array(scalars.sid_format(F.slice(t, 4, 3)), scalars.sid_format(F.slice(t, 7, 3))))
-    s = table(spark, d, "sequences").where(F.size(t) >= 9).select("uid", "built_at", F.posexplode(x).alias("pos", "sid"))
-    return s.select("uid", "built_at", F.col("pos").cast("bigint").alias("pos"), "sid", (F.col("pos") == 0).alias("chosen"))
-
-
 @query(sql("SELECT t, EXISTS (SELECT 1 FROM sid WHERE sid.sid = t) AS legal FROM (SELECT DISTINCT array_to_string(tokens[1:3], '_') AS t FROM sequences WHERE len(tokens) >= 3)", "sid"))
 def rw_format(spark, d):
     t = table(spark, d, "sequences").where("size(tokens) >= 3").select(scalars.sid_format(F.slice("tokens", 1, 3)).alias("sid")).distinct()
@@ -500,10 +492,20 @@ def loss_entp(spark, d):
     return table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("f")).agg(F.round(-F.avg(F.log(1 - F.col("l_discount"))), 6).alias("loss"))
 
 
-@query("SELECT round(sum(acc * n) / sum(n), 6) AS weighted, round(avg(acc), 6) AS of_batches FROM (SELECT l_suppkey, avg(CASE WHEN l_quantity > 25 THEN 1.0 ELSE 0.0 END) AS acc, count(*) AS n FROM lineitem GROUP BY 1)")
+@query(
+    sql(
+        "SELECT round(avg(c), 5) AS chosen, round(avg(m), 5) AS rejected, round(avg(d), 5) AS margin, round(avg(w), 5) AS accuracy, round(sum(d * n) / sum(n), 5) AS margin_weighted, count(*) AS batches FROM (SELECT g // 640 AS batch, avg(c) AS c, avg(mean) AS m, avg(c - mean) AS d, avg(CASE WHEN c > most THEN 1.0::DOUBLE ELSE 0.0 END) AS w, count(*) AS n FROM l GROUP BY 1)",
+        r=_GR,
+        l="SELECT a.g, any_value(a.policy_lp - a.ref_lp) AS c, avg(b.policy_lp - b.ref_lp) AS mean, max(b.policy_lp - b.ref_lp) AS most FROM r a JOIN r b ON a.g = b.g AND a.pos = 1 AND b.pos > 1 GROUP BY a.g",
+    )
+)
 def align_eval(spark, d):
-    b = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.avg(F.when(F.col("l_quantity") > 25, 1.0).otherwise(0.0)).alias("acc"), F.count(F.lit(1)).alias("n"))
-    return b.agg(F.round(F.sum(F.col("acc") * F.col("n")) / F.sum("n"), 6).alias("weighted"), F.round(F.avg("acc"), 6).alias("of_batches"))
+    """Rewards, margin and accuracy as means of batch means, as they are reported, and the margin weighted by batch size."""
+    got = losses.softmax_dpo(scored(spark, d).withColumn("chosen", F.col("pos") == 1), 0.1).where("loss IS NOT NULL").withColumn("batch", F.floor(F.col("g") / 640))
+    b = got.groupBy("batch").agg(F.avg("chosen_reward").alias("c"), F.avg("rejected_reward").alias("m"), F.avg(F.col("chosen_reward") - F.col("rejected_reward")).alias("d"), F.avg(F.col("win").cast("double")).alias("w"), F.count(F.lit(1)).alias("n"))
+    return b.agg(
+        F.round(F.avg("c"), 5).alias("chosen"), F.round(F.avg("m"), 5).alias("rejected"), F.round(F.avg("d"), 5).alias("margin"), F.round(F.avg("w"), 5).alias("accuracy"), F.round(F.sum(F.col("d") * F.col("n")) / F.sum("n"), 5).alias("margin_weighted"), F.count(F.lit(1)).alias("batches")
+    )
 
 
 # --- user functions, streaming ----------------------------------------------

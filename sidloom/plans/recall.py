@@ -162,6 +162,25 @@ def pref_sp_pairs(spark, d):
     return prefs.candidate_pairs(_candidates(spark, d)).select("q", "sid", "bucket")
 
 
+@query(
+    sql(
+        "SELECT q, sid, chosen, pos, place FROM (SELECT q, sid, chosen, row_number() OVER (PARTITION BY q ORDER BY o, rank) - 1 AS pos, row_number() OVER (ORDER BY q, o, rank) - 1 AS place FROM (SELECT q, ta || '_' || tb || '_' || tc AS sid, true AS chosen, 0 AS o, 0 AS rank FROM q WHERE q IN (SELECT q FROM j) UNION ALL SELECT q, path, false, 1 + depth, rank FROM j))",
+        "sid",
+        **_BEAM,
+        j="SELECT * FROM beam WHERE depth IN (1, 2) QUALIFY row_number() OVER (PARTITION BY q, depth ORDER BY rank) <= 3",
+    )
+)
+def pref_flatten(spark, d):
+    """Packed training rows of the medium and hard pairs: the chosen SID, then the rejected; place is the row's offset in all."""
+    from .extras import numbered
+
+    pairs = prefs.candidate_pairs(_candidates(spark, d)).where("bucket IN ('medium', 'hard')")
+    rejected = pairs.select("q", "sid", F.lit(False).alias("chosen"), (F.col("depth") + 1).alias("o"), "rank")
+    chosen = pairs.select("q", F.concat_ws("_", "ta", "tb", "tc").alias("sid"), F.lit(True).alias("chosen"), F.lit(0).alias("o"), F.lit(0).alias("rank")).distinct()
+    rows = numbered(chosen.unionByName(rejected), ["q", "o", "rank"])
+    return rows.select("q", "sid", "chosen", (F.row_number().over(Window.partitionBy("q").orderBy("place")) - 1).cast("bigint").alias("pos"), "place")
+
+
 def _renamed(k: int) -> dict[str, str]:
     """The CTEs of a beam whose first k codes are the target's."""
     where = " AND ".join(f"{c} = t{c}" for c in "abc"[:k])

@@ -412,12 +412,22 @@ def agg_status_summary(spark, d):
     return p.select("day", *[F.coalesce(x, F.lit(0)).alias(x.lower()) for x in "ANR"])
 
 
-@query("WITH m AS (SELECT p_brand FROM part GROUP BY 1 ORDER BY count(*) DESC, p_brand LIMIT 1) SELECT p_size, count(*) AS n, round(avg(p_retailprice), 4) AS price FROM part WHERE p_brand = (SELECT p_brand FROM m) GROUP BY p_size")
+_GRID = ("p_brand", "p_size", "p_type")
+_MODES = ", ".join(f"(SELECT {c} FROM part GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1) AS m_{c}" for c in _GRID)
+
+
+@query(f"WITH m AS (SELECT {_MODES}) " + " UNION ALL ".join(f"SELECT '{c}' AS vary, {c}::VARCHAR AS value, count(*) AS n, round(avg(p_retailprice), 4) AS price FROM part, m WHERE " + " AND ".join(f"{o} = m_{o}" for o in _GRID if o != c) + f" GROUP BY {c}" for c in _GRID))
 def agg_grid_mode(spark, d):
-    """The slice of a grid where another parameter has its most frequent value."""
-    p = table(spark, d, "part")
-    mode = p.groupBy("p_brand").agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("c"), "p_brand").limit(1).select("p_brand")
-    return p.join(F.broadcast(mode), "p_brand", "left_semi").groupBy("p_size").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("p_retailprice"), 4).alias("price"))
+    """For each parameter of a grid, its values where all other parameters have their most frequent value."""
+    p, out = table(spark, d, "part"), None
+    mode = {c: p.groupBy(c).agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("k"), c).limit(1).select(c) for c in _GRID}
+    for c in _GRID:
+        at = p
+        for o in _GRID:
+            at = at.join(F.broadcast(mode[o]), o, "left_semi") if o != c else at
+        one = at.groupBy(F.col(c).cast("string").alias("value")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("p_retailprice"), 4).alias("price")).select(F.lit(c).alias("vary"), "value", "n", "price")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query("SELECT l_returnflag AS g, round(regr_slope(ln(l_extendedprice), ln(l_quantity)), 6) AS slope, round(regr_intercept(ln(l_extendedprice), ln(l_quantity)), 6) AS intercept FROM lineitem WHERE l_quantity > 0 AND l_extendedprice > 0 GROUP BY 1")
@@ -497,11 +507,17 @@ def agg_run_history(spark, d):
     return table(spark, d, "sequences").dropna(subset=["uid", "tokens", "eval_cids", "split_pos", "built_at"]).where(F.size("tokens") >= 30).select("uid", "split_pos", "built_at")
 
 
-@query("SELECT uid, built_at, len(tokens)::INT AS n FROM sequences WHERE uid IS NOT NULL AND tokens IS NOT NULL QUALIFY row_number() OVER (PARTITION BY uid ORDER BY built_at DESC NULLS LAST, len(tokens) DESC) = 1")
+@query("SELECT p_brand || '|' || p_size AS config, max(p_partkey) AS run, arg_max(p_retailprice, p_partkey) FILTER (p_partkey % 2 = 0) AS result, count(*) - 1 AS replaced FROM part GROUP BY 1")
 def agg_registry_upsert(spark, d):
-    """The latest version of each key."""
-    s = table(spark, d, "sequences").where("uid IS NOT NULL AND tokens IS NOT NULL").select("uid", "built_at", F.size("tokens").alias("n"))
-    return s.groupBy("uid").agg(F.max(F.struct("built_at", "n")).alias("v")).select("uid", "v.built_at", "v.n")
+    """Registrations by configuration: the last one stays, with the last result that was reported, and how many it replaced."""
+    p = table(spark, d, "part").select(F.concat_ws("|", "p_brand", "p_size").alias("config"), F.col("p_partkey").alias("run"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_retailprice")).alias("result"))
+    return registered(p)
+
+
+def registered(runs):
+    """(config, run, result, replaced) of rows (config, run, result): insert or replace; a missing result doesn't undo an older one."""
+    last = F.max_by("result", F.when(F.col("result").isNotNull(), F.col("run"))).alias("result")
+    return runs.groupBy("config").agg(F.max("run").alias("run"), last, (F.count(F.lit(1)) - 1).alias("replaced"))
 
 
 # --- windows -----------------------------------------------------------------

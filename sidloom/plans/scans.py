@@ -135,10 +135,11 @@ def scan_cached_ids(spark, d):
     return e.where("vec_id % 3 = 0").select("vec_id").union(e.where("vec_id % 2 = 0").select("vec_id")).distinct()
 
 
-@query("SELECT * FROM (VALUES ('dim', '64'), ('layers', '3'), ('lr', '0.1'), ('name', 'child')) t(key, value)")
+@query("SELECT * FROM (VALUES ('wide', 'dim', '128'), ('wide', 'layers', '3'), ('wide', 'lr', '0.2'), ('deep', 'dim', '64'), ('deep', 'layers', '4'), ('deep', 'lr', '0.2')) t(name, key, value)")
 def scan_config_yaml(spark, d):
-    """A child config over its base: the child's keys win."""
-    return readers.overlay_config(spark, {"dim": 32, "layers": 3, "lr": 0.1, "name": "base"}, {"dim": 64, "name": "child"})
+    """Variants of a configuration: the base, what the variants share, and each one's own keys; later ones win."""
+    found = readers.resolve_variants({"dim": 32, "layers": 3, "lr": 0.1}, {"base": "_base.yaml", "description": "x", "dim": 64, "lr": 0.2, "variants": [{"name": "wide", "dim": 128}, {"name": "deep", "layers": 4}]}, "file")
+    return spark.createDataFrame([(n, k, str(v)) for n, c in found for k, v in c.items()], "name string, key string, value string")
 
 
 @query("SELECT 'run' || i AS run, 1000000 * i AS total_tokens, 20.0::DOUBLE - i AS ppl, 4::BIGINT AS last_step, 5.6::DOUBLE AS last_loss FROM (SELECT unnest([1, 2, 3])::BIGINT AS i)")
@@ -146,11 +147,14 @@ def scan_runs(spark, d):
     return readers.read_runs(spark, readers.write_sample_runs(spark))
 
 
-@query("SELECT DISTINCT p.content_id, CASE WHEN full_text IS NULL OR full_text = '' THEN content_id ELSE concat(content_id, chr(10), substring(full_text, 1, 4096)) END AS full_text FROM pinned_content p WHERE content_language IN ('en', 'de') AND create_date >= DATE '2025-01-01'")
+@query(r"""SELECT DISTINCT p.content_id, CASE WHEN full_text IS NULL OR full_text = '' THEN p.content_id ELSE concat(p.content_id, chr(10), substring(full_text, 1, 4096)) END AS full_text, coalesce(nullif(content_language, ''), 'und') AS lang
+ FROM pinned_content p JOIN (SELECT DISTINCT lower(trim(iid, E' \t\r\n')) AS iid FROM behavior_v2) e ON e.iid = p.content_id WHERE coalesce(nullif(content_language, ''), 'und') IN ('en', 'de', 'und') AND create_date >= DATE '2025-01-01'""")
 def hive_sql_scan(spark, d):
+    """The export of exposed content as one SQL statement."""
     table(spark, d, "pinned_content").createOrReplaceTempView("pinned_content")
-    return spark.sql("""SELECT DISTINCT content_id, IF(full_text IS NULL OR full_text = '', content_id, CONCAT(content_id, '\n', SUBSTRING(full_text, 1, 4096))) AS full_text
-        FROM pinned_content WHERE content_language IN ('en', 'de') AND create_date >= DATE '2025-01-01'""")
+    table(spark, d, "behavior_v2").select(item_key("iid").alias("iid")).createOrReplaceTempView("exposed")
+    return spark.sql("""SELECT DISTINCT p.content_id, IF(full_text IS NULL OR full_text = '', p.content_id, CONCAT(p.content_id, '\n', SUBSTRING(full_text, 1, 4096))) AS full_text, COALESCE(NULLIF(content_language, ''), 'und') AS lang
+        FROM pinned_content p INNER JOIN (SELECT DISTINCT iid FROM exposed) e ON e.iid = p.content_id WHERE COALESCE(NULLIF(content_language, ''), 'und') IN ('en', 'de', 'und') AND create_date >= DATE '2025-01-01'""")
 
 
 @query("SELECT count(*) AS n, count(DISTINCT l_orderkey) AS orders, round(sum(l_quantity), 2) AS qty FROM lineitem")
@@ -241,7 +245,7 @@ def filter_exposed(spark, d):
 
 @query(
     sql(
-        "SELECT uid, mid, ts, okey, lno FROM k QUALIFY count(*) OVER (PARTITION BY uid) >= 5 AND dense_rank() OVER (ORDER BY uid) <= 1000000",
+        "SELECT * FROM (SELECT uid, mid, ts, okey, lno FROM k QUALIFY count(*) OVER (PARTITION BY uid) >= 5) QUALIFY dense_rank() OVER (ORDER BY uid) <= 2000",
         "ratings",
         r="SELECT *, lag(mid) OVER (PARTITION BY uid ORDER BY ts, okey, lno, mid) AS prev FROM ratings WHERE rating >= 4",
         k="SELECT * FROM r WHERE prev IS NULL OR prev <> mid",
@@ -250,7 +254,7 @@ def filter_exposed(spark, d):
 def filter_ratings(spark, d):
     from ..operators.sequences import filter_ratings as run
 
-    return run(ratings(spark, d), 4, 5).select("uid", "mid", "ts", "okey", "lno")
+    return run(ratings(spark, d), 4, 5, 2000).select("uid", "mid", "ts", "okey", "lno")
 
 
 @query(sql("SELECT iid, count(DISTINCT uid) AS users FROM beh WHERE action_bitmap > 0 GROUP BY iid HAVING count(DISTINCT uid) >= 5", "beh"))

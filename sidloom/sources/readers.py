@@ -69,8 +69,27 @@ def merge_by_priority(parts: list[DataFrame], key: str) -> DataFrame:
     return all_rows.withColumn("_rn", F.row_number().over(best)).where("_rn = 1").drop("_rn")
 
 
-def overlay_config(spark: SparkSession, base: dict, child: dict) -> DataFrame:
-    return spark.createDataFrame([(k, str(v)) for k, v in {**base, **child}.items()], "key string, value string")
+#: Keys of a configuration file that describe it and are no settings (fixed values).
+META_KEYS = ("base", "name", "description", "variants")
+
+
+def read_config(path: str) -> dict:
+    """A YAML file, or JSON where no YAML reader is installed."""
+    with open(path, encoding="utf-8") as f:
+        text = f.read()
+    try:
+        import yaml
+    except ImportError:
+        return json.loads(text)
+    return yaml.safe_load(text) or {}
+
+
+def resolve_variants(base: dict, raw: dict, stem: str) -> list[tuple[str, dict]]:
+    """(name, settings) of every variant of a configuration, or of the one that it is."""
+    shared = {k: v for k, v in raw.items() if k not in META_KEYS}
+    if not raw.get("variants"):
+        return [(raw.get("name") or stem, {**base, **shared})]
+    return [(v["name"], {**base, **shared, **{k: x for k, x in v.items() if k != "name"}}) for v in raw["variants"]]
 
 
 def write_sample_runs(spark: SparkSession) -> str:

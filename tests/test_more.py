@@ -148,3 +148,50 @@ def test_days_and_archives(spark, tmp_path):
     df = spark.createDataFrame([(bytearray(packed.getvalue()),)], "content binary")
     assert [tuple(r) for r in readers.read_zip_csv(df, "x.csv", "id int, t string").collect()] == [(1, "a, b")]
     assert readers.read_zip_csv(df, "y.csv", "id int").count() == 0
+
+
+def test_late_rows_are_dropped(spark, tmp_path):
+    """A row behind the watermark of an earlier batch is in no session."""
+    from sidloom.streaming import jobs
+
+    src, out = f"{tmp_path}/src", f"{tmp_path}/out"
+    rows = [[(1, "2025-01-01 00:00:00"), (1, "2025-01-01 01:00:00"), (2, "2025-01-05 00:00:00")], [(1, "2025-01-01 02:00:00"), (2, "2025-01-05 01:00:00")], [(9, "2025-02-01 00:00:00")]]
+    for part in rows:
+        df = spark.createDataFrame(part, "user_id bigint, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+        df.coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(df.schema).parquet(src)
+        q = jobs.sessions(stream, "12 hours", "1 hour").writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{tmp_path}/state").option("path", out).trigger(availableNow=True).start()
+        q.awaitTermination()
+    got = {(r.user_id, str(r.start), r.n) for r in spark.read.parquet(out).collect()}
+    assert got == {(1, "2025-01-01 00:00:00", 2), (2, "2025-01-05 00:00:00", 2)}
+
+
+def test_ratings_of_the_first_users(spark):
+    rows = [(u, i, i, 5, i, 1) for u in (3, 1, 2) for i in range(4)] + [(1, 3, 9, 5, 9, 1), (4, 1, 1, 5, 1, 1)]
+    df = spark.createDataFrame(rows, "uid int, mid int, ts int, rating int, okey int, lno int")
+    got = seq.filter_ratings(df, 4, 2, 2)
+    assert sorted({r.uid for r in got.collect()}) == [1, 2] and got.count() == 8 and seq.filter_ratings(df, 4, 2).count() == 12
+
+
+def test_variants_of_a_configuration(tmp_path):
+    base = {"a": 1, "b": 2}
+    assert readers.resolve_variants(base, {"base": "x", "b": 3}, "stem") == [("stem", {"a": 1, "b": 3})]
+    assert readers.resolve_variants(base, {"name": "n", "variants": [{"name": "v", "c": 4}]}, "stem") == [("v", {"a": 1, "b": 2, "c": 4})]
+    (tmp_path / "c.json").write_text('{"a": [1, 2]}')
+    assert readers.read_config(str(tmp_path / "c.json")) == {"a": [1, 2]}
+
+
+def test_images_have_a_status_each(spark):
+    from sidloom.operators.rewards import HttpError, fetch_images
+
+    def fetch(url):
+        if url == "slow":
+            raise TimeoutError
+        if url == "gone":
+            raise HttpError(410)
+        return {"none": b"", "big": b"x" * 9}.get(url, b"abc") if url != "odd" else 1 / 0
+
+    df = spark.createDataFrame([(u,) for u in ("ok", "slow", "gone", "none", "big", "odd", "", None)], "image string")
+    got = {r.image: (r.status, r.size_bytes, r.path is not None) for r in fetch_images(df, "image", "p", fetch, lambda path: None, lambda path, body: None, 5).collect()}
+    assert got == {"ok": ("ok", 3, True), "slow": ("timeout", None, False), "gone": ("http_410", None, False), "none": ("empty_body", 0, False), "big": ("too_large", 9, False), "odd": ("error_ZeroDivisionError", None, False), "": ("empty", None, False), None: ("empty", None, False)}
+    assert {r.status for r in fetch_images(df.limit(1), "image", "p", fetch, lambda path: 5, lambda path, body: None, 5).collect()} == {"cached"}
