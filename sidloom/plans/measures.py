@@ -143,7 +143,7 @@ def m_neighbor_coverage(spark, d):
 
 @query(
     sql(
-        """SELECT (SELECT count(*) FROM i) AS items, count(*) AS pairs, count(*) FILTER (t > 0) AS co_pairs, CASE WHEN (SELECT count(*) FROM i) >= 100 THEN round(corr(ra, rt), 6) END AS spearman FROM k""",
+        """SELECT (SELECT count(*) FROM i) AS items, count(*) AS pairs, CASE WHEN (SELECT count(*) FROM i) >= 100 THEN count(*) FILTER (t > 0) END AS co_pairs, CASE WHEN (SELECT count(*) FROM i) >= 100 THEN round(corr(ra, rt), 6) END AS spearman FROM k""",
         "b2",
         e="""SELECT iid, v FROM (SELECT lower(trim(content_id, E' \\t\\r\\n')) AS iid, embedding::DOUBLE[] AS v, encoded_at FROM results WHERE content_id IS NOT NULL AND len(embedding) = 128)
  WHERE iid <> '' AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0 QUALIFY row_number() OVER (PARTITION BY iid ORDER BY encoded_at DESC NULLS LAST) = 1""",
