@@ -209,25 +209,33 @@ def m_embedding_hit_rate(spark, d):
     return long.groupBy("k").agg(F.round(F.avg(F.col("hits") / F.col("nn")), 6).alias("hit_rate"), F.count(F.lit(1)).alias("items"))
 
 
-_EVAL = [("m1", "collision", 0.01, "excellent"), ("m1", "entropy", 0.9, "good"), ("m2", "collision", 0.03, "good"), ("m2", "entropy", 0.95, "excellent"), ("m3", "collision", 0.2, "poor"), ("m3", "entropy", 0.5, "acceptable")]
-_EVAL_SQL = "SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', {c}::DOUBLE, '{e}')" for a, b, c, e in _EVAL) + ") t(model, metric, value, status)"
+_EVAL_SQL = """SELECT model, metric, value, CASE WHEN metric = 'collision' THEN CASE WHEN value <= 0.05 THEN 'excellent' WHEN value <= 0.15 THEN 'good' WHEN value <= 0.3 THEN 'acceptable' ELSE 'poor' END
+ ELSE CASE WHEN value >= 0.9 THEN 'excellent' WHEN value >= 0.8 THEN 'good' WHEN value >= 0.7 THEN 'acceptable' ELSE 'poor' END END AS status FROM (
+ SELECT 'depth' || depth AS model, 'collision' AS metric, round(1 - count(*) / sum(n)::DOUBLE, 6) AS value FROM pc GROUP BY depth
+ UNION ALL SELECT 'depth' || depth, 'entropy', round(-sum(n / t::DOUBLE * log2(n / t::DOUBLE)) / log2(any_value(t)), 6) FROM (SELECT *, sum(n) OVER (PARTITION BY depth) AS t FROM pc) GROUP BY depth)"""
 
 
-def evals(spark):
-    return spark.createDataFrame(_EVAL, "model string, metric string, value double, status string")
+def evals(spark, d):
+    """(model, metric, value, status): SIDs cut to one, two and three codes, compared by collision and entropy."""
+    n = m.prefix_counts(sids(spark, d))
+    total = n.groupBy("depth").agg(F.sum("n").alias("t"))  # three rows
+    p = F.col("n") / F.col("t")
+    g = n.join(F.broadcast(total), "depth").groupBy("depth").agg(F.round(1 - F.count(F.lit(1)) / F.sum("n"), 6).alias("collision"), F.round(-F.sum(p * F.log2(p)) / F.log2(F.first("t")), 6).alias("entropy"))
+    rows = F.inline(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("value"), scalars.quality_status(F.col(c), steps, low).alias("status")) for c, steps, low in (("collision", [0.05, 0.15, 0.3], True), ("entropy", [0.9, 0.8, 0.7], False))]))
+    return g.select(F.concat(F.lit("depth"), F.col("depth").cast("string")).alias("model"), rows)
 
 
-@query(sql("SELECT model, max(value) FILTER (metric = 'collision') AS collision, max(value) FILTER (metric = 'entropy') AS entropy, sum(CASE status WHEN 'excellent' THEN 3 WHEN 'good' THEN 2 WHEN 'acceptable' THEN 1 ELSE 0 END)::BIGINT AS score FROM e GROUP BY model", e=_EVAL_SQL))
+@query(sql("SELECT model, max(value) FILTER (metric = 'collision') AS collision, max(value) FILTER (metric = 'entropy') AS entropy, sum(CASE status WHEN 'excellent' THEN 3 WHEN 'good' THEN 2 WHEN 'acceptable' THEN 1 ELSE 0 END)::BIGINT AS score FROM e GROUP BY model", "sid", pc=_PC, e=_EVAL_SQL))
 def m_compare_table(spark, d):
     points = F.when(F.col("status") == "excellent", 3).when(F.col("status") == "good", 2).when(F.col("status") == "acceptable", 1).otherwise(0)
-    e = evals(spark)
+    e = evals(spark, d)
     return e.groupBy("model").pivot("metric", ["collision", "entropy"]).agg(F.max("value")).join(e.groupBy("model").agg(F.sum(points).alias("score")), "model")
 
 
-@query(sql("SELECT metric, CASE WHEN regexp_matches(metric, 'utilization|entropy|dimension|similarity') THEN arg_max(model, value) ELSE arg_min(model, value) END AS best FROM e GROUP BY metric", e=_EVAL_SQL))
+@query(sql("SELECT metric, CASE WHEN regexp_matches(metric, 'utilization|entropy|dimension|similarity') THEN arg_max(model, value) ELSE arg_min(model, value) END AS best FROM e GROUP BY metric", "sid", pc=_PC, e=_EVAL_SQL))
 def m_compare_best(spark, d):
     up = F.col("metric").rlike("utilization|entropy|dimension|similarity")
-    g = evals(spark).groupBy("metric").agg(F.max_by("model", "value").alias("hi"), F.min_by("model", "value").alias("lo"))
+    g = evals(spark, d).groupBy("metric").agg(F.max_by("model", "value").alias("hi"), F.min_by("model", "value").alias("lo"))
     return g.select("metric", F.when(up, F.col("hi")).otherwise(F.col("lo")).alias("best"))
 
 
@@ -267,14 +275,14 @@ def m_eval_fallbacks(spark, d):
 
 
 
-@query(sql("SELECT model, score, rank() OVER (ORDER BY score DESC)::INT AS place FROM (SELECT model, sum(CASE status WHEN 'excellent' THEN 3 WHEN 'good' THEN 2 WHEN 'acceptable' THEN 1 ELSE 0 END)::BIGINT AS score FROM e GROUP BY model)", e=_EVAL_SQL))
+@query(sql("SELECT model, score, rank() OVER (ORDER BY score DESC)::INT AS place FROM (SELECT model, sum(CASE status WHEN 'excellent' THEN 3 WHEN 'good' THEN 2 WHEN 'acceptable' THEN 1 ELSE 0 END)::BIGINT AS score FROM e GROUP BY model)", "sid", pc=_PC, e=_EVAL_SQL))
 def m_compare_ranking(spark, d):
     points = F.when(F.col("status") == "excellent", 3).when(F.col("status") == "good", 2).when(F.col("status") == "acceptable", 1).otherwise(0)
-    s = evals(spark).groupBy("model").agg(F.sum(points).alias("score"))  # a row per model
+    s = evals(spark, d).groupBy("model").agg(F.sum(points).alias("score"))  # a row per model
     return s.withColumn("place", F.rank().over(Window.orderBy(F.desc("score"))))
 
 
-@query(sql("SELECT metric, count(*) AS n, string_agg(model, ',' ORDER BY model) AS models FROM e GROUP BY metric", e=_EVAL_SQL))
+@query(sql("SELECT metric, count(*) AS n, string_agg(model, ',' ORDER BY model) AS models FROM e GROUP BY metric", "sid", pc=_PC, e=_EVAL_SQL))
 def sink_reports(spark, d):
     """A report written as JSON and CSV and read again."""
     import uuid
@@ -282,8 +290,9 @@ def sink_reports(spark, d):
     from .. import scratch
 
     at = f"{scratch.folder(spark)}/report-{uuid.uuid4().hex}"
-    evals(spark).write.json(f"{at}/json")
-    evals(spark).write.option("header", True).csv(f"{at}/csv")
+    report = evals(spark, d)
+    report.write.json(f"{at}/json")
+    report.write.option("header", True).csv(f"{at}/csv")
     j = spark.read.schema("model string, metric string, value double, status string").json(f"{at}/json")
     c = spark.read.schema("model string, metric string, value double, status string").option("header", True).csv(f"{at}/csv")
     both = j.intersect(c)

@@ -482,9 +482,10 @@ def loss_infonce(spark, d):
     return g.agg(F.round((F.avg(F.col("la") - F.col("s")) + F.avg(F.col("lb") - F.col("s"))) / 2, 5).alias("loss"), F.count(F.lit(1)).alias("n"))
 
 
-@query(sql("SELECT g, round(sum(policy_lp), 5) AS lp FROM r WHERE pos <= 3 GROUP BY g", r=_GR))
+@query(sql("SELECT g, (pos - 1) // 3 AS item, round(sum(policy_lp), 5) AS lp, count(*) AS codes FROM r GROUP BY ALL", r=_GR))
 def loss_sid_logprob(spark, d):
-    return scored(spark, d).where("pos <= 3").groupBy("g").agg(F.round(F.sum("policy_lp"), 5).alias("lp"))
+    """The log-probability of each SID: the sum over its three positions; a rest of fewer stands by itself."""
+    return scored(spark, d).groupBy("g", F.floor((F.col("pos") - 1) / 3).alias("item")).agg(F.round(F.sum("policy_lp"), 5).alias("lp"), F.count(F.lit(1)).alias("codes"))
 
 
 @query("SELECT l_returnflag AS f, round(-avg(ln(1 - l_discount)), 6) AS loss FROM lineitem GROUP BY 1")
