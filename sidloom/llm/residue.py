@@ -25,7 +25,6 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +36,7 @@ from .. import scratch
 #: Positions of a template that are told apart; what follows the last is one slot.
 DEPTH = 12
 #: Leaves that a task gathers before it hands them on.
-HELD = 200_000
+HELD = 100_000
 #: Most labelled templates (of either label) that the model is fitted on, taken by hash; fewest of either that it needs.
 SAMPLE, ENOUGH = 20_000, 30
 #: Hashed features, passes and strength of regularisation of the model; chance from which a template is residue.
@@ -59,7 +58,7 @@ PLACEHOLDER = r"(?=[{\[(<%$#@!&~^|*=+:«_])(?:" + "|".join(
         # a sigil before brackets: ${x}, #{x}, %{x}, @{x}, $(x), %(x)s, ${{x}}
         rf"[$#%@!&~]\{{\s*[A-Za-z][\w. ]*\s*\}}|[$#@]\(\s*[A-Za-z][\w.]*\s*\)|%\([A-Za-z]\w*\)[sdfr]",
         # the same sign on both sides of a name in capitals: %%X%%, @@x@@, ##X##, __X__, ~~X~~, $X$, %X%, |*X*|, *|X|*
-        rf"%%[A-Za-z][\w.]*%%|@@[A-Za-z][\w.]*@@|##{_CAPS}##|\$\$[A-Za-z]\w*\$\$|~~{_CAPS}~~|\^\^[A-Za-z]\w*\^\^|!!{_CAPS}!!|\|\|{_CAPS}\|\||=={_CAPS}==|\+\+{_CAPS}\+\+|::{_CAPS}::",
+        rf"%%[A-Za-z][\w.]*%%|@@[A-Za-z][\w.]*@@|##{_CAPS}##|\$\${_CAPS}\$\$|~~{_CAPS}~~|\^\^[A-Za-z]\w*\^\^|!!{_CAPS}!!|\|\|{_CAPS}\|\||=={_CAPS}==|\+\+{_CAPS}\+\+|::{_CAPS}::",
         rf"(?<![A-Za-z0-9_])__{_CAPS}__(?![A-Za-z0-9_])|%{_CAPS}%|\${_CAPS}\$|(?<![\w#])#{_CAPS}#(?!\w)|(?<![\w@])@{_CAPS}@(?!\w)|\^{_CAPS}\^",
         r"\*\|[A-Za-z][\w:.]*\|\*|\|\*[A-Za-z][\w:.]*\*\|",
         # words of a form: [INSERT NAME], [NAME HERE], [Your name], <YOUR_NAME>, <insert name>, «Name», YOUR_NAME_HERE
@@ -69,14 +68,16 @@ PLACEHOLDER = r"(?=[{\[(<%$#@!&~^|*=+:«_])(?:" + "|".join(
         # format strings: {name}, {0}, %s
         r"(?<![\w$#%{])\{[a-z][a-z_]*(?:\.[a-z_]+)*\}(?!\})|(?<![\w$#%{])\{\d\}(?!\})|(?<=\s)%[sd](?=[\s.,;:!?]|$)",
     ]
-) + r")|\b(?:INSERT|YOUR|ENTER)(?:_[A-Z]+)+_HERE\b|\b[A-Z]+_PLACEHOLDER\b|\bPLACEHOLDER_[A-Z]+\b|\b(?:REPLACE|CHANGE)_ME\b"
+) + r")"
+#: Placeholders that are words; looked for only in texts that hold one of PLACEHOLDER_ENDS.
+PLACEHOLDER_WORDS = r"\b(?:INSERT|YOUR|ENTER)(?:_[A-Z]+)+_HERE\b|\b[A-Z]+_PLACEHOLDER\b|\bPLACEHOLDER_[A-Z]+\b|\b(?:REPLACE|CHANGE)_ME\b"
+PLACEHOLDER_ENDS = ("_HERE", "PLACEHOLDER", "_ME")
 _FENCE = r"(?sm)^[ \t]*(```|~~~).*?^[ \t]*\1[ \t]*$"
 _CODE = r"(?si)``[^\n]*?``|`[^`\n]*`|<code\b.*?</code>|<pre\b.*?</pre>"
 _QUOTE = r"\"[^\"\n]+\"|“[^”\n]+”|„[^“”\n]+[“”]|「[^」\n]+」"
 _TAGS = r"(?si)<(?:script|style)\b.*?</(?:script|style)\s*>|<!--.*?-->|</?[a-z!][^<>\n]*>"
-_ENDS = r"(?<=[.!?…])[\"'”)]?\s+(?=\S)|(?<=[。！？])(?!$)"
+_ENDS = r"([.!?…][\"'”)]?)\s+|([。！？])"
 _NUMBER = r"\b(?=[0-9a-fA-F])(?=[a-fA-F]*\d)[0-9a-fA-F]{5,}\b|\d+(?:[.,]\d+)*"
-_BLANKS = " \t\r\n\x0b\x0c 　"
 
 # --- seeds: common wordings of error pages, notices and filler, over messages in lower case ----------
 # A rule is tried only where one of its words stands in the message (one Aho-Corasick scan finds all words).
@@ -197,17 +198,18 @@ def read_messages(docs: DataFrame, key: str, text: str) -> DataFrame:
     """
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
     t = F.col("t")
-    size = lambda c: F.length(reduce(lambda x, blank: F.replace(x, F.lit(blank), F.lit("")), _BLANKS, c))
+    held = lambda c: c.rlike(PLACEHOLDER) | ((c.contains(PLACEHOLDER_ENDS[0]) | c.contains(PLACEHOLDER_ENDS[1]) | c.contains(PLACEHOLDER_ENDS[2])) & c.rlike(PLACEHOLDER_WORDS))
+    size = lambda c: F.length(F.replace(c, F.lit(" "), F.lit("")))
     rows = rows.select("k", F.coalesce(t, F.lit("")).alias("t"))
     fenced = t.contains("```") | t.contains("~~~")
     rows = rows.select("k", "t", F.when(fenced, F.regexp_replace(t, _FENCE, "\n")).otherwise(t).alias("b"))
     b = F.col("b")
-    rows = rows.select("k", F.when(fenced, size(t) - size(b)).otherwise(0).alias("code"), F.when(b.rlike("`|<(?i:code|pre)"), F.regexp_replace(b, _CODE, " ⟨code⟩ ")).otherwise(b).alias("b"))
-    rows = rows.select("k", "code", F.regexp_replace("b", _QUOTE, " ").rlike(PLACEHOLDER).alias("slot"), F.when(b.contains("<"), F.regexp_replace(b, _TAGS, "\n")).otherwise(b).alias("b"))
+    rows = rows.select("k", F.when(fenced, size(F.replace(t, F.lit("\n"), F.lit(""))) - size(F.replace(b, F.lit("\n"), F.lit("")))).otherwise(0).alias("code"), F.when(b.rlike("`|<(?i:code|pre)"), F.regexp_replace(b, _CODE, " ⟨code⟩ ")).otherwise(b).alias("b"))
+    rows = rows.select("k", "code", F.when(held(b), held(F.regexp_replace(b, _QUOTE, " "))).otherwise(False).alias("slot"), F.when(b.contains("<"), F.regexp_replace(b, _TAGS, "\n")).otherwise(b).alias("b"))
     strip = lambda x: F.btrim(x, F.lit("*_ \t\r　 "))
     lines = F.filter(F.transform(F.split("b", "\n"), lambda x: F.when(x.startswith("> "), strip(F.substring(x, 3, 2**31 - 1))).otherwise(strip(x))), lambda x: x != "")
     whole = lambda x: x.startswith("{") | x.startswith("[") | x.startswith("|") | x.startswith("Lorem") | x.startswith("lorem") | x.startswith("LOREM")
-    parts = F.flatten(F.transform(lines, lambda x: F.when(whole(x), F.array(x)).otherwise(F.filter(F.split(x, _ENDS), lambda y: y != ""))))
+    parts = F.flatten(F.transform(lines, lambda x: F.when(whole(x), F.array(x)).otherwise(F.filter(F.split(F.regexp_replace(x, _ENDS, "$1$2\x01"), "\x01"), lambda y: y != ""))))
 
     # one step at a time: a lambda evaluates an expression as often as it names it
     rows = rows.select(F.monotonically_increasing_id().alias("row_no"), "k", "code", "slot", parts.alias("p"))
