@@ -468,13 +468,15 @@ _TEXT = dict(
 )
 _COLLAB = dict(
     o=ORDERED,
-    col=f"SELECT mid, (h % 16)::INT AS index, sum(w) AS value FROM (SELECT a.mid AS mid, {_SHA.format('b.mid::VARCHAR')} AS h, 1.0::DOUBLE / abs(b.rn - a.rn) AS w FROM o a JOIN o b ON a.uid = b.uid AND b.rn <> a.rn AND abs(b.rn - a.rn) <= 3) GROUP BY ALL",
+    col=f"SELECT mid, (h % 16)::INT AS index, round(sum(w), 6) AS value FROM (SELECT a.mid AS mid, {_SHA.format('b.mid::VARCHAR')} AS h, 1.0::DOUBLE / abs(b.rn - a.rn) AS w FROM o a JOIN o b ON a.uid = b.uid AND b.rn <> a.rn AND abs(b.rn - a.rn) <= 3) GROUP BY ALL",
 )
-_NORM = "SELECT mid, index, round(value / greatest(sqrt(sum(value * value) OVER (PARTITION BY mid)), 1e-6), 5) AS value FROM {}"
+# sums are rounded before they are used, so their order doesn't matter
+_UNIT = "SELECT mid, index, value / greatest(sqrt(round(sum(value * value) OVER (PARTITION BY mid), 6)), 1e-6) AS value FROM {}"
+_NORM = "SELECT mid, index, round(value, 5) AS value FROM (" + _UNIT + ")"
 
 
 def _normed(df):
-    norm = F.sqrt(F.sum(F.col("value") * F.col("value")).over(Window.partitionBy("mid")))
+    norm = F.sqrt(F.round(F.sum(F.col("value") * F.col("value")).over(Window.partitionBy("mid")), 6))
     return df.withColumn("value", F.col("value") / F.greatest(norm, F.lit(1e-6)))
 
 
@@ -490,7 +492,7 @@ def _text(spark, d):
 def _collab(spark, d):
     half = relate.band_pairs(seq.ordered(liked(spark, d), "uid", ORD), "uid", "mid", "rn", 3)
     both = half.unionByName(half.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
-    return both.groupBy(F.col("a").alias("mid"), scalars.hash_feature(F.col("b").cast("string"), 16)["index"].alias("index")).agg(F.sum("weight").alias("value"))
+    return both.groupBy(F.col("a").alias("mid"), scalars.hash_feature(F.col("b").cast("string"), 16)["index"].alias("index")).agg(F.round(F.sum("weight"), 6).alias("value"))
 
 
 @query(sql(_NORM.format("txt"), "movies", **_TEXT))
@@ -512,8 +514,8 @@ def feat_collab(spark, d):
         "ratings",
         **_TEXT,
         **_COLLAB,
-        n1=_NORM.replace("round(", "(").replace(", 5) AS value", ") AS value").format("txt"),
-        n2=_NORM.replace("round(", "(").replace(", 5) AS value", ") AS value").format("col"),
+        n1=_UNIT.format("txt"),
+        n2=_UNIT.format("col"),
         u="SELECT mid, index, value FROM n1 UNION ALL SELECT mid, index + 32, value FROM n2 WHERE mid IN (SELECT mid FROM movies)",
     )
 )
