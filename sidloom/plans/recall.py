@@ -297,16 +297,25 @@ def _protocol(spark, d):
     )
 )
 def recall_public(spark, d):
-    """The public protocol: beams to items, the popular ones of a SID first; recall of the last liked item."""
+    """The public protocol: beams to items, the popular ones of a SID first; recall of the last liked item.
+
+    The lists of items are never formed: a target stands behind all items of the
+    beams before its SID's, at its place among the items of its own. The scores
+    of a context follow from qh, so beams are searched once for each qh.
+    """
     train, targets = _protocol(spark, d)
     mid = F.col("mid")
-    known = movies(spark, d).select(mid.alias("item"), (mid % 4).cast("int").alias("a"), (F.floor(mid / 4) % 8).cast("int").alias("b"), (F.floor(mid / 32) % 16).cast("int").alias("c")).withColumn("sid", F.concat_ws("_", "a", "b", "c"))
-    asked = targets.join(train.groupBy(F.col("uid").alias("q")).agg((F.sum("mid") % 1009).alias("qh")), "q")
-    found = prefs.beam_search(asked.withColumn("prefix", F.lit("")), scratch.keep(prefs.trie(known), "trie"), _score(), WIDTH)
-    freq = train.groupBy(F.col("mid").alias("item")).agg(F.count(F.lit(1)).alias("f"))
-    e = found.join(known.select("item", F.col("sid").alias("path")), "path").join(freq, "item", "left")
-    e = e.withColumn("pos", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("lp"), "path", F.desc(F.coalesce("f", F.lit(0))), "item"))).where("item = target").select("q", "pos")
-    return _rates(asked.join(e, "q", "left"))
+    known = movies(spark, d).select(mid.alias("item"), (mid % 4).cast("int").alias("a"), (F.floor(mid / 4) % 8).cast("int").alias("b"), (F.floor(mid / 32) % 16).cast("int").alias("c")).withColumn("path", F.concat_ws("_", "a", "b", "c"))
+    asked = scratch.keep(targets.join(train.groupBy(F.col("uid").alias("q")).agg((F.sum("mid") % 1009).alias("qh")), "q"), "asked")
+    contexts = asked.select("qh").distinct().select(F.col("qh").alias("q"), "qh", F.lit("").alias("prefix"))
+    found = prefs.beam_search(contexts, scratch.keep(prefs.trie(known), "trie"), _score(), WIDTH)
+    ahead = Window.partitionBy("qh").orderBy(F.desc("lp"), "path").rowsBetween(Window.unboundedPreceding, -1)
+    beam = found.join(known.groupBy("path").agg(F.count(F.lit(1)).alias("size")), "path").select("qh", "path", F.coalesce(F.sum("size").over(ahead), F.lit(0)).alias("before"))
+    freq = train.groupBy(mid.alias("item")).agg(F.count(F.lit(1)).alias("f"))
+    best = Window.partitionBy("path").orderBy(F.desc(F.coalesce("f", F.lit(0))), "item")
+    places = known.join(freq, "item", "left").select(F.col("item").alias("target"), "path", F.row_number().over(best).alias("place"))
+    hits = asked.join(places, "target").join(beam, ["qh", "path"]).select("q", (F.col("before") + F.col("place")).alias("pos"))
+    return _rates(asked.join(hits, "q", "left"))
 
 
 _POP = "SELECT mid, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, mid) AS pos FROM t GROUP BY mid"

@@ -2,6 +2,7 @@
 
 import math
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +11,9 @@ from sidloom import __main__ as cli
 from sidloom import evaluate
 from sidloom.operators import losses, prefs, relate, vectors, vq
 from sidloom.operators import sequences as seq
+from sidloom.plans import registry
 from sidloom.sources import readers
+from tests import oracle
 
 
 def sids_of(spark, rows):
@@ -195,3 +198,37 @@ def test_images_have_a_status_each(spark):
     got = {r.image: (r.status, r.size_bytes, r.path is not None) for r in fetch_images(df, "image", "p", fetch, lambda path: None, lambda path, body: None, 5).collect()}
     assert got == {"ok": ("ok", 3, True), "slow": ("timeout", None, False), "gone": ("http_410", None, False), "none": ("empty_body", 0, False), "big": ("too_large", 9, False), "odd": ("error_ZeroDivisionError", None, False), "": ("empty", None, False), None: ("empty", None, False)}
     assert {r.status for r in fetch_images(df.limit(1), "image", "p", fetch, lambda path: 5, lambda path, body: None, 5).collect()} == {"cached"}
+
+
+def most_rows(plan):
+    """The largest number of rows that comes out of a node of a plan that has run."""
+    if "AdaptiveSparkPlan" in plan.nodeName():
+        return most_rows(plan.executedPlan())
+    below = [plan.plan()] if "QueryStage" in plan.nodeName() else [plan.children().apply(i) for i in range(plan.children().size())]
+    n = plan.metrics().get("numOutputRows")
+    return max([n.get().value() if n.isDefined() else 0, *map(most_rows, below)])
+
+
+def test_public_recall_of_sids_with_many_items(spark, tmp_path, monkeypatch):
+    con = duckdb.connect()
+    con.execute("SET TimeZone = 'UTC'")
+    mid = "CASE WHEN l_orderkey % 3 = 0 THEN l_orderkey * l_orderkey % 911 ELSE l_orderkey * 7919 % 51200 END"
+    tables = {
+        "part": "SELECT p AS p_partkey, 'n' AS p_name, 't' AS p_type, 'b' AS p_brand FROM range(51200) t(p)",  # 100 items a SID
+        "orders": "SELECT o AS o_orderkey, o // 5 AS o_custkey, TIMESTAMP '2024-01-01' + to_days((o * 37 % 400)::INT) AS o_orderdate FROM range(10000) t(o)",
+        "lineitem": f"SELECT l_orderkey, ({mid})::BIGINT AS l_partkey, 1::INT AS l_linenumber, 45.0::DOUBLE AS l_quantity FROM range(10000) t(l_orderkey)",
+    }
+    for name, select in tables.items():
+        con.execute(f"COPY ({select}) TO '{tmp_path}/{name}.parquet'")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
+    monkeypatch.setattr(oracle, "DATA", str(tmp_path))
+    ran = []
+
+    def query(*args):
+        ran.append(registry.QUERIES["recall_public"](*args))
+        return ran[0]
+
+    oracle.check(spark, con, query, registry.SQL["recall_public"])
+    rates = [r.recall for r in ran[0].orderBy("k").collect()]
+    assert 0 < rates[2] < rates[3] < rates[5]
+    assert most_rows(ran[0]._jdf.queryExecution().executedPlan()) < 300_000  # the beams' items are 2,000,000 rows
